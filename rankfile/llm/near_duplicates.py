@@ -24,7 +24,6 @@ threshold are kept.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -41,62 +40,71 @@ MAX_BITS = 27  # the frequency sketch is at most 2^27 one-byte counters
 BITMAP = 128
 
 
-def _sets(texts, shingle: int, min_words: int):
-    """For each text with enough words: (row, its sorted distinct run hashes)."""
-    hashes, ends, _ = word_hashes(texts)
-    at, owner = run_owner(ends, shingle, len(hashes))
-    if not len(at):
-        return
-    lens = np.diff(ends)
-    runs = run_hashes(hashes, shingle)[at]
-    order = np.lexsort((runs, owner))
-    runs, owner = runs[order], owner[order]
-    keep = np.ones(len(runs), bool)
-    keep[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
-    runs, owner = runs[keep], owner[keep]
-    cuts = np.searchsorted(owner, np.arange(len(lens) + 1))
-    for row in np.nonzero(lens >= max(min_words, shingle))[0]:
-        yield row, runs[cuts[row] : cuts[row + 1]]
-
-
-def _set_id(runs: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        x = mixed(runs).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(runs))
-    return int(np.uint64(x).astype(np.int64))
-
-
 def _i64(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64).view(np.int64)
 
 
+class Sets:
+    """The run sets of the texts of a batch that have enough words: rows, and flat sorted hashes cut by `cuts`."""
+
+    def __init__(self, texts: list, shingle: int, min_words: int):
+        hashes, ends = word_hashes(texts)
+        at, owner = run_owner(ends, shingle, len(hashes))
+        enough = np.diff(ends) >= max(min_words, shingle)
+        keep = enough[owner]
+        at, owner = at[keep], owner[keep]
+        runs = run_hashes(hashes, shingle)[at]
+        order = np.lexsort((runs, owner))
+        runs, owner = runs[order], owner[order]
+        if len(runs):
+            first = np.ones(len(runs), bool)
+            first[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+            runs, owner = runs[first], owner[first]
+        self.rows, starts = np.unique(owner, return_index=True)
+        self.runs, self.cuts = runs, np.append(starts, len(runs)).astype(np.int64)
+        self.n = np.diff(self.cuts)
+        if len(self.rows):
+            total = np.add.reduceat(mixed(runs), self.cuts[:-1]) * np.uint64(0x9E3779B97F4A7C15)
+            self.ids = _i64(mixed(total + self.n.astype(np.uint64)))
+        else:
+            self.ids = np.empty(0, np.int64)
+
+    def only(self, keep: np.ndarray) -> None:
+        """Leave the sets for which keep holds."""
+        self.runs = self.runs[np.repeat(keep, self.n)]
+        self.rows, self.ids, self.n = self.rows[keep], self.ids[keep], self.n[keep]
+        self.cuts = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
+
+
+def _unseen(ids: np.ndarray, seen: set[int]) -> np.ndarray:
+    new = np.zeros(len(ids), bool)
+    for k, i in enumerate(ids.tolist()):
+        if i not in seen:
+            seen.add(i)
+            new[k] = True
+    return new
+
+
 def _sketch_pass(shingle: int, min_words: int, bits: int):
-    """Rows (key, set_id) for membership, and one compressed slice of the partition's counts in blob."""
+    """Rows (key, set_id) for membership, and compressed slices of the partition's counts in blob."""
+    names = ["key", "set_id", "slice", "blob"]
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint8)
-        seen: set[int] = set()
+        counts, seen = np.zeros(1 << bits, np.uint8), set()
         for batch in batches:
-            keys, ids = [], []
-            parts = []
-            col = batch.column(0)
-            for row, runs in _sets(batch.column(1).to_pylist(), shingle, min_words):
-                sid = _set_id(runs)
-                keys.append(col[int(row)].as_py())
-                ids.append(sid)
-                if sid not in seen:
-                    seen.add(sid)
-                    parts.append(runs)
-            if parts:
-                at, n = np.unique(np.concatenate(parts) >> np.uint64(64 - bits), return_counts=True)
-                counts[at] = np.minimum(counts[at].astype(np.int64) + n, 255).astype(np.uint8)
-            if keys:
-                k = len(keys)
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["key", "set_id", "slice", "blob"])
+            s = Sets(batch.column(1).to_pylist(), shingle, min_words)
+            if not len(s.rows):
+                continue
+            k = len(s.rows)
+            yield pa.record_batch([batch.column(0).take(pa.array(s.rows)), pa.array(s.ids), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            s.only(_unseen(s.ids, seen))
+            at, n = np.unique(s.runs >> np.uint64(64 - bits), return_counts=True)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 255).astype(np.uint8)
         width = (1 << bits) // SLICES
-        for s in range(SLICES):
-            part = counts[s * width : (s + 1) * width]
+        for i in range(SLICES):
+            part = counts[i * width : (i + 1) * width]
             if part.any():
-                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["key", "set_id", "slice", "blob"])
+                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
     return run
 
@@ -113,40 +121,32 @@ def _merge_slices(key: tuple, rows: pa.Table) -> pa.Table:
 def _index_pass(shingle: int, min_words: int, bits: int, t: float, sketch):
     def run(batches):
         width = (1 << bits) // SLICES
-        freq = np.zeros(1 << bits, np.uint8)
-        for s, blob in sketch.value.items():
-            freq[s * width : (s + 1) * width] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        seen: set[int] = set()
+        freq, seen = np.zeros(1 << bits, np.uint8), set()
+        for i, blob in sketch.value.items():
+            freq[i * width : (i + 1) * width] = np.frombuffer(zlib.decompress(blob), np.uint8)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for _, runs in _sets(batch.column(0).to_pylist(), shingle, min_words):
-                sid = _set_id(runs)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                n = len(runs)
-                df = freq[(runs >> np.uint64(64 - bits)).astype(np.int64)]
-                longest = n - math.ceil(t * n - 1e-9) + 1
-                if int((df > 1).sum()) < math.ceil(t * n - 1e-9):
-                    continue  # too few of its runs occur elsewhere for any partner
-                order = np.lexsort((runs, df))[:longest]
-                rank = np.arange(len(order))
-                picked = df[order] > 1
-                order, rank = order[picked], rank[picked]
-                if not len(order):
-                    continue
-                bit = (mixed(runs) % np.uint64(BITMAP)).astype(np.int64)
-                b0 = np.bitwise_or.reduce(np.where(bit < 64, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)))
-                b1 = np.bitwise_or.reduce(np.where(bit >= 64, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)))
-                k = len(order)
-                out[0].append(runs[order])
-                out[1].append(np.full(k, sid, np.int64))
-                out[2].append((np.int64(n) << 32) | rank.astype(np.int64))
-                out[3].append(np.full(k, b0, np.uint64))
-                out[4].append(np.full(k, b1, np.uint64))
-            if out[0]:
-                cols = [np.concatenate(c) for c in out]
-                yield pa.record_batch([pa.array(_i64(cols[0])), pa.array(cols[1]), pa.array(cols[2]), pa.array(_i64(cols[3])), pa.array(_i64(cols[4]))], names=["byte", "set_id", "n_rank", "b0", "b1"])
+            s = Sets(batch.column(0).to_pylist(), shingle, min_words)
+            s.only(_unseen(s.ids, seen))
+            if not len(s.rows):
+                continue
+            df = freq[(s.runs >> np.uint64(64 - bits)).astype(np.int64)]
+            least = np.ceil(t * s.n - 1e-9).astype(np.int64)
+            able = np.add.reduceat((df > 1).astype(np.int64), s.cuts[:-1]) >= least  # else too few of its runs occur elsewhere
+            df = df[np.repeat(able, s.n)]
+            s.only(able)
+            if not len(s.rows):
+                continue
+            longest = s.n - least[able] + 1
+            owner = np.repeat(np.arange(len(s.n)), s.n)
+            bit = s.runs % np.uint64(BITMAP)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            b0 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), s.cuts[:-1])
+            b1 = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), s.cuts[:-1])
+            order = np.lexsort((s.runs, df, owner))
+            rank = np.arange(len(order)) - s.cuts[owner]
+            keep = (rank < longest[owner]) & (df[order] > 1)
+            of = owner[keep]
+            yield pa.record_batch([pa.array(_i64(s.runs[order][keep])), pa.array(s.ids[of]), pa.array((s.n[of] << 32) | rank[keep]), pa.array(_i64(b0)[of]), pa.array(_i64(b1)[of])], names=["byte", "set_id", "n_rank", "b0", "b1"])
 
     return run
 
@@ -156,12 +156,10 @@ def _verify_sets(shingle: int, min_words: int):
 
     def run(batches):
         for batch in batches:
-            ids, sets = [], []
-            for _, runs in _sets(batch.column(0).to_pylist(), shingle, min_words):
-                ids.append(_set_id(runs))
-                sets.append(_i64(runs).tobytes())
-            if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "runs"])
+            s = Sets(batch.column(0).to_pylist(), shingle, min_words)
+            if len(s.rows):
+                sets = [s.runs[i:j].tobytes() for i, j in zip(s.cuts[:-1], s.cuts[1:])]
+                yield pa.record_batch([pa.array(s.ids), pa.array(sets, pa.binary())], names=["set_id", "runs"])
 
     return run
 
@@ -171,7 +169,7 @@ def _jaccard(t: float):
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / (len(x) + len(y) - both))
         return pd.Series(out, dtype="float64")

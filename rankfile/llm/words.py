@@ -9,7 +9,6 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 
 WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -20,16 +19,44 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash of every word, start of every text in it with a closing end, the words)."""
-    flat: list[str] = []
-    ends = [0]
-    for t in texts:
-        if t:
-            flat += WORD.findall(t.lower())
-        ends.append(len(flat))
-    hashes = pd.util.hash_array(np.array(flat, dtype=object)) if flat else np.empty(0, np.uint64)
-    return hashes, np.array(ends, np.int64), flat
+_BASE = 0x9E3779B97F4A7C15
+_tables: dict[str, np.ndarray] = {}
+
+
+def _alnum() -> np.ndarray:
+    if "alnum" not in _tables:
+        _tables["alnum"] = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    return _tables["alnum"]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64, and of its inverse."""
+    if len(_tables.get("pow", ())) < n:
+        for name, x in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
+            a = np.full(max(n, 1 << 16), x, np.uint64)
+            a[0] = 1
+            _tables[name] = np.cumprod(a, dtype=np.uint64)
+    return _tables["pow"][:n], _tables["inv"][:n]
+
+
+def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of every word, index of the first word of every text with a closing end).
+
+    Works on all characters of the batch at once: the hash of a word is the difference of prefix sums of
+    its code points times powers of the base, brought to exponent zero.
+    """
+    low = [t.lower() if t else "" for t in texts]
+    code = np.frombuffer("\0".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
+        return np.empty(0, np.uint64), np.zeros(len(low) + 1, np.int64)
+    inside = _alnum()[code].astype(np.int8)
+    edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
+    starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    power, inverse = _powers(len(code))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power, dtype=np.uint64)])
+    hashes = mixed((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    bounds = np.cumsum([0] + [len(t) + 1 for t in low])
+    return hashes, np.searchsorted(starts, bounds).astype(np.int64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
