@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_duplicates
+from . import confusables, near_duplicates
 
 
 def queries() -> dict:
     return {
+        "p4_found": confusables.p4_found,
+        "p4_groups": confusables.p4_groups,
         "p3_found": near_duplicates.p3_found,
     }
 
