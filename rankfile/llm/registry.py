@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import confusables, near_duplicates
+from . import confusables, leakage, near_duplicates, truncation
+
+_MODULES = (near_duplicates, confusables, leakage, truncation)
 
 
 def queries() -> dict:
-    return {
-        "p4_found": confusables.p4_found,
-        "p4_groups": confusables.p4_groups,
-        "p3_found": near_duplicates.p3_found,
-    }
+    """Every function p<N>_... of the modules, by name."""
+    return {name: getattr(m, name) for m in _MODULES for name in sorted(vars(m)) if name[:1] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in _MODULES:
+        out |= getattr(m, "SQL", {})
+    return out
