@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import confusables, leakage, near_duplicates, truncation
+from . import confusables, leakage, near_duplicates, prose, truncation
 
-_MODULES = (near_duplicates, confusables, leakage, truncation)
+_MODULES = (prose, near_duplicates, confusables, leakage, truncation)
 
 
 def queries() -> dict:
