@@ -1,6 +1,6 @@
 """Per-document statistics of text quality and a verdict prose or not (problem 1).
 
-Eleven statistics are computed for every text, in one pass over all characters of a batch. For each language (by
+Thirteen statistics are computed for every text, in one pass over all characters of a batch. For each language (by
 its common words) the mean and covariance of prose are estimated robustly, on all rows: start from the quartiles,
 then twice keep the rows near the centre and take their mean and covariance (concentration steps). A text's
 outlierness is its Mahalanobis distance from its language's prose; the contribution of a statistic is its share
@@ -32,13 +32,13 @@ COMMON = {
     "ru": "и в на не что с по как к из у за от но это для при после же так то а бы все весь всё без под над перед ещё его",
 }
 LANGS = tuple(COMMON)
-STATS = ("log_words", "word_length", "common_share", "symbol_share", "line_end_share", "title_share", "number_share", "single_share", "vowelless_share", "odd_word_share", "distinct_share")
+STATS = ("log_words", "word_length", "common_share", "symbol_share", "line_end_share", "title_share", "number_share", "single_share", "vowelless_share", "odd_word_share", "distinct_share", "leader_share", "item_share")
 #: +1: only more is against prose, -1: only less is, 0: both.
-SIDE = np.array([0, 0, -1, 1, -1, 1, 1, 1, 1, 1, -1])
+SIDE = np.array([0, 0, -1, 1, -1, 1, 1, 1, 1, 1, -1, 1, 1])
 #: The smallest standard deviation taken for a statistic, so that near-constant ones don't decide alone.
-FLOOR = np.array([0.5, 0.6, 0.08, 0.03, 0.25, 0.10, 0.06, 0.06, 0.05, 0.05, 0.12])
+FLOOR = np.array([1.0, 0.9, 0.08, 0.03, 0.25, 0.10, 0.06, 0.06, 0.05, 0.05, 0.12, 0.015, 0.12])
 MIN_ROWS = 200
-CUT = 30.0  # squared distance beyond which a text is no prose
+CUT = 20.0  # squared distance beyond which a text is no prose
 
 _tables: dict = {}
 
@@ -114,6 +114,16 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     nl_doc = np.minimum(np.searchsorted(ends, nl, "right"), n - 1)
     lines = np.maximum(np.bincount(nl_doc[real], None, n), 1)
     closed = np.bincount(nl_doc[real], stop[last[nl]][real].astype(float), n)
+    first = np.minimum.accumulate(np.where(space, len(code), np.arange(len(code)))[::-1])[::-1]  # next character that is no space
+    head = first[prev + 1][real]
+    after = np.minimum.accumulate(np.where(digit, len(code), np.arange(len(code)))[::-1])[::-1]
+    bullet = _table("bullet", lambda c: c in "-–—*•·‣▪◦+>")[code]
+    limit = len(code) - 1
+    number = digit[head] & np.isin(code[np.minimum(after[head], limit)], (41, 46)) & space[np.minimum(after[head] + 1, limit)]
+    box = (code[head] == 91) & np.isin(code[np.minimum(head + 2, limit)], (93,))  # "[ ]"
+    item = np.bincount(nl_doc[real], ((bullet[head] & space[np.minimum(head + 1, limit)]) | box | number).astype(float), n)
+    same = np.zeros(len(code), bool)
+    same[3:] = (code[3:] == code[2:-1]) & (code[3:] == code[1:-2]) & (code[3:] == code[:-3]) & ~space[3:]
     pair = np.unique(np.stack([doc[word].astype(np.uint64), h[word]]), axis=1) if word.any() else np.empty((2, 0), np.uint64)
     distinct = np.bincount(pair[0].astype(np.int64), None, n)
     title = word & (uppers == 1) & upper[a] & (length >= 3) if len(a) else word
@@ -130,6 +140,8 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             per(word & (vowels == 0) & (length >= 3) & (uppers < length)) / some,
             per((digits > 0) & (digits < length) & (length >= 7)) / every,
             np.where(words > 0, distinct / some, 1.0),
+            of(same) / ink,
+            item / lines,
         ],
         1,
     )
