@@ -13,9 +13,10 @@ What keeps the index small and lossless:
   so one shared byte lies among the first n - ceil(2tn/(1+t)) + 1 of the smaller and the first
   m - ceil(tm) + 1 of the larger. Only these are indexed, and a byte that the sketch counts once, which
   therefore occurs in no other set, is not indexed.
-* Each entry carries its rank, the set's size and a bitmap of the whole set. A met pair is dropped where the
-  sizes, the ranks (at most min(n - i, m - j) bytes can still be shared) or the bitmaps (every bit of one that
-  the other lacks is a byte not shared) prove fewer than o shared bytes. All three bounds are exact.
+* Each entry carries its rank, the set's size and a bitmap of the whole set. A pair that meets at its rarest
+  shared byte, of ranks i and j, shares at most min(n - i, m - j); a meeting where that is under o is dropped
+  (a pair that reaches o survives at its rarest one). So is one whose bitmaps prove fewer than o shared bytes,
+  as every bit of one that the other lacks is a byte not shared. Both bounds are exact.
 
 Null or empty texts and texts under `min_words` words are in no pair. Repeated rows of a key count once; if a
 key comes with several texts, each text counts as that key's. Ties need no rule: all pairs at or over the
@@ -37,7 +38,8 @@ from .words import mixed, run_hashes, run_owner, word_hashes
 
 SLICES = 64
 MAX_BITS = 27  # the frequency sketch is at most 2^27 one-byte counters
-BITMAP = 128
+BITMAP = 256  # bits of a set's bitmap, in longs b0..b3
+FEW = 200_000  # ids of candidates that are broadcast, 1.6 MB; more are joined by shuffle
 
 
 def _i64(a: np.ndarray) -> np.ndarray:
@@ -140,13 +142,12 @@ def _index_pass(shingle: int, min_words: int, bits: int, t: float, sketch):
             owner = np.repeat(np.arange(len(s.n)), s.n)
             bit = s.runs % np.uint64(BITMAP)
             one = np.uint64(1) << (bit & np.uint64(63))
-            b0 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), s.cuts[:-1])
-            b1 = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), s.cuts[:-1])
+            maps = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), s.cuts[:-1]) for k in range(BITMAP // 64)]
             order = np.lexsort((s.runs, df, owner))
             rank = np.arange(len(order)) - s.cuts[owner]
             keep = (rank < longest[owner]) & (df[order] > 1)
             of = owner[keep]
-            yield pa.record_batch([pa.array(_i64(s.runs[order][keep])), pa.array(s.ids[of]), pa.array((s.n[of] << 32) | rank[keep]), pa.array(_i64(b0)[of]), pa.array(_i64(b1)[of])], names=["byte", "set_id", "n_rank", "b0", "b1"])
+            yield pa.record_batch([pa.array(_i64(s.runs[order][keep])), pa.array(s.ids[of]), pa.array((s.n[of] << 32) | rank[keep]), *(pa.array(_i64(m)[of]) for m in maps)], names=["byte", "set_id", "n_rank", "b0", "b1", "b2", "b3"])
 
     return run
 
@@ -190,22 +191,21 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
     members = first.where("set_id is not null").select("key", "set_id").distinct()
     merged = first.where("blob is not null").select("slice", "blob").groupBy("slice").applyInArrow(_merge_slices, "slice int, blob binary")
     sketch = spark.sparkContext.broadcast({r["slice"]: bytes(r["blob"]) for r in merged.collect()})  # at most 2^27 bytes
-    index = src.select("text").mapInArrow(_index_pass(shingle, min_words, bits, similarity, sketch), "byte long, set_id long, n_rank long, b0 long, b1 long")
+    index = src.select("text").mapInArrow(_index_pass(shingle, min_words, bits, similarity, sketch), "byte long, set_id long, n_rank long, b0 long, b1 long, b2 long, b3 long")
     index = index.repartition("byte").dropDuplicates(["byte", "set_id"])
 
-    o = f"ceil({similarity} * (a.n_rank div 4294967296 + b.n_rank div 4294967296) / (1 + {similarity}) - 1e-9)"
-    na, nb = "shiftright(a.n_rank, 32)", "shiftright(b.n_rank, 32)"
-    ra, rb = "(a.n_rank & 4294967295)", "(b.n_rank & 4294967295)"
+    # a.n_rank holds the size in its high and the rank in its low half; least is the minimum of shared bytes
+    na, nb, ra, rb = "shiftright(a.n_rank, 32)", "shiftright(b.n_rank, 32)", "(a.n_rank & 4294967295L)", "(b.n_rank & 4294967295L)"
+    least = f"({similarity / (1 + similarity)!r}D * ({na} + {nb}) - 1e-9D)"
     met = index.alias("a").join(index.alias("b"), F.expr("a.byte = b.byte and a.set_id < b.set_id"))
-    able = met.where(
-        F.expr(
-            f"least({na}, {nb}) >= {o} and 1 + least({ra}, {rb}) + least({na} - {ra} - 1, {nb} - {rb} - 1) >= {o} "
-            f"and {na} - bit_count(a.b0 & ~b.b0) - bit_count(a.b1 & ~b.b1) >= {o} and {nb} - bit_count(b.b0 & ~a.b0) - bit_count(b.b1 & ~a.b1) >= {o}"
-        )
-    )
+    lacks = lambda x, y: " - ".join(f"bit_count({x}.b{k} & ~{y}.b{k})" for k in range(BITMAP // 64))
+    able = met.where(F.expr(f"least({na} - {ra}, {nb} - {rb}) >= {least} and {na} - {lacks('a', 'b')} >= {least} and {nb} - {lacks('b', 'a')} >= {least}"))
     pairs = written(able.groupBy(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).agg(F.count("*").alias("shared")), "p3-pairs")
     wanted = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).distinct()
     chosen = members.join(wanted, "set_id").groupBy("set_id").agg(F.min("key").alias("key")).select("key").distinct()
+    chosen = written(chosen, "p3-chosen")
+    if chosen.count() <= FEW:
+        chosen = F.broadcast(chosen)
     texts = src.join(chosen, "key").select("text").mapInArrow(_verify_sets(shingle, min_words), "set_id long, runs binary").dropDuplicates(["set_id"])
     texts = written(texts, "p3-sets")
     a, b = (texts.select(F.col("set_id").alias(f"set_{x}"), F.col("runs").alias(f"runs_{x}")) for x in "ab")
