@@ -54,6 +54,8 @@ def sentences(text: str) -> list[tuple[int, str]]:
     for m in _SENTENCE.finditer(text):
         if m.end() < len(text) and text[m.end()].islower() and "\n" not in m.group() and text[m.start() - 1] in ".!?…":
             continue  # an annotated move or an abbreviation, not the end of a sentence
+        if "\n" not in m.group() and len(_WORD.findall(text[at : m.start()])) < 4 and re.search(r"\d\S*[!?]+$", text[at : m.start()]):
+            continue  # an opening phrase with an annotated move
         if text[at : m.start()].strip():
             out.append((at, text[at : m.start()]))
         at = m.end()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import confusables, language, leakage, near_duplicates, prose, truncation
+from . import confusables, language, leakage, names, near_duplicates, prose, truncation
 
-_MODULES = (prose, near_duplicates, confusables, language, leakage, truncation)
+_MODULES = (prose, near_duplicates, confusables, names, language, leakage, truncation)
 
 
 def queries() -> dict:
