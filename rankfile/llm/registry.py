@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import confusables, language, leakage, mixing, names, near_duplicates, prose, truncation
+from . import confusables, language, leakage, mixing, names, near_duplicates, prose, scans, truncation
 
-_MODULES = (prose, near_duplicates, confusables, names, language, leakage, mixing, truncation)
+_MODULES = (prose, scans, near_duplicates, confusables, names, language, leakage, mixing, truncation)
 
 
 def queries() -> dict:
