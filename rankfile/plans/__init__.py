@@ -1 +1,17 @@
+"""Every query of the core, and its SQL."""
 
+from __future__ import annotations
+
+
+def _registries() -> list:
+    from . import scalar_ops
+
+    return [scalar_ops.R]
+
+
+def all_queries() -> dict:
+    return {k: f for r in _registries() for k, f in r.queries.items()}
+
+
+def all_sql() -> dict[str, str]:
+    return {k: t for r in _registries() for k, t in r.sql.items()}
