@@ -12,8 +12,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPARK = {"RL": "regexp_like({0}, {1})", "RR": "regexp_replace({0}, {1}, {2})", "SPLIT": "split({0}, {1})", "EL": "try_element_at({0}, {1})", "SIZE": "size({0})", "SHA": "sha2({0}, 256)", "ALL": "regexp_extract_all({0}, {1}, 0)", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as string)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_join({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(conv({0}, 16, 10) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
-_DUCK = {"RL": "regexp_matches({0}, {1})", "RR": "regexp_replace({0}, {1}, {2}, 'g')", "SPLIT": "string_split_regex({0}, {1})", "EL": "list_extract({0}, {1})", "SIZE": "cast(len({0}) as int)", "SHA": "sha256({0})", "ALL": "regexp_extract_all({0}, {1})", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as varchar)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_to_string({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(('0x' || {0}) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
+_SPARK = {"RND": "(floor(({0}) * 1e{1} + 5e-1) / 1e{1})", "RL": "regexp_like({0}, {1})", "RR": "regexp_replace({0}, {1}, {2})", "SPLIT": "split({0}, {1})", "EL": "try_element_at({0}, {1})", "SIZE": "size({0})", "SHA": "sha2({0}, 256)", "ALL": "regexp_extract_all({0}, {1}, 0)", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as string)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_join({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(conv({0}, 16, 10) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
+_DUCK = {"RND": "(floor(({0}) * 1e{1} + 5e-1) / 1e{1})", "RL": "regexp_matches({0}, {1})", "RR": "regexp_replace({0}, {1}, {2}, 'g')", "SPLIT": "string_split_regex({0}, {1})", "EL": "list_extract({0}, {1})", "SIZE": "cast(len({0}) as int)", "SHA": "sha256({0})", "ALL": "regexp_extract_all({0}, {1})", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as varchar)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_to_string({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(('0x' || {0}) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
 
 
 def _arguments(text: str, at: int) -> tuple[list[str], int]:
@@ -52,6 +52,11 @@ def _render(text: str, macros: dict[str, str]) -> str:
     return out
 
 
+def _rounded(text: str) -> str:
+    """Engines round ties of doubles differently; the same arithmetic rounds alike."""
+    return re.sub(r"\bround\(", "RND(", text)
+
+
 def bind(template: str, **args: str) -> str:
     for k, v in args.items():
         template = template.replace("{" + k + "}", v)
@@ -59,14 +64,14 @@ def bind(template: str, **args: str) -> str:
 
 
 def spark_sql(template: str, **args: str) -> str:
-    out = _render(bind(template, **args), _SPARK)
+    out = _render(_rounded(bind(template, **args)), _SPARK)
     for a, b in (("[[][", "\\\\[["), ("[[]", "\\\\["), ("[]]", "\\\\]"), ("[^]]", "[^\\\\]]")):  # Java wants brackets escaped
         out = out.replace(a, b)
     return out
 
 
 def duck(template: str, **args: str) -> str:
-    return _render(bind(template, **args), _DUCK)
+    return _render(_rounded(bind(template, **args)), _DUCK)
 
 
 def column(template: str, **args: str) -> Column:

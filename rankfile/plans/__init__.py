@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _registries() -> list:
-    from . import scalar_ops
+    from . import relational_ops, scalar_ops
 
-    return [scalar_ops.R]
+    return [scalar_ops.R, relational_ops.R]
 
 
 def all_queries() -> dict:
