@@ -4,9 +4,16 @@ from __future__ import annotations
 
 
 def _registries() -> list:
+    from ..operators import positions, search
     from . import relational_ops, scalar_ops
-
-    return [scalar_ops.R, relational_ops.R]
+    from .registry import Registry
+
+    extra = Registry()
+    for name, f in positions.QUERIES.items():
+        extra.plan(name, f)
+    for name, (f, sql) in search.QUERIES.items():
+        extra.plan(name, f, sql)
+    return [scalar_ops.R, relational_ops.R, extra]
 
 
 def all_queries() -> dict:
