@@ -12,8 +12,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPARK = {"LIST": "array({0})", "MAP": "transform({0}, {1} -> {2})", "FILTER": "filter({0}, {1} -> {2})", "NONE": "cast(array() as array<string>)", "RND": "(floor(({0}) * 1e{1} + 5e-1) / 1e{1})", "RL": "regexp_like({0}, {1})", "RR": "regexp_replace({0}, {1}, {2})", "SPLIT": "split({0}, {1})", "EL": "try_element_at({0}, {1})", "SIZE": "size({0})", "SHA": "sha2({0}, 256)", "ALL": "regexp_extract_all({0}, {1}, 0)", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as string)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_join({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(conv({0}, 16, 10) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
-_DUCK = {"LIST": "[{0}]", "MAP": "list_transform({0}, lambda {1}: {2})", "FILTER": "list_filter({0}, lambda {1}: {2})", "NONE": "cast([] as varchar[])", "RND": "(floor(({0}) * 1e{1} + 5e-1) / 1e{1})", "RL": "regexp_matches({0}, {1})", "RR": "regexp_replace({0}, {1}, {2}, 'g')", "SPLIT": "string_split_regex({0}, {1})", "EL": "list_extract({0}, {1})", "SIZE": "cast(len({0}) as int)", "SHA": "sha256({0})", "ALL": "regexp_extract_all({0}, {1})", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as varchar)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_to_string({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(('0x' || {0}) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
+_SPARK = {"PAIR": "named_struct('k', {0}, 'b', {1})", "TRIPLE": "named_struct('k', {0}, 'b', {1}, 'm', {2})", "LIST": "array({0})", "MAP": "transform({0}, {1} -> {2})", "FILTER": "filter({0}, {1} -> {2})", "NONE": "cast(array() as array<string>)", "RND": "(floor(({0}) * 1e{1} + 5e-1) / 1e{1})", "RL": "regexp_like({0}, {1})", "RR": "regexp_replace({0}, {1}, {2})", "SPLIT": "split({0}, {1})", "EL": "try_element_at({0}, {1})", "SIZE": "size({0})", "SHA": "sha2({0}, 256)", "ALL": "regexp_extract_all({0}, {1}, 0)", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as string)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_join({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(conv({0}, 16, 10) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
+_DUCK = {"PAIR": "struct_pack(k := {0}, b := {1})", "TRIPLE": "struct_pack(k := {0}, b := {1}, m := {2})", "LIST": "[{0}]", "MAP": "list_transform({0}, lambda {1}: {2})", "FILTER": "list_filter({0}, lambda {1}: {2})", "NONE": "cast([] as varchar[])", "RND": "(floor(({0}) * 1e{1} + 5e-1) / 1e{1})", "RL": "regexp_matches({0}, {1})", "RR": "regexp_replace({0}, {1}, {2}, 'g')", "SPLIT": "string_split_regex({0}, {1})", "EL": "list_extract({0}, {1})", "SIZE": "cast(len({0}) as int)", "SHA": "sha256({0})", "ALL": "regexp_extract_all({0}, {1})", "EX": "regexp_extract({0}, {1}, {2})", "STR": "cast({0} as varchar)", "INT": "cast({0} as int)", "LONG": "cast({0} as bigint)", "JOIN": "array_to_string({0}, {1})", "TRYINT": "try_cast({0} as int)", "CODE": "ascii({0})", "HEXINT": "cast(('0x' || {0}) as int)", "DBL": "cast({0} as double)", "REV": "reverse({0})"}
 
 
 def _arguments(text: str, at: int) -> tuple[list[str], int]:

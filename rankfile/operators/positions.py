@@ -34,22 +34,36 @@ def placement_hash(placement: str) -> Column:
     )
 
 
+def hash_of(placement: str, table: list[int]) -> int:
+    """The same key, for one placement."""
+    key, at = 0, 56
+    for c in placement:
+        if c == "/":
+            at -= 16
+        elif c.isdigit():
+            at += int(c)
+        else:
+            key ^= table[at * 12 + PIECES.index(c)]
+            at += 1
+    return key
+
+
 def _replayed(batches):
+    table = key_table()
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for node, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for ply, fen in enumerate(replay(re.findall(SAN, text or "")), 1):
                 part = fen.split(" ")
-                for c, x in zip(cols, (node, doc, ply, part[0], part[1] == "w")):
+                for c, x in zip(cols, (node, doc, ply, part[0], part[1] == "w", hash_of(part[0], table))):
                     c.append(x)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()))], names=["node_id", "doc_id", "ply", "placement", "white_to_move"])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64()))], names=["node_id", "doc_id", "ply", "placement", "white_to_move", "zobrist"])
 
 
 def positions(nodes: DataFrame) -> DataFrame:
     """(node_id, doc_id, ply, placement, white_to_move, zobrist) of the main lines, up to the first illegal move."""
     games = nodes.where("scope = 'mainline' and text <> ''").select("node_id", "doc_id", "text").distinct()
-    p = games.mapInArrow(_replayed, "node_id long, doc_id long, ply int, placement string, white_to_move boolean")
-    return p.withColumn("zobrist", placement_hash("placement"))
+    return games.mapInArrow(_replayed, "node_id long, doc_id long, ply int, placement string, white_to_move boolean, zobrist long")
 
 
 def find_position(pos: DataFrame, placement: str, white_to_move: bool | None = None) -> DataFrame:

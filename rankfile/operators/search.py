@@ -13,32 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import column
+from ..session import written
 
 _LETTER = "0-9A-Za-zÀ-ɏЀ-ӿ"
 _CORE = "RR(RR(c, '^[({<«\"‹]+', ''), '[)}>»\"›,;:]+$', '')"
 _SAN = "(?:O-O-O|O-O|[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=[KQRBN])?)"
-_NUMBER = "EX(k, '^([0-9]+[.]+).+$', 1)"
-_BODY0 = "case when RL(k, '^[0-9]+[.]+.+$') then EX(k, '^[0-9]+[.]+(.+)$', 1) else k end"
-_BODY = "case when RL(b, '^[0oO]-[0oO]-[0oO]$') then 'O-O-O' when RL(b, '^[0oO]-[0oO]$') then 'O-O' when RL(b, '^[KQRBN]?[a-h]?[1-8]?:[a-h][1-8]') then replace(b, ':', 'x') else b end"
-
-
-def _chain(template: str, **parts: str) -> str:
-    for k, v in parts.items():
-        template = re.sub(rf"(?<![A-Za-z_']){k}(?![A-Za-z_'(])", lambda _: f"({v})", template)
-    return template
-
-
-_B = _chain(_BODY, b=_BODY0)
-_MOVE = f"EX({_B}, '^({_SAN}[+#]?)', 1)"
-_TAIL = f"substr({_B}, length({_MOVE}) + 1)"
-_IS_MOVE = f"({_MOVE} <> '' and not RL({_TAIL}, '[0-9A-Za-z]'))"
-_CODE = f"replace(replace(replace(replace(replace(replace({_MOVE}, 'K', 'k_'), 'Q', 'q_'), 'R', 'r_'), 'B', 'b_'), 'N', 'n_'), 'O', 'o_')"
+_WORD = "^[A-Za-zÀ-ɏЀ-ӿ]{4,}$"  # a plain word, that can be no move
+_NUMBERED = "case when RL(k, '^[0-9]+[.]+.+$') then EX(k, '^[0-9]+[.]+(.+)$', 1) else k end"
+_BODY = "case when RL(p.b, '^[0oO]-[0oO]-[0oO]$') then 'O-O-O' when RL(p.b, '^[0oO]-[0oO]$') then 'O-O' when RL(p.b, '^[KQRBN]?[a-h]?[1-8]?:[a-h][1-8]') then replace(p.b, ':', 'x') else p.b end"
+_TAIL = "substr(v.b, length(v.m) + 1)"
+_CODE = "replace(replace(replace(replace(replace(replace(v.m, 'K', 'k_'), 'Q', 'q_'), 'R', 'r_'), 'B', 'b_'), 'N', 'n_'), 'O', 'o_')"
 _MARKS = f"RR({_TAIL}, '[^-+#=._!?/]', '')"
-#: tokens of a text {x}: moves in their case code (also with their number), results, marks, and words.
+_IS_MOVE = f"v.m <> '' and not RL({_TAIL}, '[0-9A-Za-z]')"
+_CORES = "FILTER(MAP(SPLIT(translate({x}, '♔♕♖♗♘♚♛♜♝♞–—−', 'KQRBNKQRBN---'), '[ \n\t]+'), c, " + _CORE + "), k, k <> '' and not RL(k, '^[0-9]+[.]*$'))"
+#: tokens of a text {x}: moves in their case code (also with their number), results, marks, and words. Each chunk's
+#: core, body and move are bound once, by nested maps.
+_BOUND = f"MAP(MAP(MAP({_CORES}, k, PAIR(k, case when RL(k, '{_WORD}') then '' else {_NUMBERED} end)), p, PAIR(p.k, {_BODY})), q, TRIPLE(q.k, q.b, case when q.b = '' then '' else EX(q.b, '^({_SAN}[+#]?)', 1) end))"
 TOKENS = (
-    "flatten(MAP(FILTER(MAP(SPLIT(translate({x}, '♔♕♖♗♘♚♛♜♝♞–—−', 'KQRBNKQRBN---'), '[ \n\t]+'), c, " + _CORE + "), k, k <> '' and not RL(k, '^[0-9]+[.]*$')), k, "
-    f"case when RL(k, '^(1-0|0-1|1/2-1/2|[*])$') then LIST(k) when {_IS_MOVE} and {_NUMBER} <> '' then LIST({_NUMBER} || {_CODE}, {_CODE}) when {_IS_MOVE} and RL({_MARKS}, '[-!?+=/#]') then LIST({_CODE}, {_MARKS}) when {_IS_MOVE} then LIST({_CODE}) "
-    f"when not RL(k, '[{_LETTER}]') then NONE() else FILTER(SPLIT(lower(k), '[^{_LETTER}]+'), w, w <> '') end))"
+    f"flatten(MAP({_BOUND}, v, case when v.b = '' then LIST(lower(v.k)) when RL(v.k, '^(1-0|0-1|1/2-1/2|[*])$') then LIST(v.k) when {_IS_MOVE} and RL(v.k, '^[0-9]+[.]') then LIST(EX(v.k, '^([0-9]+[.]+).+$', 1) || {_CODE}, {_CODE}) "
+    f"when {_IS_MOVE} and RL({_MARKS}, '[-!?+=/#]') then LIST({_CODE}, {_MARKS}) when {_IS_MOVE} then LIST({_CODE}) when not RL(v.k, '[{_LETTER}]') then NONE() else FILTER(SPLIT(lower(v.k), '[^{_LETTER}]+'), w, w <> '') end))"
 )
 
 
@@ -57,16 +50,23 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values of the ranking function
 
 
 def bm25(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """(node_id, score) of the nodes that hold every term, by BM25 over all nodes."""
-    base = nodes.where("text is not null and text <> ''").select("node_id", tokens("text").alias("t")).dropDuplicates(["node_id"])
-    stats = base.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avglen"))
-    hits = base.where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in terms])))
-    tf = hits.select("node_id", F.size("t").alias("n"), F.explode("t").alias("token")).where(F.col("token").isin(terms)).groupBy("node_id", "n", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))  # a row a term
-    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avglen")))
-    scored = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # one row of corpus statistics
-    return scored.groupBy("node_id").agg(F.sum(part).alias("score"), F.count("*").alias("k")).where(F.col("k") == len(set(terms))).select("node_id", "score")
+    """(node_id, score) of the nodes that hold every term, by BM25 over all nodes.
+
+    One pass tokenizes the texts and keeps only each node's length and counts of the terms; corpus statistics and
+    scores come from those few columns.
+    """
+    terms = sorted(set(terms))
+    t = nodes.where("text is not null and text <> ''").select("node_id", tokens("text").alias("t"))
+    counts = [F.size(F.filter("t", lambda x, w=w: x == F.lit(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
+    base = written(t.select("node_id", F.size("t").alias("n"), *counts), "bm25").dropDuplicates(["node_id"])
+    stats = base.agg(F.count("*").alias("docs"), F.avg("n").alias("avglen"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    scored = base.where(" and ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # one row of statistics
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - df + 0.5) / (df + 0.5)))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avglen")))
+    return scored.select("node_id", score.alias("score"))
 
 
 def parse_boolean(text: str) -> list:
