@@ -49,6 +49,10 @@ def postings(nodes: DataFrame) -> DataFrame:
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values of the ranking function
 
 
+def _equals(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def bm25(nodes: DataFrame, terms: list[str]) -> DataFrame:
     """(node_id, score) of the nodes that hold every term, by BM25 over all nodes.
 
@@ -57,7 +61,7 @@ def bm25(nodes: DataFrame, terms: list[str]) -> DataFrame:
     """
     terms = sorted(set(terms))
     t = nodes.where("text is not null and text <> ''").select("node_id", tokens("text").alias("t"))
-    counts = [F.size(F.filter("t", lambda x, w=w: x == F.lit(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
+    counts = [F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     base = written(t.select("node_id", F.size("t").alias("n"), *counts), "bm25").dropDuplicates(["node_id"])
     stats = base.agg(F.count("*").alias("docs"), F.avg("n").alias("avglen"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     scored = base.where(" and ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # one row of statistics
