@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.board import START, replay
 from ..functions.scalars import SAN, call
+from ..session import spread
 
 PIECES = "PNBRQKpnbrqk"  # fixed value: order of the pieces in the key table
 SEED = 0xCA155A2026  # fixed value: seed of the key table
@@ -62,7 +63,7 @@ def _replayed(batches):
 
 def positions(nodes: DataFrame) -> DataFrame:
     """(node_id, doc_id, ply, placement, white_to_move, zobrist) of the main lines, up to the first illegal move."""
-    games = nodes.where("scope = 'mainline' and text <> ''").select("node_id", "doc_id", "text").distinct()
+    games = spread(nodes.where("scope = 'mainline' and text <> ''").select("node_id", "doc_id", "text")).distinct()
     return games.mapInArrow(_replayed, "node_id long, doc_id long, ply int, placement string, white_to_move boolean, zobrist long")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import column
-from ..session import written
+from ..session import spread, written
 
 _LETTER = "0-9A-Za-zÀ-ɏЀ-ӿ"
 _CORE = "RR(RR(c, '^[({<«\"‹]+', ''), '[)}>»\"›,;:]+$', '')"
@@ -60,7 +60,7 @@ def bm25(nodes: DataFrame, terms: list[str]) -> DataFrame:
     scores come from those few columns.
     """
     terms = sorted(set(terms))
-    t = nodes.where("text is not null and text <> ''").select("node_id", tokens("text").alias("t"))
+    t = spread(nodes.where("text is not null and text <> ''").select("node_id", "text")).select("node_id", tokens("text").alias("t"))
     counts = [F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     base = written(t.select("node_id", F.size("t").alias("n"), *counts), "bm25").dropDuplicates(["node_id"])
     stats = base.agg(F.count("*").alias("docs"), F.avg("n").alias("avglen"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))

@@ -57,3 +57,9 @@ def _drop(path: str) -> None:
     local = path.removeprefix("file://")
     if Path(local).exists():
         shutil.rmtree(local, ignore_errors=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer partitions than that (a few small files); else as it is."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
