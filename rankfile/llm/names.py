@@ -25,6 +25,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from ..session import written
 
 SURNAME = 0.90  # Jaro-Winkler from which surnames or club names are alike
+ONE_EDIT = 0.85  # the same for names one edit apart
 GIVEN = 0.92
 ROUNDS = 30
 
@@ -36,13 +37,13 @@ NICKNAMES = {
     "guillermo": "memo guille", "heinrich": "heinz heiner hein", "henri": "riri henry", "ignacio": "nacho", "irene": "rena reni", "james": "jim jimmy jamie",
     "johannes": "hans hannes johann jan", "jose": "pepe chepe", "katherine": "kate kitty kathy katie cathy kat", "leopold": "leo poldi", "ludwig": "lutz luis wiggerl lu",
     "margaret": "meg maggie peggy margie", "mikhail": "misha mischa michail", "nikolai": "kolya nick kolja nikolay", "oskar": "ossi oscar", "paul": "paulie pavel pauli",
-    "quentin": "quent quin", "richard": "dick rick rich ricky", "robert": "bob rob bobby bert", "susanne": "susi susan sanne suse", "theodore": "ted teddy theo", "ursula": "uschi ulla ursel",
+    "quentin": "quent quin", "richard": "dick rick rich ricky", "robert": "bob rob bobby bert", "roman": "roma romka", "susanne": "susi susan sanne suse", "theodore": "ted teddy theo", "ursula": "uschi ulla ursel",
     "viktor": "vitya vic victor vik", "vladimir": "volodya vova vlad", "wilhelmina": "mina minnie willa wilma", "william": "bill will billy willy liam", "xavier": "xavi javi javier",
     "yevgeny": "zhenya evgeny eugene jewgeni yevgeni", "zoltan": "zoli",
 }
 TITLES = set("gm im fm wgm wim wfm cm nm dr prof mr mrs ms herr frau sr sra don".split())
 SUFFIXES = set("jr jun junior sen senior ii iii".split())
-CLUB = re.compile(r"\b(chess\s+club|schachklub|schachclub|schachverein|club\s+de\s+ajedrez|club\s+d\W?\s*echecs|cercle\s+d\W?\s*echecs(\s+de)?|clube\s+de\s+xadrez|шахматный\s+клуб)\b")
+CLUB = re.compile(r"\b(chess\s+club|ch\.?\s+club|schach-?\s?klub|schach-?\s?club|schachverein|club\s+(?:de\s+)?ajedrez|club\s+d\W?\s*echecs|cercle\s+d\W?\s*echecs(\s+de)?|clube\s+de\s+xadrez|шахматный\s+клуб)\b")
 SHORT_CLUB = re.compile(r"^((?:sk|cc|ca|ce|sv|sc|cx)\.?|c\s?\.\s?a\s?\.?|c\s?\.\s?e\s?\.?|c\s?\.\s?c\s?\.?|s\s?\.\s?k\s?\.?)\s+(?P<a>\S.*)$|^(?P<b>.*\S)\s+((?:sk|cc|ca|ce|sv)\.?|c\.\s?[cae]\.?|s\.\s?k\.?)$")
 PLACEHOLDER = re.compile(r"^[\s?.*\-_/,]*$|^(nn|n\s?n|unknown|unbekannt|anon|anonymous|desconocido|inconnu|n\s?/\s?a|none|null)$")
 _FORMAL: dict[str, set[str]] = {}
@@ -180,7 +181,8 @@ def alike(a: str, b: str) -> bool:
         return True
     if abs(len(x) - len(y)) > 2 or min(len(x), len(y)) < 4:
         return False
-    return jaro_winkler(x, y) >= SURNAME and edits(x, y) <= (1 if min(len(x), len(y)) < 9 else 2)
+    apart = edits(x, y)
+    return apart <= 1 and jaro_winkler(x, y) >= ONE_EDIT or apart == 2 and min(len(x), len(y)) >= 9 and jaro_winkler(x, y) >= SURNAME
 
 
 def edits(a: str, b: str) -> int:
