@@ -1,6 +1,6 @@
 """Per-document statistics of text quality and a verdict prose or not (problem 1).
 
-Thirteen statistics are computed for every text, in one pass over all characters of a batch. For each language (by
+Fourteen statistics are computed for every text, in one pass over all characters of a batch. For each language (by
 its common words) the mean and covariance of prose are estimated robustly, on all rows: start from the quartiles,
 then twice keep the rows near the centre and take their mean and covariance (concentration steps). A text's
 outlierness is its Mahalanobis distance from its language's prose; the contribution of a statistic is its share
@@ -24,19 +24,19 @@ from .words import mixed, _powers
 
 # Common words of each language.
 COMMON = {
-    "en": "the of and to in a is that for as was with be by on not but at are this from or an which were there if so its about into than when after because where while since",
-    "de": "der die das und in zu den von ist mit auf für im nicht ein eine dem des sich auch als an nach wie aus bei es doch weil denn ohne wird nur noch gegen",
-    "es": "el la de que y en los las un una del al con por para se no es como más pero su lo sin tras desde sobre muy donde cuando ha toda contra",
-    "pt": "o a de que e em os as um uma do da no na com por para se não é como mais mas seu dos das após desde sobre ao à pelo sem toda",
-    "fr": "le la les de des et en un une du au que qui dans pour par sur pas est avec plus mais ne se son sans après depuis aux toute comme rien contre",
-    "ru": "и в на не что с по как к из у за от но это для при после же так то а бы все весь всё без под над перед ещё его",
+    "en": "the of and to in a is that for as was with be by on not but at are this from or an which were there if so its about into than when after because where while since without any every against under over only once more such other can will would has have had been no out up two just here most very",
+    "de": "der die das und in zu den von ist mit auf für im nicht ein eine dem des sich auch als an nach wie aus bei es doch weil denn ohne wird nur noch gegen jede zwei trotz unter über aber oder wenn so zum zur hat war",
+    "es": "el la de que y en los las un una del al con por para se no es como más pero su lo sin tras desde sobre muy donde cuando ha toda contra todo bajo dos hasta entre también ya fue este esta son sin mucho",
+    "pt": "o a de que e em os as um uma do da no na com por para se não é como mais mas seu dos das após desde sobre ao à pelo sem toda todo sob dois até entre também já foi este esta são muito contra",
+    "fr": "le la les de des et en un une du au que qui dans pour par sur pas est avec plus mais ne se son sans après depuis aux toute comme rien contre tout sous deux entre aussi très été cette ces où très il elle n d l",
+    "ru": "и в на не что с по как к из у за от но это для при после же так то а бы все весь всё без под над перед ещё его году года был была два две уже или раз нет где когда ли чем при обоих всем",
 }
 LANGS = tuple(COMMON)
-STATS = ("log_words", "word_length", "common_share", "symbol_share", "line_end_share", "title_share", "number_share", "single_share", "vowelless_share", "odd_word_share", "distinct_share", "leader_share", "item_share")
+STATS = ("log_words", "word_length", "common_share", "symbol_share", "line_end_share", "title_share", "number_share", "single_share", "vowelless_share", "odd_word_share", "distinct_share", "leader_share", "item_share", "accent_share")
 #: +1: only more is against prose, -1: only less is, 0: both.
-SIDE = np.array([0, 0, -1, 1, -1, 1, 1, 1, 1, 1, -1, 1, 1])
+SIDE = np.array([0, 0, -1, 1, -1, 1, 1, 1, 1, 1, -1, 1, 1, 1])
 #: The smallest standard deviation taken for a statistic, so that near-constant ones don't decide alone.
-FLOOR = np.array([1.0, 0.9, 0.08, 0.03, 0.25, 0.10, 0.06, 0.06, 0.05, 0.05, 0.12, 0.015, 0.12])
+FLOOR = np.array([1.0, 0.9, 0.08, 0.03, 0.25, 0.10, 0.06, 0.06, 0.05, 0.05, 0.12, 0.015, 0.12, 0.06])
 MIN_ROWS = 200
 CUT = 20.0  # squared distance beyond which a text is no prose
 
@@ -117,7 +117,7 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.minimum.accumulate(np.where(space, len(code), np.arange(len(code)))[::-1])[::-1]  # next character that is no space
     head = first[prev + 1][real]
     after = np.minimum.accumulate(np.where(digit, len(code), np.arange(len(code)))[::-1])[::-1]
-    bullet = _table("bullet", lambda c: c in "-–—*•·‣▪◦+>")[code]
+    bullet = _table("bullet", lambda c: c in "-–—*•·‣▪◦+>»o")[code]
     limit = len(code) - 1
     number = digit[head] & np.isin(code[np.minimum(after[head], limit)], (41, 46)) & space[np.minimum(after[head] + 1, limit)]
     box = (code[head] == 91) & np.isin(code[np.minimum(head + 2, limit)], (93,))  # "[ ]"
@@ -135,13 +135,14 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             of(~(alpha | digit | space | fine)) / ink,
             closed / lines,
             per(title) / some,
-            per(digits == length) / every,
+            per((digits == length) & ~((length == 1) & (code[a] == 48))) / every,  # a lone 0 is part of castling
             per((length == 1) & (langs == 0) & (digits == 0)) / every,
             per(word & (vowels == 0) & (length >= 3) & (uppers < length)) / some,
             per((digits > 0) & (digits < length) & (length >= 7)) / every,
             np.where(words > 0, distinct / some, 1.0),
             of(same) / ink,
             item / lines,
+            of(_table("accent", lambda c: c.isalpha() and 0xC0 <= ord(c) < 0x250)[code]) / np.maximum(of(alpha), 1),
         ],
         1,
     )
