@@ -130,3 +130,10 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
     found = leaks(docs, "doc_id", "text", items, "item_id", "text")
     return without_leaks(docs, "doc_id", "text", found).select("doc_id", F.md5("text").alias("text_md5"), "words_removed")
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+SQL = {
+    "p7_found": f"with i as (select item_id, w, unnest(range(1, len(w) - 8)) as k from (select item_id, {_WORDS} as w from eval_items) a), d as (select doc_id, w, unnest(range(1, len(w) - 8)) as k from (select doc_id, {_WORDS} as w from documents) b) "
+    "select distinct d.doc_id, i.item_id from (select distinct doc_id, array_to_string(w[k:k+9], ' ') as r from d) d join (select distinct item_id, array_to_string(w[k:k+9], ' ') as r from i) i on d.r = i.r",
+}

@@ -240,3 +240,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet").where("scope is null or scope <> 'headers'")
     members, links = near_duplicates(nodes, "node_id", "text", similarity=0.55, shingle=3, min_words=30)
     return key_pairs(members, links).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+
+
+SQL = {
+    "p3_found": r"with n as (select distinct node_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from nodes where scope is null or scope <> 'headers'), "
+    "s as (select distinct node_id, array_to_string(w[k:k+2], ' ') as g from (select node_id, w, unnest(range(1, len(w) - 1)) as k from n where len(w) >= 30) t), c as (select node_id, count(*) as k from s group by node_id), "
+    "p as (select a.node_id as a, b.node_id as b, count(*) as both from s a join s b on a.g = b.g and a.node_id < b.node_id group by 1, 2) "
+    "select p.a as node_a, p.b as node_b from p join c x on x.node_id = p.a join c y on y.node_id = p.b where p.both >= 0.55 * (x.k + y.k - p.both) - 1e-9",
+}

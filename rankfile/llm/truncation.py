@@ -88,3 +88,23 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     c = cut_texts(docs, "doc_id", "source", "text")
     return c.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("cut").alias("cut_documents"), F.count_if("at_spike").alias("at_spike"), F.round(F.count_if("cut") / F.count("*"), 4).alias("cut_share"))
+
+
+def _duck_kinds() -> str:
+    rules = [(RESULT, "result"), (MARK, ""), (MOVE_NUMBER, ""), (ANNOTATED, "")]
+    q = lambda p: p.replace("'", "''")
+    first = " ".join(f"when regexp_matches(line, '{q(p)}') then '{k}'" for p, k in rules)
+    rest = " ".join(f"when regexp_matches(line, '{q(p)}') then '{k}'" for p, k in ((ENTRY, "entry"), (PLACE, "place"), (SIGNATURE, "signature"), (PLACE_DATE, "date")))
+    return f"case {first} when regexp_matches(line, '{q(SENTENCE)}') and not regexp_matches(line, '{q(ENTRY)}') then 'sentence' {rest} else '' end"
+
+
+_ENDS = f"select doc_id, source, chars, bytes, {_duck_kinds()} as ending from (select doc_id, source, length(text) as chars, strlen(text) as bytes, list_extract(string_split(regexp_replace(text, '[\\s]+$', ''), chr(10)), -1) as line from documents where text <> '') t"
+_HEAPS = (
+    "select source, unit, length from (select source, unit, length, n, (sum(n) over (partition by source, unit order by length range between 50 preceding and 50 following) - n) / 100.0 as m from "
+    "(select source, 'c' as unit, chars as length, count(*) as n from ends group by all union all select source, 'b', bytes, count(*) from ends group by all) h) w where n >= 5 and n > 6 * m + 3 * sqrt(m) + 2"
+)
+SQL = {
+    "p9_found": f"with ends as ({_ENDS}), sp as ({_HEAPS}) select distinct doc_id from ends e where ending = '' or (ending in ('signature', 'entry') and exists (select 1 from sp where sp.source is not distinct from e.source and ((unit = 'c' and sp.length = e.chars) or (unit = 'b' and sp.length = e.bytes))))",
+    "p9_rates": f"with ends as ({_ENDS}), sp as ({_HEAPS}), f as (select e.*, exists (select 1 from sp where sp.source is not distinct from e.source and ((unit = 'c' and sp.length = e.chars) or (unit = 'b' and sp.length = e.bytes))) as at_s from ends e), "
+    "g as (select source, at_s, (ending = '' or (at_s and ending in ('signature', 'entry'))) as cut from f) select source, count(*) as documents, cast(sum(cut::int) as bigint) as cut_documents, cast(sum(at_s::int) as bigint) as at_spike, round(sum(cut::int)::double / count(*), 4) as cut_share from g group by source",
+}
