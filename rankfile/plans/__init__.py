@@ -4,13 +4,13 @@ from __future__ import annotations
 
 
 def _registries() -> list:
-    from ..operators import edits, metrics, positions, search
+    from ..operators import edits, metrics, movetext, positions, search
     from ..streaming import ingest
     from . import relational_ops, scalar_ops
     from .registry import Registry
 
     extra = Registry()
-    for name, f in (*positions.QUERIES.items(), *metrics.QUERIES.items()):
+    for name, f in (*positions.QUERIES.items(), *metrics.QUERIES.items(), *movetext.QUERIES.items()):
         extra.plan(name, f)
     for name, (f, sql) in (*search.QUERIES.items(), *edits.QUERIES.items(), *ingest.QUERIES.items()):
         extra.plan(name, f, sql)

@@ -7,7 +7,7 @@ import pytest
 
 from rankfile.functions.board import Board, is_legal_position, replay
 from rankfile.functions.dialect import duck, spark_sql
-from rankfile.operators import edits, metrics, positions
+from rankfile.operators import edits, metrics, movetext, positions
 from rankfile.operators.search import Query, bm25, matches, move_glob, parse_boolean, search, tokens
 from rankfile.sources.pgn import PgnSource, games
 from rankfile.streaming import ingest
@@ -98,6 +98,18 @@ def test_metrics():
     assert metrics.greedy_pairs([(0, 0, 2, 2), (5, 5, 1, 1)], [(0, 0, 2, 2)], 0.5) == 1
 
 
+def test_movetext():
+    text = "1.e4 e5 (1...c5 2.Nf3 (2.c3 d5) 2...d6) 2.Nf3! {good} Nc6 $4 *"
+    got, issues = movetext.parse(text)
+    assert not issues and [(m["san"], m["ply"], len(m["path"]) // 2) for m in got] == [("e4", 1, 0), ("e5", 2, 0), ("c5", 2, 1), ("Nf3", 3, 1), ("c3", 3, 2), ("d5", 4, 2), ("d6", 4, 1), ("Nf3", 3, 0), ("Nc6", 4, 0)]
+    assert movetext.to_text(got) == "1. e4 e5 (1... c5 2. Nf3 (2. c3 d5) 2... d6) 2. Nf3! {good} 2... Nc6 $4" and movetext.labels(got) == ["A", "A1"]
+    assert movetext.parse("1.e4 ) (")[1] == [(5, "unopened bracket"), (8, "unclosed bracket")] and movetext.parse(None) == ([], []) and movetext.parse("")[0] == []
+    up = movetext.promote(got, got[2]["path"])
+    assert [m["san"] for m in up if not m["path"]] == ["e4", "c5", "Nf3", "d6"] and movetext.unbalanced("a(b]c") == [(1, "("), (3, "]")]
+    assert movetext.first_json_object('x {bad} {"a": {"b": 1}} y') == '{"a": {"b": 1}}' and movetext.first_json_object("none") is None
+    assert movetext.normal("0-0–x  ﬁ") == "O-O-x fi" and movetext.folded("Étüde ß") == "etude ss" and movetext.normal(None) is None
+
+
 def test_dialects():
     assert spark_sql("RL({x}, '^[[]a')", x="t") == "regexp_like(t, '^\\\\[a')" and duck("EL(SPLIT({x}, ' '), 2)", x="t") == "list_extract(string_split_regex(t, ' '), 2)"
 
