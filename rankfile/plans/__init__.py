@@ -6,7 +6,7 @@ from __future__ import annotations
 def _registries() -> list:
     from ..operators import edits, metrics, movetext, positions, search
     from ..streaming import ingest
-    from . import relational_ops, scalar_ops
+    from . import more_ops, relational_ops, scalar_ops
     from .registry import Registry
 
     extra = Registry()
@@ -14,7 +14,7 @@ def _registries() -> list:
         extra.plan(name, f)
     for name, (f, sql) in (*search.QUERIES.items(), *edits.QUERIES.items(), *ingest.QUERIES.items()):
         extra.plan(name, f, sql)
-    return [scalar_ops.R, relational_ops.R, extra]
+    return [scalar_ops.R, relational_ops.R, more_ops.R, extra]
 
 
 def all_queries() -> dict:
