@@ -83,3 +83,19 @@ def test_cut_texts(spark):
     assert not any(got[i] for i in range(len(whole))) and all(got[100 + i] for i in range(len(cut)))
     assert 900 not in got and 901 not in got
     assert cut_texts(df.limit(0), "doc_id", "source", "text").count() == 0
+
+
+def test_scans_end_to_end(spark, tmp_path):
+    """Null keys, texts and line numbers, repeated rows, extra columns, and a table without scans."""
+    d = str(tmp_path)
+    prose = "With the queen after the break from the open side of it, then the moves from the side of the board. "
+    nodes = [(i, 1, "all", prose * 2 + f"Word{i} ends it.", 5) for i in range(250)] + [(900, 1, "all", "With the queen after the bre-\nak from the side, then the m0ves.", 5), (901, 1, "all", None, 5), (902, 1, "all", "", 5), (None, 1, "all", prose, 5), (903, None, None, prose, 5)]
+    spark.createDataFrame(nodes, "node_id long, doc_id long, scope string, text string, faults int").write.parquet(f"{d}/nodes.parquet")
+    spans = [(1, 1, 1, 1, 1, "12"), (2, 1, 1, 2, 1, "After the moves from the brc-"), (3, 1, 1, 3, 1, "ak of the side"), (3, 1, 1, 3, 1, "ak of the side"), (4, 1, None, None, None, None), (5, None, 1, 1, 1, "x"), (6, 1, 1, 4, 1, "")]
+    spark.createDataFrame(spans, "span_id long, doc_id long, page int, line_no int, span_no int, text string").write.parquet(f"{d}/text_spans.parquet")
+    spark.createDataFrame([(1, "scan"), (1, "scan"), (2, None)], "doc_id long, stratum string").write.parquet(f"{d}/library.parquet")
+    got = {(r.rec_kind, r.rec_id, r.fault) for r in scans.p2_found(spark, d).collect()}
+    assert {("node", 900, "hyphen"), ("node", 900, "misread"), ("span", 1, "furniture"), ("span", 2, "hyphen")} <= got and not any(k[1] in range(250) for k in got if k[0] == "node")
+    assert scans.p2_pages(spark, d).count() == 1
+    spark.createDataFrame([(7, "book")], "doc_id long, stratum string").write.mode("overwrite").parquet(f"{d}/library.parquet")
+    assert scans.p2_found(spark, d).count() == 0
