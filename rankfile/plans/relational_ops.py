@@ -122,18 +122,18 @@ S("o5_3_furniture_classify", "select span_id, case when RL(lower(trim(RR(text, '
 S("o5_4_body_font_size", "select doc_id, font_size from (select doc_id, font_size, row_number() over (partition by doc_id order by n desc, font_size) as r from (select doc_id, font_size, sum(length(text)) as n from @S s where text is not null group by doc_id, font_size) a) b where r = 1")
 P("o5_5_detect_columns", "select doc_id, page, bin, count(*) as n from (select doc_id, page, explode(sequence(INT(floor(x / 50)), INT(floor((x + w) / 50)))) as bin from @S s) t group by doc_id, page, bin", "select doc_id, page, bin, count(*) as n from (select doc_id, page, unnest(range(INT(floor(x / 50)), INT(floor((x + w) / 50)) + 1))::int as bin from @S s) t group by doc_id, page, bin")
 S("o5_6_largest_gap", "select doc_id, page, round(max(y - back), 4) as gap from (select doc_id, page, y, max(y + h) over (partition by doc_id, page order by y, span_id rows between unbounded preceding and 1 preceding) as back from @S s) t where back is not null group by doc_id, page")
-S("o5_7_reading_order", "select span_id, row_number() over (partition by doc_id, page order by line_no, x, span_id) as rank from @S s")
+S("o5_7_reading_order", "select span_id, LONG(row_number() over (partition by doc_id, page order by line_no, x, span_id)) as rank from @S s")
 S("o5_8_running_page_number", "select doc_id, page, (page = back + 1) as follows from (select doc_id, page, lag(page) over (partition by doc_id order by page) as back from (select distinct doc_id, page from @S s) p) t")
 S("o5_9_dominant_placement", "select doc_id, max(case when r = 1 then engine end) as engine from (select doc_id, engine, row_number() over (partition by doc_id order by count(*) desc, engine) as r from @S s group by doc_id, engine) t group by doc_id")
 S("o5_10_paragraph_builder", "select doc_id, page, para, count(*) as spans, min(span_id) as first_span from (select doc_id, page, span_id, LONG(sum(brk) over (partition by doc_id, page order by line_no, span_no, span_id rows unbounded preceding)) as para from (select doc_id, page, line_no, span_no, span_id, case when RL(lag(text) over (partition by doc_id, page order by line_no, span_no, span_id), '[.!?]$') then 1 else 0 end as brk from @S s where text is not null) a) b group by doc_id, page, para")
 P("o5_11_column_measures", "select doc_id, round(percentile(x + w, 5e-1), 4) as right_edge from @S s group by doc_id", "select doc_id, round(quantile_cont(x + w, 5e-1), 4) as right_edge from @S s group by doc_id")
-S("o5_12_heading_levels", "select doc_id, font_size, dense_rank() over (partition by doc_id order by font_size desc) as level from (select distinct doc_id, font_size from @S s) t")
+S("o5_12_heading_levels", "select doc_id, font_size, LONG(dense_rank() over (partition by doc_id order by font_size desc)) as level from (select distinct doc_id, font_size from @S s) t")
 P("o5_13_weak_word_confidence", "select doc_id, page, element_at(sort_array(collect_list(confidence)), INT(floor(1e-1 * (count(confidence) - 1))) + 1) as weak from @S s where confidence is not null group by doc_id, page", "select doc_id, page, list_extract(list_sort(list(confidence)), INT(floor(1e-1 * (count(confidence) - 1))) + 1) as weak from @S s where confidence is not null group by doc_id, page")
 S("o5_14_mean_confidence", "select doc_id, page, round(sum(confidence * length(text)) / sum(length(text)), 6) as mean_confidence from @S s where confidence is not null and length(text) > 0 group by doc_id, page")
 S("o5_15_line_confidence", "select doc_id, page, line_no, round(sum(confidence * length(text)) / sum(length(text)), 6) as mean_confidence from @S s where confidence is not null and length(text) > 0 group by doc_id, page, line_no")
-S("o5_16_page_window", "select node_id, total, rn from (select node_id, count(*) over () as total, row_number() over (order by doc_id, ordinal, node_id) as rn from @N n where scope = 'captions') t where rn between 11 and 20")
+S("o5_16_page_window", "select node_id, total, rn from (select node_id, count(*) over () as total, LONG(row_number() over (order by doc_id, ordinal, node_id)) as rn from @N n where scope = 'captions') t where rn between 11 and 20")
 S("o5_17_review_decided", "select node_id, edit_id, undone from (select node_id, edit_id, undone, row_number() over (partition by node_id order by edit_id desc) as r from @J j) t where r = 1")
-S("o5_18_move_order", "select node_id, row_number() over (partition by doc_id order by ordinal, node_id) as rank from @N n where scope in ('mainline', 'variations')")
+S("o5_18_move_order", "select node_id, LONG(row_number() over (partition by doc_id order by ordinal, node_id)) as rank from @N n where scope in ('mainline', 'variations')")
 
 # 2.6 sorts and top-k
 S("o6_2_final_order", "select node_id, doc_id, ordinal from @N n where text like '%Nxd5%' order by doc_id, ordinal, node_id limit 50")
@@ -144,7 +144,7 @@ S("o6_6_worst_regions", "select doc_id, page, round(avg(confidence), 6) as c fro
 S("o6_8_page_value", "select doc_id, page, round(sum(case when review then 1e0 else 0e0 end) + 5e-1 * sum(case when confidence < 8e-1 then 1e0 else 0e0 end), 4) as value from @S s group by doc_id, page")
 S("o6_9_rank_pages", "select doc_id, page, n from (select doc_id, page, count(*) as n from @S s where confidence < 8e-1 group by doc_id, page) t order by n desc, doc_id, page limit 10")
 S("o6_10_ranking_top", "select engine, span_id from (select engine, span_id, row_number() over (partition by engine order by confidence, span_id) as r from @S s where confidence is not null) t where r <= 3")
-S("o6_11_items_sorted", "select item_id, lang, row_number() over (order by item_id) as rn from (select distinct item_id, lang from @eval_items) t")
+S("o6_11_items_sorted", "select item_id, lang, LONG(row_number() over (order by item_id)) as rn from (select distinct item_id, lang from @eval_items) t")
 
 # 2.7 set operations
 S("o7_2_required_minus_present", "select t from (values ('nodes'),('facets'),('positions')) r(t) except select t from (values ('nodes'),('facets')) p(t)")
@@ -190,19 +190,19 @@ S("o12_2_arbiter_run", "select doc_id, page, line_no, span_id from (select doc_i
 P("o12_6_measure_evidence", "select doc_id, page, round(median(h), 4) as h, count(*) as n from @S s group by doc_id, page", "select doc_id, page, round(median(h), 4) as h, count(*) as n from @S s group by doc_id, page")
 S("o12_8_agreement", "select doc_id, page, line_no, round(avg(case when engine = 'glyphnet' then 1e0 else 0e0 end), 6) as agreement from @S s group by doc_id, page, line_no")
 S("o12_9_fusion_summary", "select doc_id, count(*) as spans, count(distinct page) as pages, count(distinct engine) as engines from @S s group by doc_id")
-S("o12_11_router_order", "select span_id, row_number() over (partition by doc_id, page order by case engine when '' then 0 when 'glyphnet' then 1 else 2 end, span_id) as rank from @S s")
+S("o12_11_router_order", "select span_id, LONG(row_number() over (partition by doc_id, page order by case engine when '' then 0 when 'glyphnet' then 1 else 2 end, span_id)) as rank from @S s")
 S("o12_15_find_gutters", "select doc_id, page, line_no, round(max(x - back), 4) as gutter from (select doc_id, page, line_no, x, lag(x + w) over (partition by doc_id, page, line_no order by x, span_id) as back from @S s) t where back is not null group by doc_id, page, line_no")
 S("o12_16_split_at_gutters", "select span_id, (x + w / 2 > 200) as right_side from @S s")
 S("o12_30_facet_counts", "select lang, suite, count(*) as n from (select distinct item_id, lang, suite from @eval_items) t group by lang, suite")
 P("o12_31_manifest_hash", "select SHA(array_join(sort_array(collect_list(SHA(text))), '')) as hash from @eval_items", "select SHA(string_agg(SHA(text), '' order by SHA(text))) as hash from @eval_items")
 S("o12_32_manifest_validate", "select item_id, 'short' as problem from @eval_items where length(text) < 60 union all select item_id, 'no lang' from @eval_items where lang is null")
-S("o12_33_score_text", "select edit_id, (text_before = text_after) as exact, abs(length(text_before) - length(text_after)) as length_gap from @J j where text_before is not null and text_after is not null")
+S("o12_33_score_text", "select edit_id, (text_before = text_after) as exact, LONG(abs(length(text_before) - length(text_after))) as length_gap from @J j where text_before is not null and text_after is not null")
 
 # 2.13 maintenance and 2.14 updates
 S("o13_2_needs_reindex", "select d.doc_id from @D d where state <> 'complete' or content_key = '' or content_key is null")
 S("o13_3_remove", "select n.node_id from @N n where not exists (select 1 from @D d where d.doc_id = n.doc_id and d.kind = 'pgn')")
 S("o13_4_mark_failed", "select doc_id, case when node_count = 0 then 'failed' else state end as state from @D d")
-S("o13_5_documents", "select doc_id, uri, state, row_number() over (order by doc_id) as rn from @D d")
+S("o13_5_documents", "select doc_id, uri, state, LONG(row_number() over (order by doc_id)) as rn from @D d")
 S("o13_6_document", "select doc_id, uri from @D d where uri like '%00000002.pdf'")
 S("o13_7_flush", "select doc_id, max(ordinal) as cursor_at, count(*) as nodes from @N n group by doc_id")
 S("o13_8_upsert_document", "select doc_id, uri, state from (select doc_id, uri, state, row_number() over (partition by uri order by v desc) as r from (select doc_id, uri, state, 1 as v from @D d union all select doc_id, uri, 'pending', 2 from @D e where kind = 'pdf') u) t where r = 1")
@@ -217,7 +217,7 @@ S("o14_11_substitution", "select edit_id, RR(text_before, '^1[.]', '1. ') as t f
 S("o14_12_rules_by_scope", "select scope, locale, count(*) as n from (values ('token','de'),('prefix','de'),('token','es'),('free','en')) r(scope, locale) group by scope, locale")
 
 # 2.15 trees: documents hold nodes in order, scopes are the tags
-S("o15_1_walk", "select node_id, row_number() over (partition by doc_id order by ordinal, node_id) as rank, STR(doc_id) || '/' || STR(ordinal) as path from @N n")
+S("o15_1_walk", "select node_id, LONG(row_number() over (partition by doc_id order by ordinal, node_id)) as rank, STR(doc_id) || '/' || STR(ordinal) as path from @N n")
 S("o15_2_find", "select node_id, doc_id from @N n where scope = 'mainline'")
 S("o15_3_transform", "select node_id, case when scope = 'comments' then 'all' else scope end as scope from @N n where scope <> 'captions'")
 P("o15_4_plain_text", "select doc_id, array_join(transform(array_sort(collect_list(struct(ordinal, node_id, text))), x -> x.text), ' ') as text from @N n where scope = 'captions' and text is not null group by doc_id", "select doc_id, string_agg(text, ' ' order by ordinal, node_id, text) as text from @N n where scope = 'captions' and text is not null group by doc_id")

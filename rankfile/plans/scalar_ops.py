@@ -70,7 +70,7 @@ R.shared("o2_42_material_matches", f"select fen, (length(RR(b, '[^A-Z]', '')) =
 R.shared("o2_39_position_matches", f"select fen, (substr(b, 5, 1) = 'k') as king_on_e8, RL(b, '^.{{56}}[.R]') as a1_free_or_rook from ({_B64}) t")
 R.shared("o2_43_opposite_bishops", f"select fen, (length(b) - length(replace(b, 'B', '')) = 1 and length(b) - length(replace(b, 'b', '')) = 1 and (instr(b, 'B') + INT(floor((instr(b, 'B') - 1) / 8)) + instr(b, 'b') + INT(floor((instr(b, 'b') - 1) / 8))) % 2 = 1) as opposite from ({_B64}) t")
 R.shared("o10_16_plausibility", f"select fen, INT(length(RR(substr(b, 33, 32), '[^A-Z]', '')) + length(RR(substr(b, 1, 32), '[^a-z]', '')) - length(RR(substr(b, 1, 32), '[^A-Z]', '')) - length(RR(substr(b, 33, 32), '[^a-z]', ''))) as score from ({_B64}) t")
-R.shared("o6_12_rank_orientations", f"select fen, turn, row_number() over (partition by fen order by score desc, turn) as rank from (select fen, 0 as turn, length(RR(substr(b, 33, 32), '[^A-Z]', '')) as score from ({_B64}) t union all select fen, 180 as turn, length(RR(substr(b, 1, 32), '[^A-Z]', '')) as score from ({_B64}) u) v")
+R.shared("o6_12_rank_orientations", f"select fen, turn, LONG(row_number() over (partition by fen order by score desc, turn)) as rank from (select fen, 0 as turn, length(RR(substr(b, 33, 32), '[^A-Z]', '')) as score from ({_B64}) t union all select fen, 180 as turn, length(RR(substr(b, 1, 32), '[^A-Z]', '')) as score from ({_B64}) u) v")
 _SQ = "select x, f.f || r.r as s from (values (1)) one(x) cross join (values ('a'),('b'),('c'),('d'),('e'),('f'),('g'),('h')) f(f) cross join (values ('1'),('2'),('3'),('4'),('5'),('6'),('7'),('8')) r(r)"
 R.shared("o10_12_square_index", f"select s, {bind(TEMPLATES['square_index'], x='s')} as idx from ({_SQ}) t")
 R.shared("o10_13_square_name", f"select idx, {bind(TEMPLATES['square_name'], x='idx')} as s from (select {bind(TEMPLATES['square_index'], x='s')} as idx from ({_SQ}) t) u")
@@ -137,7 +137,7 @@ R.shared("o12_25_affine_compose", f"select DBL(m.a * n.a + m.b * n.c) as a, DBL(
 R.shared("o12_26_affine_invert", f"select round(DBL(d) / DBL(a * d - b * c), 6) as a, round(0e0 - DBL(b) / DBL(a * d - b * c), 6) as b, round(0e0 - DBL(c) / DBL(a * d - b * c), 6) as c, round(DBL(a) / DBL(a * d - b * c), 6) as d from {_MAT}")
 
 # confidence
-_one("o9_87_apply_verdict", _values("v, verdict, l", "(0.5, 'inconsistent', 0.9)", "(0.95, 'inconsistent', 0.9)", "(0.5, 'consistent', 0.9)", "(0.7, 'uncertain', 0.1)"), "v, verdict, l", "lowered_confidence", "confidence", x="v", v="DBL(v)", verdict="verdict", l="DBL(l)", floor="0.9")
+_one("o9_87_apply_verdict", _values("v, verdict, l", "(5e-1, 'inconsistent', 9e-1)", "(95e-2, 'inconsistent', 9e-1)", "(5e-1, 'consistent', 9e-1)", "(7e-1, 'uncertain', 1e-1)"), "v, verdict, l", "lowered_confidence", "confidence", x="v", v="DBL(v)", verdict="verdict", l="DBL(l)", floor="0.9")
 _one("o9_43_severity", both("select distinct span_id, confidence from @text_spans where confidence is not null"), "span_id", "severity", "severity", x="confidence", cer="(1 - confidence) / 10", conf="confidence")
 _one("o12_5_decide", both("select distinct span_id, confidence from @text_spans"), "span_id", "decision", "decision", x="confidence", conf="confidence")
 R.shared("o12_4_engine_calibration", "select span_id, round(greatest(0.0, power(confidence, 1.3)), 6) as calibrated from @S s where confidence is not null")
@@ -148,6 +148,6 @@ R.shared("o1_27_page_text_from_ocr", "select span_id, round(x * 72 / 300, 4) as
 R.shared("o4_3_throughput_mb_s", "select doc_id, round(size_bytes / 1e6 / 25e-1, 6) as mb_s from @D d where size_bytes is not null")
 R.shared("o13_16_progress_fraction", "select doc_id, round(case when size_bytes > 0 then DBL(byte_cursor) / size_bytes else 0.0 end, 6) as fraction from @D d")
 R.shared("o9_37_character_error_rate", "select edit_id, round(DBL(levenshtein(a, b)) / length(a), 6) as cer from (select edit_id, RR(text_before, '[^ -~]', '') as a, RR(text_after, '[^ -~]', '') as b from @J j where length(text_before) < 300) t where length(a) > 0")
-R.shared("o9_35_levenshtein", "select a.x as a, b.x as b, levenshtein(a.x, b.x) as d from (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][.]$')) a join (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][a-z]+$')) b on substr(a.x, 1, 3) = substr(b.x, 1, 3)")
+R.shared("o9_35_levenshtein", "select a.x as a, b.x as b, LONG(levenshtein(a.x, b.x)) as d from (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][.]$')) a join (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][a-z]+$')) b on substr(a.x, 1, 3) = substr(b.x, 1, 3)")
 R.shared("o15_12_merged_props", "select span_id, coalesce(font, 'BodyA-Roman') as font, coalesce(font_size, 10.0) as font_size from @S s")
 R.shared("o15_29_is_specified", "select span_id, (font is not null) as font_set, (confidence is not null) as confidence_set from @S s")
