@@ -1,8 +1,9 @@
 """Variant spellings of names typed by people (problem 5).
 
 Distinct spellings are parsed into surname and given name, or into the name of a club; they are blocked by
-phonetic codes of their sorted tokens, compared with Jaro-Winkler plus a nickname table within the blocks, and the
-accepted pairs are clustered by connected components.
+phonetic codes of their sorted tokens and by their letters with as many deleted as `alike` forgives, so that no pair
+that it accepts is left without a common key; compared with Jaro-Winkler plus a nickname table within the blocks, and
+the accepted pairs are clustered by connected components.
 
 A given name in full decides: two spellings that both have one are linked only if these agree (equal up to a typo,
 nickname, abbreviation). Spellings with an initial only, or without a given name, don't link persons to each
@@ -27,6 +28,7 @@ from ..session import written
 
 SURNAME = 0.90  # Jaro-Winkler from which surnames or club names are alike
 ONE_EDIT = 0.85  # the same for names one edit apart
+TWO_EDITS = 9  # letters from which two edits are forgiven
 GIVEN = 0.92
 
 # Nicknames of given names, titles, words of club names.
@@ -163,26 +165,37 @@ def phonetic(token: str) -> str:
     return out
 
 
+def squeezed(surname: str) -> str:
+    """The letters that `alike` compares."""
+    return surname.replace(" ", "").replace("'", "")
+
+
 def codes(kind: str, surname: str) -> list[str]:
-    """Blocking keys: start, end, and both ends of the phonetic code of the sorted tokens."""
+    """Blocking keys: start, end, and both ends of the phonetic code of the sorted tokens; and the squeezed letters,
+    whole and with one deleted, from TWO_EDITS letters on with two. Texts n edits or swaps apart are equal after n
+    deletions in each, so all pairs that `alike` accepts share one of these."""
     p = "".join(phonetic(t) for t in sorted(re.findall(r"[a-z]+", surname)))
     k = kind[0]
-    if len(p) < 4:
-        return [f"{k}={p}"] if p else []
-    return list(dict.fromkeys([f"{k}<{p[:4]}", f"{k}>{p[-4:]}", f"{k}|{p[:2]}{p[-2:]}"]))
+    ends = ([f"{k}={p}"] if p else []) if len(p) < 4 else [f"{k}<{p[:4]}", f"{k}>{p[-4:]}", f"{k}|{p[:2]}{p[-2:]}"]
+    x = squeezed(surname)
+    near = last = {x}
+    for _ in range(0 if len(x) < 4 else 2 if len(x) >= TWO_EDITS else 1):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        near = near | last
+    return list(dict.fromkeys([*ends, *(f"{k}~{w}" for w in sorted(near))]))
 
 
 def alike(a: str, b: str) -> bool:
     """Whether two surnames (or club names) are one up to typos."""
     if a == b:
         return True
-    x, y = a.replace(" ", "").replace("'", ""), b.replace(" ", "").replace("'", "")
+    x, y = squeezed(a), squeezed(b)
     if x == y:
         return True
     if abs(len(x) - len(y)) > 2 or min(len(x), len(y)) < 4:
         return False
     apart = edits(x, y)
-    return apart <= 1 and jaro_winkler(x, y) >= ONE_EDIT or apart == 2 and min(len(x), len(y)) >= 9 and jaro_winkler(x, y) >= SURNAME
+    return apart <= 1 and jaro_winkler(x, y) >= ONE_EDIT or apart == 2 and min(len(x), len(y)) >= TWO_EDITS and jaro_winkler(x, y) >= SURNAME
 
 
 def edits(a: str, b: str) -> int:
@@ -211,19 +224,27 @@ def _parse(names: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(BooleanType())
-def _same(sa: pd.Series, ga: pd.Series, sb: pd.Series, gb: pd.Series) -> pd.Series:
-    return pd.Series([alike(a, c) and same_given(b, d) for a, b, c, d in zip(sa, ga, sb, gb)], dtype=bool)
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+@F.pandas_udf(BooleanType())
+def _same_given(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_given(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def name_clusters(names: DataFrame, name: str) -> DataFrame:
     """(name, entity): each spelling that is a name, and the smallest spelling of its person or club."""
     parsed = names.select(F.col(name).alias("id")).where("id is not null").distinct().withColumn("p", _parse("id")).where("p.kind is not null").select("id", "p.*")
     parsed = written(parsed, "p5-names")
-    keyed = parsed.select("id", "surname", "given", "full", F.explode("codes").alias("code"))
-    a = keyed.select("code", *(F.col(c).alias(f"{c}_a") for c in ("id", "surname", "given", "full")))
-    b = keyed.select("code", *(F.col(c).alias(f"{c}_b") for c in ("id", "surname", "given", "full")))
-    pairs = a.join(b, "code").where("id_a < id_b").drop("code").distinct()
-    links = written(pairs.where(_same("surname_a", "given_a", "surname_b", "given_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "full_a", "full_b"), "p5-links")
+    keyed = parsed.select("kind", "surname", "codes").dropDuplicates(["kind", "surname"]).select("kind", "surname", F.explode("codes").alias("code"))
+    near = keyed.withColumnRenamed("surname", "surname_a").join(keyed.withColumnRenamed("surname", "surname_b"), ["kind", "code"]).where("surname_a < surname_b").select("kind", "surname_a", "surname_b").distinct().where(_alike("surname_a", "surname_b"))
+    equal = parsed.select("kind", F.col("surname").alias("surname_a"), F.col("surname").alias("surname_b")).distinct()
+    near = written(near.unionByName(equal), "p5-surnames")
+    a = parsed.select("kind", *(F.col(c).alias(f"{c}_a") for c in ("id", "surname", "given", "full")))
+    b = parsed.select("kind", *(F.col(c).alias(f"{c}_b") for c in ("id", "surname", "given", "full")))
+    pairs = near.join(a, ["kind", "surname_a"]).join(b, ["kind", "surname_b"]).where("id_a < id_b or surname_a <> surname_b")
+    links = written(pairs.where(_same_given("given_a", "given_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "full_a", "full_b"), "p5-links")
     persons = components(parsed.where("full").select("id"), links.where("full_a and full_b"))
     loose = links.where("full_a <> full_b").select(F.when(F.col("full_a"), F.col("b")).otherwise(F.col("a")).alias("id"), F.when(F.col("full_a"), F.col("a")).otherwise(F.col("b")).alias("to"))
     fits = loose.join(persons.select(F.col("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n"))
