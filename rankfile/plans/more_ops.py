@@ -9,14 +9,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
 
 from ..functions.board import Board, is_legal_position
 from ..functions.dialect import bind
 from ..functions.scalars import SAN, TEMPLATES
 from ..operators import movetext
 from ..operators.graph import components
-from ..operators.metrics import lcs_length
+from ..operators.metrics import edit_distance, lcs_length
 from ..operators.positions import placement_hash
 from ..operators.search import _CORE, _SAN, parse_boolean
 from ..session import shared_dir
@@ -112,7 +112,19 @@ _DEC = "replace(replace(replace(replace(replace(replace({e}, 'k_', 'K'), 'q_', '
 _ENC = "replace(replace(replace(replace(replace(replace(x, 'K', 'k_'), 'Q', 'q_'), 'R', 'r_'), 'B', 'b_'), 'N', 'n_'), 'O', 'o_')"
 P("o8_12_decode_token", f"select x, {_DEC.replace('{e}', _ENC)} as decoded from ({MOVES[0]}) m", f"select x, {_DEC.replace('{e}', _ENC)} as decoded from ({MOVES[1]}) m")
 P("o9_2_move_tokens", f"select node_id, JOIN(ALL(x, '{SAN}'), ' ') as moves from ({TEXTS[0]}) t", f"select node_id, JOIN(ALL(x, '{SAN}'), ' ') as moves from ({TEXTS[1]}) t")
-S("o9_36_levenshtein_words", "select edit_id, LONG(levenshtein(a, b)) as d from (select edit_id, substr(RR(text_before, '[^ -~]', ''), 1, 80) as a, substr(RR(text_after, '[^ -~]', ''), 1, 80) as b from @J j) t")
+
+
+@F.pandas_udf(LongType())
+def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else 0 if x == y else edit_distance(x.split(), y.split()) for x, y in zip(a, b)], dtype="Int64")
+
+
+def _levenshtein_words(s: SparkSession, d: str) -> DataFrame:
+    """Words to replace, add or drop over the whole texts."""
+    return s.sql(for_spark("select * from @J j", d)).select("edit_id", _word_distance("text_before", "text_after").alias("d"))
+
+
+R.plan("o9_36_levenshtein_words", _levenshtein_words, "select edit_id, LONG(levenshtein(a, b)) as d from (select edit_id, substr(RR(text_before, '[^ -~]', ''), 1, 80) as a, substr(RR(text_after, '[^ -~]', ''), 1, 80) as b from @J j) t")
 S("o9_39_measure_text", "select node_id, INT(length(text)) as chars, INT(length(RR(text, '[^ ]', ''))) as blanks, round(length(RR(text, '[^A-ZА-Я]', '')) / DBL(length(text)), 6) as upper_share from @N n where length(text) > 0 and scope = 'all'")
 S("o9_51_is_mangled_move", "select span_id, RL(text, '(^| )[0-9]+[.]+[^ ]*[@0l][^ ]*[a-h][1-8]') as mangled from @S s where text is not null")
 S("o9_52_is_unsupported_move", "select a.item_id, (a.lang = 'en' and RL(a.text, '[0-9][.]+[DTSAC][a-h]?x?[a-h][1-8]')) as unsupported from @A a where a.text is not null and a.lang is not null")

@@ -101,7 +101,7 @@ S("o4_22_assess_page", f"select doc_id, page, round(sum(confidence * length(text
 P("o4_23_document_baseline", "select doc_id, round(percentile(m, 8e-1), 6) as baseline from (select doc_id, page, avg(confidence) as m from @S s where confidence is not null group by doc_id, page) t group by doc_id having count(*) >= 3", "select doc_id, round(quantile_cont(m, 8e-1), 6) as baseline from (select doc_id, page, avg(confidence) as m from @S s where confidence is not null group by doc_id, page) t group by doc_id having count(*) >= 3")
 S("o4_27_label_summary", "select count(*) as n, LONG(sum(case when review then 1 else 0 end)) as to_review, LONG(sum(case when confidence is null then 1 else 0 end)) as unknown from @S s")
 S("o4_28_page_counts", "select doc_id, page, count(*) as spans, LONG(sum(case when review then 1 else 0 end)) as to_review from @S s group by doc_id, page")
-S("o4_29_measure_group", "select undone, LONG(sum(levenshtein(a, b))) as distance, LONG(sum(length(a))) as chars from (select undone, substr(RR(text_before, '[^ -~]', ''), 1, 60) as a, substr(RR(text_after, '[^ -~]', ''), 1, 60) as b from @J j) t group by undone")
+P("o4_29_measure_group", "select undone, LONG(sum(levenshtein(text_before, text_after))) as distance, LONG(sum(length(text_before))) as chars from @J j group by undone", "select undone, LONG(sum(levenshtein(a, b))) as distance, LONG(sum(length(a))) as chars from (select undone, substr(RR(text_before, '[^ -~]', ''), 1, 60) as a, substr(RR(text_after, '[^ -~]', ''), 1, 60) as b from @J j) t group by undone")
 S("o4_30_book_measure", "select a.doc_id, a.n as with_engine, coalesce(b.n, 0) as without_engine from (select doc_id, count(*) as n from @S s where engine <> '' group by doc_id) a left join (select doc_id, count(*) as n from @S t where engine = '' group by doc_id) b on a.doc_id = b.doc_id")
 S("o4_31_decision_counts", "select case when confidence is null then 'abstained' when confidence >= 8e-1 then 'accepted' when confidence >= 45e-2 then 'review' else 'abstained' end as decision, count(*) as n from @S s group by 1")
 S("o4_32_count_by_severity", "select case when confidence < 45e-2 then 'bad' when confidence < 8e-1 then 'attention' else 'ok' end as severity, count(*) as n from @S s where confidence is not null group by 1")

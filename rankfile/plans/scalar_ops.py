@@ -147,7 +147,8 @@ R.shared("o6_7_review_risk", "select span_id, round((case when review then 1e0 e
 R.shared("o1_27_page_text_from_ocr", "select span_id, round(x * 72 / 300, 4) as x, round(y * 72 / 300, 4) as y, text from @S s")
 R.shared("o4_3_throughput_mb_s", "select doc_id, round(size_bytes / 1e6 / 25e-1, 6) as mb_s from @D d where size_bytes is not null")
 R.shared("o13_16_progress_fraction", "select doc_id, round(case when size_bytes > 0 then DBL(byte_cursor) / size_bytes else 0.0 end, 6) as fraction from @D d")
-R.shared("o9_37_character_error_rate", "select edit_id, round(DBL(levenshtein(a, b)) / length(a), 6) as cer from (select edit_id, RR(text_before, '[^ -~]', '') as a, RR(text_after, '[^ -~]', '') as b from @J j where length(text_before) < 300) t where length(a) > 0")
+_COLLAPSED = "trim(RR({x}, '(?U)\\\\s+', ' '))"
+R.pair("o9_37_character_error_rate", f"select edit_id, round(case when a = '' then case when b = '' then 0e0 when b <> '' then 1e0 end else DBL(levenshtein(a, b)) / length(a) end, 6) as cer from (select edit_id, {bind(_COLLAPSED, x='text_before')} as a, {bind(_COLLAPSED, x='text_after')} as b from @J j) t where a is not null", "select edit_id, round(DBL(levenshtein(a, b)) / length(a), 6) as cer from (select edit_id, RR(text_before, '[^ -~]', '') as a, RR(text_after, '[^ -~]', '') as b from @J j where length(text_before) < 300) t where length(a) > 0")
 R.shared("o9_35_levenshtein", "select a.x as a, b.x as b, LONG(levenshtein(a.x, b.x)) as d from (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][.]$')) a join (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][a-z]+$')) b on substr(a.x, 1, 3) = substr(b.x, 1, 3)")
 R.shared("o15_12_merged_props", "select span_id, coalesce(font, 'BodyA-Roman') as font, coalesce(font_size, 10.0) as font_size from @S s")
 R.shared("o15_29_is_specified", "select span_id, (font is not null) as font_set, (confidence is not null) as confidence_set from @S s")
