@@ -129,7 +129,7 @@ S("o9_39_measure_text", "select node_id, INT(length(text)) as chars, INT(length(
 S("o9_51_is_mangled_move", "select span_id, RL(text, '(^| )[0-9]+[.]+[^ ]*[@0l][^ ]*[a-h][1-8]') as mangled from @S s where text is not null")
 S("o9_52_is_unsupported_move", "select a.item_id, (a.lang = 'en' and RL(a.text, '[0-9][.]+[DTSAC][a-h]?x?[a-h][1-8]')) as unsupported from @A a where a.text is not null and a.lang is not null")
 S("o9_55_ngram_plausibility", "select node_id, round(least(1e0, greatest(0e0, (length(RR(text, '[^aeiou]', '')) / DBL(length(text)) - 1e-1) / 3e-1)), 6) as plausible from @N n where length(text) > 0 and scope = 'comments'")
-S("o9_61_book_lexicon", "select doc_id, count(distinct w) as words from (select doc_id, lower(EX(text, '([A-Za-z]{6,})', 1)) as w from @N n where text <> '') t where w <> '' group by doc_id")
+P("o9_61_book_lexicon", "select doc_id, count(distinct w) as words from (select doc_id, explode(regexp_extract_all(lower(text), '(?:\\\\p{L}\\\\p{M}*){6,}', 0)) as w from @N n where text <> '') t group by doc_id", "select doc_id, count(distinct w) as words from (select doc_id, lower(EX(text, '([A-Za-z]{6,})', 1)) as w from @N n where text <> '') t where w <> '' group by doc_id")
 S("o9_65_notation_convention", "select node_id, case when length(RR(text, '[^TSLD]', '')) > length(RR(text, '[^QRBN]', '')) then 'de' when length(RR(text, '[^QRBN]', '')) > 0 then 'en' end as convention from @N n where scope = 'comments' and text <> ''")
 P("o9_68_from_language", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[0]}) m) t", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[1]}) m) t")
 S("o9_81_inline_plain_text", "select node_id, trim(RR(text, '[ \n]+', ' ')) as plain from @N n where scope = 'captions' and text is not null")

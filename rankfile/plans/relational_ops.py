@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.scalars import SAN
+from ..functions.dialect import bind
+from ..functions.scalars import SAN, TEMPLATES
 from .registry import Registry
 
 R = Registry()
@@ -177,7 +178,7 @@ S("o9_5_page_stipulation", "select doc_id, page, case when count(distinct engine
 S("o9_42_assess_result", "select span_id, case when confidence < 45e-2 then 'bad' when confidence < 8e-1 then 'attention' else 'ok' end as severity, (RL(text, '[A-Za-z][0-9][A-Za-z]')) as mixed from @S s where confidence is not null and text is not null")
 S("o9_40_estimate_cer", "select node_id, round(least(1e0, nonword / 55e-2), 6) as cer from (select node_id, length(RR(text, '[A-Za-zÀ-ÿЀ-ӿ0-9 .,;:!?()+=-]', '')) / DBL(length(text)) as nonword from @N n where length(text) > 0 and scope = 'all') t")
 S("o9_41_text_plausibility", "select node_id, round(1 - nonword, 6) as plausible from (select node_id, length(RR(text, '[A-Za-zÀ-ÿЀ-ӿ0-9 .,;:!?()+=-]', '')) / DBL(length(text)) as nonword from @N n where length(text) > 0 and scope = 'all') t")
-S("o9_60_lexicon_for", "select lang, count(*) as words from (select distinct lang, lower(EX(text, '^([A-Za-zÀ-ÿ]+)', 1)) as w from @A a where lang in ('en', 'de', 'es')) t where w <> '' group by lang")
+P("o9_60_lexicon_for", f"select code as lang, count(distinct w) as words from (select {bind(TEMPLATES['language_code'], x='lang')} as code, explode(regexp_extract_all(lower(text), '(?:\\\\p{{L}}\\\\p{{M}}*)+', 0)) as w from @A a) t where code is not null group by code", "select lang, count(*) as words from (select distinct lang, lower(EX(text, '^([A-Za-zÀ-ÿ]+)', 1)) as w from @A a where lang in ('en', 'de', 'es')) t where w <> '' group by lang")
 
 # 2.11 and 2.12
 S("o11_11_join_wrapped_lines", "select doc_id, page, para, count(*) as lines from (select doc_id, page, LONG(sum(case when RL(text, '^[A-Z]') and RL(back, '[.]$') then 1 else 0 end) over (partition by doc_id, page order by line_no, span_no, span_id rows unbounded preceding)) as para from (select doc_id, page, line_no, span_no, span_id, text, lag(text) over (partition by doc_id, page order by line_no, span_no, span_id) as back from @S s where text is not null) a) b group by doc_id, page, para")

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 
@@ -49,3 +50,23 @@ def test_distances_cover_whole_texts(spark, tmp_path):
     for side in (True, False):
         mine = [(a, b) for k, a, b in texts if (k % 2 == 0) == side]
         assert got[side] == (sum(edit_distance(a, b) for a, b in mine if a is not None and b is not None), sum(len(a) for a, _ in mine if a is not None))
+
+
+NODES = "node_id long, doc_id long, scope string, page int, ordinal long, byte_start long, byte_len long, text string"
+
+
+def test_lexicons_hold_every_word(spark, tmp_path):
+    texts = ["The initiative passed, initiative and Attack; König überlegte länger", "Первая инициатива, фигура ladder", "short ones only", "", None, "1.e4 initiative_attack2pressure"]
+    nodes = [(i, i % 2, "all", 1, i, 0, 1, t) for i, t in enumerate(texts)]
+    want = {d: {w for i, t in enumerate(texts) if i % 2 == d for w in re.findall(r"[^\W\d_]{6,}", (t or "").lower())} for d in (0, 1)}
+    got = {r.doc_id: r.words for r in rows_of(spark, tmp_path, "o9_61_book_lexicon", nodes=([*nodes, nodes[0]], NODES))}
+    assert got == {d: len(w) for d, w in want.items()} and got == {0: 5, 1: 7}
+    labels = [("en", "en"), ("EN", "en"), ("eng", "en"), ("en-GB", "en"), ("German", "de"), ("es-MX", "es"), ("Portuguese", "pt"), ("fra", "fr"), ("xx", None), ("ru-RU", "ru"), ("", None), (None, None)]
+    text = ["The rook, the bishop", "Läufer schlägt école", "слон и ладья", None, "don't 12.Nf3"]
+    rows = [(k, lang, "n", f"{text[k % 5]} {lang}" if text[k % 5] else None) for k, (lang, _) in enumerate(labels)]
+    want = {}
+    for (_, code), (*_, t) in zip(labels, rows):
+        if code and t:
+            want.setdefault(code, set()).update(re.findall(r"[^\W\d_]+", t.lower()))
+    got = {r.lang: r.words for r in rows_of(spark, tmp_path, "o9_60_lexicon_for", authored=([*rows, rows[0]], "item_id long, lang string, notation string, text string"))}
+    assert got == {c: len(w) for c, w in want.items()} and set(got) == {"en", "de", "es", "pt", "fr", "ru"}
