@@ -170,7 +170,7 @@ S("o9_63_detect_prose_language", "select item_id, code from (select item_id, cod
 S("o9_64_document_language", "select doc_id, max(case when RL(text, '[Ѐ-ӿ]') then 'ru' else 'latin' end) as script from @N n where text <> '' group by doc_id")
 S("o9_66_detect_language", "select item_id, round(max(score) - min(score), 6) as margin, count(*) as candidates from @L l where score is not null group by item_id")
 P("o9_13_repeated_lines", "select doc_id, line, count(*) as n from (select doc_id, trim(l) as line from (select doc_id, explode(split(text, '\n')) as l from @N n where text <> '') e) t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3", "select doc_id, line, count(*) as n from (select doc_id, trim(unnest(string_split(text, '\n'))) as line from @N n where text <> '') t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3")
-S("o9_12_clean_pdf_text", "select node_id, RR(RR(RR(text, '([a-z])-\n([a-z])', '{glue}'), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all' and text like '%\n%' and not RL(text, '[a-z]-\n')".replace("'{glue}'", "''"))
+P("o9_12_clean_pdf_text", "select node_id, RR(RR(RR(text, '(?U)(?<=\\\\w)[-‐‑]\\\\s*\n\\\\s*(?=\\\\p{Ll})', ''), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all'", "select node_id, RR(RR(RR(text, '([a-z])-\n([a-z])', '{glue}'), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all' and text like '%\n%' and not RL(text, '[a-z]-\n')".replace("'{glue}'", "''"))
 S("o9_20_split_games", "select doc_id, game, count(*) as units from (select doc_id, LONG(sum(case when scope = 'headers' then 1 else 0 end) over (partition by doc_id order by ordinal, node_id rows unbounded preceding)) as game from @N n) t group by doc_id, game")
 S("o9_21_segment_at", "select n.node_id, s.node_id as at_node from @N n join @N s on n.doc_id = s.doc_id and s.byte_start >= 0 and n.byte_start >= s.byte_start and n.byte_start < s.byte_start + s.byte_len and n.ordinal = s.ordinal where n.byte_start >= 0")
 S("o9_9_apply_page_scope", "select span_id, coalesce(font, max(font) over (partition by doc_id, page)) as font from @S s")

@@ -70,3 +70,11 @@ def test_lexicons_hold_every_word(spark, tmp_path):
             want.setdefault(code, set()).update(re.findall(r"[^\W\d_]+", t.lower()))
     got = {r.lang: r.words for r in rows_of(spark, tmp_path, "o9_60_lexicon_for", authored=([*rows, rows[0]], "item_id long, lang string, notation string, text string"))}
     assert got == {c: len(w) for c, w in want.items()} and set(got) == {"en", "de", "es", "pt", "fr", "ru"}
+
+
+def test_clean_text_covers_every_paragraph(spark, tmp_path):
+    texts = ["the posi-\ntion is won", "Stel-\n lung, пози-\nция, él-\névation", "Ruy-\nLopez and 1-\n0", "one  line", "a-\nb-\nc\nd", "", None]
+    want = ["the position is won", "Stellung, позиция, élévation", "Ruy- Lopez and 1- 0", "one line", "abc d", "", None]
+    nodes = [(i, 1, "all", 1, i, 0, 1, t) for i, t in enumerate(texts)] + [(99, 1, "comments", 1, 99, 0, 1, "no-\nne")]
+    got = {r.node_id: r.clean for r in rows_of(spark, tmp_path, "o9_12_clean_pdf_text", nodes=([*nodes, nodes[0]], NODES))}
+    assert got == dict(enumerate(want))
