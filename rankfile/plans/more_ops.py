@@ -192,7 +192,7 @@ R.plan("o11_26_pgn_tree", lambda s, d: movetext.moves(s.read.parquet(f"{d}/nodes
 R.plan("o11_18_variation_text", lambda s, d: s.createDataFrame([("e4 e5 Nf3", movetext.to_text([{"path": (), "ply": i, "san": x, "nags": [], "comment": ""} for i, x in enumerate("e4 e5 Nf3".split(), 1)]))], "sans string, movetext string"), "select 'e4 e5 Nf3' as sans, '1. e4 e5 2. Nf3' as movetext")
 S("o11_19_apply_edits", "select node_id, substr(text, 1, 10) || '[..]' || substr(text, 21) as edited from @N n where length(text) > 40 and scope = 'comments'")
 S("o11_22_enclosing_delimiter", "select node_id, INT(instr(text, '(')) as opens, INT(length(text) - instr(REV(text), ')') + 1) as closes from @N n where scope = 'variations' and text like '%(%)%'")
-S("o11_15_analyze_segment", "select node_id, text from @N n where scope = 'mainline' and ordinal <= 20")
+P("o11_15_analyze_segment", "select node_id, text from @N n where scope = 'mainline'", "select node_id, text from @N n where scope = 'mainline' and ordinal <= 20")
 S("o11_30_decode_cipher", "select edit_id, translate(text_before, '♔♕♖♗♘', 'KQRBN') as decoded from @J j")
 S("o11_31_cipher_settled", "select engine, p.p as symbol, count(*) as support from @S s cross join (values ('♔'),('♕'),('♖'),('♗'),('♘')) p(p) where instr(s.text, p.p) > 0 group by engine, p.p having count(*) >= 1")
 S("o11_32_cipher_proven", "select p.p as symbol, count(distinct doc_id) as books from @S s cross join (values ('♔'),('♕'),('♖'),('♗'),('♘')) p(p) where instr(s.text, p.p) > 0 group by p.p having count(distinct doc_id) >= 2")

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.dialect import bind
 from ..functions.scalars import SAN, TEMPLATES
+from ..operators import movetext
 from .registry import Registry
 
 R = Registry()
 S, P = R.shared, R.pair
 
+RADIUS, SHARED = 60, "25e-2"  # points around a box that count as near; share of the shorter side two boxes must have in common
+
+
+def _move_depth(s: SparkSession, d: str) -> DataFrame:
+    """Depth of variations at every printed move; pos counts the moves of a node."""
+    return movetext.moves(s.read.parquet(f"{d}/nodes.parquet")).select("node_id", F.col("i").alias("pos"), "depth")
+
+
 # 2.1 scans
 P("o1_6_text_units", "select doc_id, pos as ordinal, block from (select doc_id, posexplode(split(text, '\n\n')) as (pos, block) from @documents) t where trim(block) <> ''", "select doc_id, ordinal, block from (select doc_id, unnest(range(len(l)))::int as ordinal, unnest(l) as block from (select doc_id, string_split(text, '\n\n') as l from @documents) s) t where trim(block) <> ''")
 S("o1_2_index_unit", "select n.node_id, n.doc_id, n.scope, n.page, n.ordinal, n.byte_start, n.byte_len, (n.text <> '') as store_text, f.white, f.black, f.eco, f.year, f.result from @N n left join @F f on n.node_id = f.node_id")
@@ -16,7 +28,7 @@ S("o1_3_facets", "select node_id, white, black, eco, year, result from @F f wher
 P("o1_4_position_refs", f"select node_id, pos + 1 as ply, (pos % 2 = 0) as white_moved, san from (select node_id, posexplode(ALL(text, '{SAN}')) as (pos, san) from @N n where scope = 'mainline' and text <> '') t", f"select node_id, ply, (ply % 2 = 1) as white_moved, san from (select node_id, unnest(range(1, len(l) + 1))::int as ply, unnest(l) as san from (select node_id, ALL(text, '{SAN}') as l from @N n where scope = 'mainline' and text <> '') s) t")
 S("o1_5_content_key", "select doc_id, content_key, (split_part(content_key, ':', 1) = STR(size_bytes)) as size_agrees from @D d where content_key <> ''")
 S("o1_8_units_for_node", "select kind, scope, count(*) as n from @N n join @D d on n.doc_id = d.doc_id group by kind, scope")
-P("o1_10_move_depth", "select node_id, pos, SIZE(ALL(substr(text, 1, pos + 1), '[(]')) - SIZE(ALL(substr(text, 1, pos + 1), '[)]')) as depth from (select node_id, text, explode(sequence(0, length(text) - 1, 10)) as pos from @N n where scope = 'variations' and text <> '') t", "select node_id, pos, SIZE(ALL(substr(text, 1, pos + 1), '[(]')) - SIZE(ALL(substr(text, 1, pos + 1), '[)]')) as depth from (select node_id, text, unnest(range(0, length(text), 10))::int as pos from @N n where scope = 'variations' and text <> '') t")
+R.plan("o1_10_move_depth", _move_depth, "select node_id, pos, SIZE(ALL(substr(text, 1, pos + 1), '[(]')) - SIZE(ALL(substr(text, 1, pos + 1), '[)]')) as depth from (select node_id, text, unnest(range(0, length(text), 10))::int as pos from @N n where scope = 'variations' and text <> '') t")
 S("o1_14_pgn_unit", "select h.node_id, EX(h.text, '[[]White \"([^\"]*)\"', 1) as white, EX(h.text, '[[]Black \"([^\"]*)\"', 1) as black, EX(h.text, '[[]Result \"([^\"]*)\"', 1) as result, EX(h.text, '[[]ECO \"([^\"]*)\"', 1) as eco from @N h where h.scope = 'headers' and h.text like '[%'")
 S("o1_16_game_spans", "select doc_id, count(*) as games, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal from @N n where scope = 'headers' and text like '[%' group by doc_id")
 S("o1_19_read_meta", "select 'documents' as key, STR(count(*)) as value from @D d union all select 'nodes', STR(count(*)) from @N n")
@@ -27,7 +39,7 @@ P("o1_25_sample_indices", "select doc_id, explode(transform(sequence(0, 3), i ->
 P("o1_45_records", "select node_id, to_json(struct(node_id, scope)) as record from @N n where scope = 'captions'", "select node_id, '{\"node_id\":' || node_id || ',\"scope\":\"' || scope || '\"}' as record from @N n where scope = 'captions'")
 S("o1_48_verify_duplicates", "select node_id, count(*) as n from @nodes group by node_id having count(*) > 1")
 P("o1_47_read_sidecar", "select r.node_id, r.scope from (select from_json(to_json(struct(node_id, scope)), 'node_id bigint, scope string') as r from @N n where scope = 'captions') t", "select node_id, scope from @N n where scope = 'captions'")
-P("o1_50_structural_json", "select node_id, to_json(struct(white, black, year)) as js from @F f where white is not null and black is not null and year is not null and not RL(white || black, '[^A-Za-z ,.]')", "select node_id, '{\"white\":\"' || white || '\",\"black\":\"' || black || '\",\"year\":' || year || '}' as js from @F f where white is not null and black is not null and year is not null and not RL(white || black, '[^A-Za-z ,.]')")
+P("o1_50_structural_json", "select node_id, to_json(struct(white, black, year), map('ignoreNullFields', 'false')) as js from @F f", "select node_id, '{\"white\":\"' || white || '\",\"black\":\"' || black || '\",\"year\":' || year || '}' as js from @F f where white is not null and black is not null and year is not null and not RL(white || black, '[^A-Za-z ,.]')")
 P("o1_51_normalized_text", "select doc_id, concat_ws(' | ', transform(array_sort(collect_list(struct(ordinal, node_id, text))), x -> x.text)) as text from @N n where scope = 'captions' and text is not null group by doc_id", "select doc_id, string_agg(text, ' | ' order by ordinal, node_id, text) as text from @N n where scope = 'captions' and text is not null group by doc_id")
 S("o1_54_load_manifest", "select item_id, suite, lang from @eval_items where HEXINT(substr(SHA(STR(item_id)), 1, 4)) < 49152")
 
@@ -67,11 +79,12 @@ S("o3_2_nodes_facets", "select n.node_id, n.scope, f.white, f.year from @N n lef
 S("o3_3_intersect_candidates", "select a.node_id, LONG(a.score + b.score) as score from (select node_id, 1 as score from @N n where text like '%king%') a join (select node_id, 2 as score from @N m where text like '%queen%') b on a.node_id = b.node_id")
 S("o3_4_candidate_restriction", "select node_id, scope from @N n where exists (select 1 from @F f where f.node_id = n.node_id and f.eco = 'B90')")
 S("o3_7_documents_containing", "select distinct n.doc_id from @N n where n.text like '%Nxd5%'")
-S("o3_12_lines_near", "select a.span_id as anchor, b.span_id as near_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) as distance from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and abs(a.line_no - b.line_no) <= 1 and a.line_no = 1")
+_GAPS = "select a.span_id as anchor, b.span_id as near_id, greatest(a.x - b.x - b.w, b.x - a.x - a.w, 0e0) as dx, greatest(a.y - b.y - b.h, b.y - a.y - a.h, 0e0) as dy, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ox, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as oy, a.w as aw, b.w as bw, a.h as ah, b.h as bh from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and a.x + a.y + a.w + a.h is not null and b.x + b.y + b.w + b.h is not null"
+P("o3_12_lines_near", f"select anchor, near_id, round(distance, 4) as distance from (select *, sqrt(dx * dx + dy * dy) as distance from ({_GAPS}) g) t where distance <= {RADIUS} and ((dy > 0 or dx = 0) and ox >= {SHARED} * least(aw, bw) and least(aw, bw) > 0 or dx > 0 and oy >= {SHARED} * least(ah, bh) and least(ah, bh) > 0)", "select a.span_id as anchor, b.span_id as near_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) as distance from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and abs(a.line_no - b.line_no) <= 1 and a.line_no = 1")
 S("o3_8_pair_lines", "select anchor, other from (select a.span_id as anchor, b.span_id as other, row_number() over (partition by a.span_id order by abs(a.y - b.y), b.span_id) as r from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.line_no = a.line_no + 1) t where r = 1")
 S("o3_13_assign_lines", "select line_id, anchor from (select b.span_id as line_id, a.span_id as anchor, row_number() over (partition by b.span_id order by abs(a.y - b.y), a.span_id) as r from (select * from @S s where font_size <= 9) a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id) t where r = 1")
 S("o3_15_decision_match", "select s1, max(s2) as s2 from (select a.span_id as s1, b.span_id as s2 from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) >= a.h * 5e-1) t group by s1")
-S("o3_17_semantic_diff", "select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id is null then 'added' when b.node_id is null then 'removed' when a.t <> b.t then 'changed' else 'same' end as change from (select node_id, max(text_before) as t from @J j where not undone group by node_id) a full join (select node_id, min(text_after) as t from @J k where edit_id > 10 group by node_id) b on a.node_id = b.node_id")
+P("o3_17_semantic_diff", "select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id is null then 'added' when b.node_id is null then 'removed' when a.t <> b.t then 'changed' else 'same' end as change from (select node_id, max(text_before) as t from @J j where not undone group by node_id) a full join (select node_id, min(text_after) as t from @J k group by node_id) b on a.node_id = b.node_id", "select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id is null then 'added' when b.node_id is null then 'removed' when a.t <> b.t then 'changed' else 'same' end as change from (select node_id, max(text_before) as t from @J j where not undone group by node_id) a full join (select node_id, min(text_after) as t from @J k where edit_id > 10 group by node_id) b on a.node_id = b.node_id")
 S("o3_18_validate", "select 'dangling facet' as problem, f.node_id as id from @F f where not exists (select 1 from @N n where n.node_id = f.node_id) union all select 'duplicate node', node_id from @nodes group by node_id having count(*) > 1 union all select 'document without nodes', d.doc_id from @D d where not exists (select 1 from @N m where m.doc_id = d.doc_id)")
 S("o3_19_calibration_lookup", "select item_id, code, coalesce(case when code = 'en' then 1 end, case when code in ('de', 'fr') then 2 end, 3) as table_no from @L l where code is not null")
 
@@ -228,7 +241,7 @@ S("o15_7_migrate", "select doc_id, case when title is null then uri else title e
 S("o15_9_style_chain", "with recursive chain(name, base, depth) as (select name, base, 0 from (values ('title','head'),('head','base'),('base','')) s(name, base) where name = 'title' union all select s.name, s.base, depth + 1 from chain join (values ('title','head'),('head','base'),('base','')) s(name, base) on chain.base = s.name where depth < 10) select name, base, depth from chain")
 S("o15_10_resolve_run_props", "select span_id, coalesce(font, case when bold_like then 'BodyB-Roman' else 'BodyA-Roman' end) as font from (select span_id, font, (font_size > 11) as bold_like from @S s) t")
 S("o15_11_resolve_paragraph_props", "select doc_id, page, coalesce(max(font), 'BodyA-Roman') as font, coalesce(max(font_size), 10e0) as font_size from @S s group by doc_id, page")
-P("o15_20_mainline", f"select * from ({_MOVE_ROWS_S}) m where ply <= 20", f"select * from ({_MOVE_ROWS_D}) m where ply <= 20")
+P("o15_20_mainline", _MOVE_ROWS_S, f"select * from ({_MOVE_ROWS_D}) m where ply <= 20")
 S("o15_23_doubtful", "select doc_id, page, count(*) as n from @S s where confidence < 8e-1 group by doc_id, page")
 S("o15_24_degradation", "select distinct doc_id, font from @text_spans where font is not null")
 S("o15_25_fidelity_measure", "select case when text_before = text_after then 'kept' when length(text_before) = length(text_after) then 'declared' else 'silent' end as loss, count(*) as n from @J j group by 1")

@@ -1,6 +1,7 @@
 """Queries over whole tables and texts, against brute force on fixtures."""
 
 import datetime
+import json
 import random
 import re
 
@@ -78,3 +79,48 @@ def test_clean_text_covers_every_paragraph(spark, tmp_path):
     nodes = [(i, 1, "all", 1, i, 0, 1, t) for i, t in enumerate(texts)] + [(99, 1, "comments", 1, 99, 0, 1, "no-\nne")]
     got = {r.node_id: r.clean for r in rows_of(spark, tmp_path, "o9_12_clean_pdf_text", nodes=([*nodes, nodes[0]], NODES))}
     assert got == dict(enumerate(want))
+
+
+def test_moves_have_no_cap_or_stride(spark, tmp_path):
+    line = " ".join(f"{i}.Nf3 Nf6" for i in range(1, 31))
+    texts = [(1, "mainline", 1, line), (2, "mainline", 900, "1.e4 e5"), (3, "variations", 3, "(1.d4 d5 (1...Nf6 2.c4) 2.c4) (1.c4)"), (4, "mainline", 4, None), (5, "comments", 5, "1.e4")]
+    nodes = [(k, 1, scope, 1, o, 0, 1, t) for k, scope, o, t in texts]
+    got = rows_of(spark, tmp_path, "o15_20_mainline", nodes=([*nodes, nodes[0]], NODES))
+    assert sorted((r.node_id, r.ply, r.san) for r in got) == [(1, i, "Nf3" if i % 2 else "Nf6") for i in range(1, 61)] + [(2, 1, "e4"), (2, 2, "e5")]
+    assert {r.node_id for r in rows_of(spark, tmp_path, "o11_15_analyze_segment")} == {1, 2, 4}
+    want = {}
+    for k, scope, _, t in texts:
+        if t and scope != "comments":
+            at = [m.start() for m in re.finditer(r"[KQRBN]?[a-h][1-8]", t)]
+            want |= {(k, i): max(t[:p].count("(") - t[:p].count(")"), 0) for i, p in enumerate(at)}
+    assert {(r.node_id, r.pos): r.depth for r in rows_of(spark, tmp_path, "o1_10_move_depth")} == want and set(want.values()) == {0, 1, 2}
+
+
+def test_lines_near_by_radius(spark, tmp_path):
+    r = random.Random(3)
+    boxes = [(k, 1, 1 + k % 2, r.uniform(0, 300), r.uniform(0, 200), r.choice([0.0, 40.0, 90.0]), 12.0) for k in range(60)] + [(90, 1, 1, None, 10.0, 20.0, 12.0), (91, 2, 1, 10.0, 10.0, 20.0, 12.0)]
+    schema = "span_id long, doc_id long, page int, line_no int, span_no int, text string, x double, y double, w double, h double, font string, font_size double, confidence double, engine string, review boolean"
+    rows = [(k, d, p, 7, 1, "t", x, y, w, h, None, None, None, "", False) for k, d, p, x, y, w, h in boxes]
+    want = {}
+    for k, d, p, x, y, w, h in boxes:
+        for m, e, q, u, v, s, t in boxes:
+            if k == m or (d, p) != (e, q) or x is None or u is None:
+                continue
+            dx, dy = max(u - x - w, x - u - s, 0), max(v - y - h, y - v - t, 0)
+            share = lambda a, b, c, f: max(0, min(b, f) - max(a, c)) / min(b - a, f - c) if min(b - a, f - c) > 0 else 0
+            tall = (dy > 0 or dx == 0) and share(x, x + w, u, u + s) >= 0.25
+            if (tall or (dx > 0 and share(y, y + h, v, v + t) >= 0.25)) and (dx * dx + dy * dy) ** 0.5 <= 60:
+                want[k, m] = (dx * dx + dy * dy) ** 0.5
+    got = {(r.anchor, r.near_id): r.distance for r in rows_of(spark, tmp_path, "o3_12_lines_near", text_spans=([*rows, rows[0]], schema))}
+    assert set(got) == set(want) and len(want) > 50 and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_json_and_diff_of_every_row(spark, tmp_path):
+    names = [("Müller, J", "O'Kelly", 1950), ('Said "Bob", A', "Back\\slash\ttab", 0), ("Иванов", None, None)]
+    facets = [(i, 1, w, b, "B90", y, "1-0") for i, (w, b, y) in enumerate(names)]
+    got = rows_of(spark, tmp_path, "o1_50_structural_json", facets=([*facets, facets[0]], "node_id long, doc_id long, white string, black string, eco string, year int, result string"))
+    assert {r.node_id: json.loads(r.js) for r in got} == {i: {"white": w, "black": b, "year": y} for i, (w, b, y) in enumerate(names)}
+    at = datetime.datetime(2024, 1, 1)
+    edits = [(1, "b", 1, 1, "a", "a", at, False), (2, "b", 1, 2, "a", "c", at, False), (11, "b", 1, 3, "a", "c", at, True)]
+    got = {r.node_id: r.change for r in rows_of(spark, tmp_path, "o3_17_semantic_diff", edit_journal=(edits, JOURNAL))}
+    assert got == {1: "same", 2: "changed", 3: "added"}
