@@ -2,7 +2,7 @@
 
 import random
 
-from rankfile.llm.near_duplicates import key_pairs, near_duplicates
+from rankfile.llm.near_duplicates import groups, key_pairs, near_duplicates
 from rankfile.llm.words import WORD, run_hashes, word_hashes, words_of
 
 SCHEMA = "key long, text string"
@@ -39,15 +39,29 @@ def texts(n=60, seed=3):
     return rows
 
 
-def found(spark, rows, t, n, least=0):
+def found(spark, rows, t, n, least=0, **options):
     df = spark.createDataFrame(rows, SCHEMA)
-    return {tuple(r) for r in key_pairs(*near_duplicates(df, "key", "text", t, n, least)).collect()}
+    return {tuple(r) for r in key_pairs(*near_duplicates(df, "key", "text", t, n, least, **options)).collect()}
 
 
 def test_same_as_brute_force(spark):
     rows = texts()
     for t, n in ((0.55, 3), (0.8, 5)):
         assert found(spark, rows, t, n, 10) == brute(rows, t, n, 10)
+    assert found(spark, rows, 0.55, 3, 10, block=2) == brute(rows, 0.55, 3, 10)
+
+
+def test_groups_name_every_key(spark):
+    rows = [*texts(), *((5000 + k, "a b c d e f g h i j k l") for k in range(90)), (6000, "a b c d e f g h i j k"), (7000, None), (7001, "too short")]
+    want = brute(rows, 0.55, 3, 10)
+    got = {r.key: r for r in groups(*near_duplicates(spark.createDataFrame(rows, SCHEMA), "key", "text", 0.55, 3, 10)).collect()}
+    assert set(got) == {k for k, x in rows if x and len(words_of(x)) >= 10}
+    group = {k: k for k in got}
+    for _ in range(20):
+        for a, b in want:
+            group[a] = group[b] = min(group[a], group[b])
+    assert {k: r.group_id for k, r in got.items()} == group and {got[5000 + k].class_id for k in range(90)} == {5000}
+    assert got[5000].copies == 90 and got[5000].links == 1 and got[6000].links == 1 and got[6000].group_id == 5000
 
 
 def test_nulls_empties_repeats_and_clashing_columns(spark):
