@@ -3,7 +3,8 @@
 The normalised runs of `run` words of all test items form a set of 64-bit hashes. The set is broadcast if it is
 under MAX_BROADCAST hashes (its size is counted first), and every corpus text is scanned in one pass, without a
 shuffle: the hashes of its word windows are looked up in the set and each hit is verified on the words. A larger
-set is joined by hash instead, with the same result.
+set is joined by hash instead, with the same result: the windows' hashes are shuffled, and only windows that hit are
+read again and verified.
 
 Null and empty texts, and items shorter than the run, are in no pair. A repeated row, or a passage that stands
 several times in a text, counts once. If several items share a run, each of them is reported.
@@ -16,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import WORD, run_hashes, run_owner, word_hashes
+from ..session import written
+from .words import WORD, run_hashes, run_owner, word_hashes, word_spans
 
 RUN = 10
+SPOTS = 1_000_000  # leaked windows that are broadcast to be cut out, 8 MB; more are joined by document
 MAX_BROADCAST = 4_000_000  # hashes; 32 MB
 
 
@@ -38,13 +41,12 @@ def _item_runs(run: int):
 
 
 def _scan(run: int, known):
-    """(doc_id, start, hash, words) for each window of a text whose hash is known; all windows if known is None."""
+    """(doc_id, start, hash) for each window of a text whose hash is known; all windows if known is None."""
 
     def f(batches):
         table = known.value if known is not None else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            hashes, ends = word_hashes(texts)
+            hashes, ends = word_hashes(batch.column(1).to_pylist())
             at, owner = run_owner(ends, run, len(hashes))
             if not len(at):
                 continue
@@ -53,14 +55,41 @@ def _scan(run: int, known):
                 place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
                 hit = table[place] == keys if len(table) else np.zeros(len(keys), bool)
                 at, owner, keys = at[hit], owner[hit], keys[hit]
-            words = {i: WORD.findall(texts[i].lower()) for i in np.unique(owner).tolist()}
-            first = at - ends[owner]
-            said = [" ".join(words[o][s : s + run]) for o, s in zip(owner.tolist(), first.tolist())]
-            yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(first, pa.int64()), pa.array(keys.view(np.int64)), pa.array(said, pa.string())], names=["doc_id", "start", "hash", "words"])
+            yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(at - ends[owner], pa.int64()), pa.array(keys.view(np.int64))], names=["doc_id", "start", "hash"])
+
+    return f
+
+
+def _said(run: int):
+    """(doc_id, start, words joined by a space) of the windows of a text that are asked for."""
+
+    def f(batches):
+        for batch in batches:
+            ids, firsts, said = [], [], []
+            for doc, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = WORD.findall(text.lower())
+                for s in starts:
+                    if s + run <= len(words):
+                        ids.append(doc)
+                        firsts.append(s)
+                        said.append(" ".join(words[s : s + run]))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(said, pa.string())], names=["doc_id", "start", "words"])
 
     return f
 
 
+def _starts(hits: DataFrame) -> DataFrame:
+    """(doc_id, starts): the windows of each document, as many as its own words at most."""
+    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+
+
+def _with_starts(docs: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    """(doc_id, text, starts): documents beside their windows; few windows are broadcast, so that no text is shuffled."""
+    spots = written(_starts(hits), "p7-starts")
+    few = (spots.agg(F.sum(F.size("starts"))).first()[0] or 0) <= SPOTS
+    return docs.join(F.broadcast(spots) if few else spots, "doc_id", how).select("doc_id", "text", "starts")
+
+
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, start): each window of a document, by its first word, that stands in an item."""
     spark = docs.sparkSession
@@ -71,9 +100,12 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     if size <= MAX_BROADCAST:
         keys = np.unique(np.array([r[0] for r in runs.select("hash").distinct().collect()], np.int64).view(np.uint64))
         known = spark.sparkContext.broadcast(keys)
-    d = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text)).where(F.col(doc_text).isNotNull())
-    hits = d.mapInArrow(_scan(run, known), "doc_id long, start long, hash long, words string")
-    return hits.join(runs, ["hash", "words"]).select("doc_id", "item_id", "start").distinct()
+    d = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text <> ''")
+    hits = d.mapInArrow(_scan(run, known), "doc_id long, start long, hash long")
+    if known is None:
+        hits = hits.join(runs.select("hash").distinct(), "hash", "left_semi")
+    said = _with_starts(d, hits, "inner").mapInArrow(_said(run), "doc_id long, start long, words string")
+    return said.join(runs.select("words", "item_id").distinct(), "words").select("doc_id", "item_id", "start").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +120,12 @@ def _cut_out(run: int):
             ids, texts, starts = (batch.column(k).to_pylist() for k in range(3))
             clean, gone = [], []
             for t, ss in zip(texts, starts):
-                if not ss:
+                if not ss or not t:
                     clean.append(t)
                     gone.append(0)
                     continue
-                # lower case may change a text's length; words are found on the text itself, which keeps their order
-                at = [m.span() for m in WORD.finditer(t)]
-                covered = sorted({k for s in ss for k in range(s, s + run)})
+                at = word_spans(t)
+                covered = sorted({k for s in ss for k in range(s, min(s + run, len(at)))})
                 parts, last = [], 0
                 i = 0
                 while i < len(covered):
@@ -112,10 +143,10 @@ def _cut_out(run: int):
 
 
 def without_leaks(docs: DataFrame, doc_key: str, doc_text: str, found: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text, words_removed): documents with the leaked spans taken out; others as they are."""
-    spots = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    d = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).join(spots, "doc_id", "left")
-    return d.mapInArrow(_cut_out(run), "doc_id long, text string, words_removed long")
+    """(doc_id, text, words_removed): documents with the leaked spans taken out; others as they are. Rows that repeat
+    an id with another text lose the spans of that id's texts."""
+    d = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    return _with_starts(d, found, "left").mapInArrow(_cut_out(run), "doc_id long, text string, words_removed long")
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +159,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its leaked spans: doc_id, md5 of the clean text, words removed."""
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
-    found = leaks(docs, "doc_id", "text", items, "item_id", "text")
+    found = written(leaks(docs, "doc_id", "text", items, "item_id", "text"), "p7-found")
     return without_leaks(docs, "doc_id", "text", found).select("doc_id", F.md5("text").alias("text_md5"), "words_removed")
 
 

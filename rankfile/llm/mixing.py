@@ -13,7 +13,8 @@ is ever one task, and each bucket is off by one document at most.
 
 Sources without a target and documents without a source are left out (copies 0). Targeted sources without documents
 get no tokens, are reported with actual share 0, and their share is spread over the others in proportion. Null or
-empty texts have 0 tokens and are left out. A null language is the language 'und'. A repeated key counts once.
+empty texts have 0 tokens and are left out. A label that names no language is the language 'und'. A repeated key counts
+once. As the last step meets the sources, languages and topics are met up to a residual, which `marginals` reports.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .language import label_code
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BUCKET = 20_000
 STEPS = 100
-LANGS = ("de", "en", "es", "fr", "pt", "ru")
 #: Fixed value: the public word pattern of this family of vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -63,9 +64,8 @@ def topic(text: str):
 
 def sized(docs: DataFrame, key: str, source: str, lang: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, source, lang, topic, tokens), one row a key, of the documents with text and source."""
-    code = F.lower(F.substring(F.col(lang), 1, 2))
     d = docs.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(source).isNotNull())
-    d = d.select(F.col(key).alias("key"), F.col(source).alias("source"), F.when(code.isin(*LANGS), code).otherwise("und").alias("lang"), topic(text).alias("topic"), F.col(text).alias("text"))
+    d = d.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(label_code(lang), F.lit("und")).alias("lang"), topic(text).alias("topic"), F.col(text).alias("text"))
     d = d.mapInArrow(_count_tokens(tokenizer), "key long, source string, lang string, topic string, tokens long")
     return d.groupBy("key").agg(*(F.min(c).alias(c) for c in ("source", "lang", "topic", "tokens")))
 
@@ -127,6 +127,16 @@ def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     return t.withColumn("actual_share", F.when(all_tokens > 0, F.round(F.col("tokens") / all_tokens, 6)).otherwise(F.lit(0.0)))
 
 
+def marginals(mix: DataFrame) -> DataFrame:
+    """Per language and topic: its share of the tokens of the targeted sources (the wanted one), of the mixture, and
+    what is left between them. An empty mixture has shares of 0."""
+    long = mix.select("tokens", "copies", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("lang", "topic")])).alias("v")).select("tokens", "copies", "v.*")
+    per = long.groupBy("dimension", "value").agg(F.sum("tokens").alias("there"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
+    w = Window.partitionBy("dimension")  # a row a language or topic
+    wanted, actual = (F.round(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0)), 6) for c in ("there", "tokens"))
+    return per.select("dimension", "value", "tokens", wanted.alias("wanted_share"), actual.alias("actual_share")).withColumn("residual", F.round(F.col("actual_share") - F.col("wanted_share"), 6))
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
 
@@ -141,3 +151,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of every source of mix_targets."""
     docs, targets = _tables(spark, sf_dir)
     return shares(mixture(docs, targets, "doc_id", "source", "lang", "text"), targets)
+
+
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and actual shares of languages and topics, and their residuals."""
+    docs, targets = _tables(spark, sf_dir)
+    return marginals(mixture(docs, targets, "doc_id", "source", "lang", "text"))

@@ -2,11 +2,13 @@
 
 Fourteen statistics are computed for every text, in one pass over all characters of a batch. For each language (by
 its common words) the mean and covariance of prose are estimated robustly, on all rows: start from the quartiles,
-then twice keep the rows near the centre and take their mean and covariance (concentration steps). A text's
-outlierness is its Mahalanobis distance from its language's prose; the contribution of a statistic is its share
-of that quadratic form. For statistics that only speak against prose in one direction (fewer common words, more
-symbols) the other direction counts as zero. A text in no known language is compared with every language and
-keeps the smallest distance.
+then twice keep the rows near the centre and take their mean and covariance (concentration steps, the covariance
+scaled up for the rows that were left out). A text's outlierness is its Mahalanobis distance from its language's
+prose. The deviations from the mean are whitened by the root of the inverse correlation, which keeps each component
+as near to its statistic as it can be; the squares of the components are the statistics' contributions, none is
+negative, and they add up to the squared distance. For statistics that only speak against prose in one direction
+(fewer common words, more symbols) a component in the other direction is zero. A text in no known language is
+compared with every language and keeps the smallest distance.
 
 Null, empty and blank texts get no row. Languages with under MIN_ROWS rows use the pooled prose. Repeated rows
 each get their row. Extra columns are not read.
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from .words import mixed, _powers
+from .words import _powers, by_code, mixed
 
 # Common words of each language.
 COMMON = {
@@ -38,17 +40,15 @@ SIDE = np.array([0, 0, -1, 1, -1, 1, 1, 1, 1, 1, -1, 1, 1, 1])
 #: The smallest standard deviation taken for a statistic, so that near-constant ones don't decide alone.
 FLOOR = np.array([1.0, 0.9, 0.08, 0.03, 0.25, 0.10, 0.06, 0.06, 0.05, 0.05, 0.12, 0.015, 0.12, 0.06])
 MIN_ROWS = 200
-CUT = 20.0  # squared distance beyond which a text is no prose
+SHRINK = 0.2  # share by which the estimated correlations are drawn to zero
+#: Squared distance beyond which a text is no prose. Of normal deviations, where each of the ten one-sided statistics
+#: counts half the time, 98 of 100 lie within (a mixture of chi-square distributions of 4 to 14 degrees of freedom).
+CUT = 20.0
+RESCALE = 1.02  # covariance of all normal rows, of that of the rows within CUT
 
 _tables: dict = {}
 
 
-def _table(name: str, f, kind=bool) -> np.ndarray:
-    if name not in _tables:
-        _tables[name] = np.fromiter((f(chr(i)) for i in range(0x110000)), kind, 0x110000)
-    return _tables[name]
-
-
 def _lower(c: str) -> int:
     low = c.lower()
     return ord(low) if len(low) == 1 else ord(c)
@@ -78,11 +78,11 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     code = np.frombuffer("\n".join(texts + [""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    low = _table("lower", _lower, np.uint32)[code]
-    alpha, digit = _table("alpha", str.isalpha)[code], _table("digit", str.isdigit)[code]
-    upper, space = _table("upper", str.isupper)[code], _table("space", str.isspace)[code]
-    vowel = _table("vowel", lambda c: c in "aeiouyаеёиоуыэюя" or (ord(c) > 191 and c.isalpha() and c.lower() == c and ord(c) < 0x250))[low]
-    fine = _table("fine", lambda c: c in ".,;:!?'\"()-–—…¬«»„“”’+#=/½")[code]
+    low = by_code("lower", _lower, np.uint32)[code]
+    alpha, digit = by_code("alpha", str.isalpha)[code], by_code("digit", str.isdigit)[code]
+    upper, space = by_code("upper", str.isupper)[code], by_code("space", str.isspace)[code]
+    vowel = by_code("vowel", lambda c: c in "aeiouyаеёиоуыэюя" or (ord(c) > 191 and c.isalpha() and c.lower() == c and ord(c) < 0x250))[low]
+    fine = by_code("fine", lambda c: c in ".,;:!?'\"()-–—…¬«»„“”’+#=/½")[code]
     sums = {k: np.concatenate([[0], np.cumsum(v)]) for k, v in (("digit", digit), ("upper", upper), ("vowel", vowel))}
     inside = (alpha | digit).astype(np.int8)
     edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
@@ -110,14 +110,14 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     last = np.maximum.accumulate(np.where(space, -1, np.arange(len(code))))
     prev = np.concatenate([[-1], nl[:-1]])
     real = last[nl] > prev
-    stop = _table("stop", lambda c: c in ".!?;:,…")[code]
+    stop = by_code("stop", lambda c: c in ".!?;:,…")[code]
     nl_doc = np.minimum(np.searchsorted(ends, nl, "right"), n - 1)
     lines = np.maximum(np.bincount(nl_doc[real], None, n), 1)
     closed = np.bincount(nl_doc[real], stop[last[nl]][real].astype(float), n)
     first = np.minimum.accumulate(np.where(space, len(code), np.arange(len(code)))[::-1])[::-1]  # next character that is no space
     head = first[prev + 1][real]
     after = np.minimum.accumulate(np.where(digit, len(code), np.arange(len(code)))[::-1])[::-1]
-    bullet = _table("bullet", lambda c: c in "-–—*•·‣▪◦+>»o")[code]
+    bullet = by_code("bullet", lambda c: c in "-–—*•·‣▪◦+>»o")[code]
     limit = len(code) - 1
     number = digit[head] & np.isin(code[np.minimum(after[head], limit)], (41, 46)) & space[np.minimum(after[head] + 1, limit)]
     box = (code[head] == 91) & np.isin(code[np.minimum(head + 2, limit)], (93,))  # "[ ]"
@@ -142,7 +142,7 @@ def text_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             np.where(words > 0, distinct / some, 1.0),
             of(same) / ink,
             item / lines,
-            of(_table("accent", lambda c: c.isalpha() and 0xC0 <= ord(c) < 0x250)[code]) / np.maximum(of(alpha), 1),
+            of(by_code("accent", lambda c: c.isalpha() and 0xC0 <= ord(c) < 0x250)[code]) / np.maximum(of(alpha), 1),
         ],
         1,
     )
@@ -165,11 +165,11 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     return src.mapInArrow(_stats_pass, "key long, lang int, " + ", ".join(f"{s} double" for s in STATS))
 
 
-def _distance(x: np.ndarray, mean: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = x - mean
-    d = np.where(((SIDE > 0) & (d < 0)) | ((SIDE < 0) & (d > 0)), 0.0, d)
-    c = d * (d @ inv)
-    return np.maximum(c.sum(1), 0.0), c
+def _distance(x: np.ndarray, mean: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, contributions): squares of the whitened deviations that speak against prose."""
+    z = (x - mean) @ white
+    c = np.where(((SIDE > 0) & (z < 0)) | ((SIDE < 0) & (z > 0)), 0.0, z) ** 2
+    return c.sum(1), c
 
 
 def _scored(models: dict[int, tuple[np.ndarray, np.ndarray]]):
@@ -178,10 +178,10 @@ def _scored(models: dict[int, tuple[np.ndarray, np.ndarray]]):
             lang = batch.column("lang").to_numpy()
             x = np.stack([batch.column(s).to_numpy() for s in STATS], 1)
             d2, c = np.full(len(x), np.inf), np.zeros_like(x)
-            for k, (mean, inv) in models.items():
+            for k, (mean, white) in models.items():
                 m = (lang == k) | (lang < 0)
                 if m.any():
-                    d, cc = _distance(x[m], mean, inv)
+                    d, cc = _distance(x[m], mean, white)
                     less = d < d2[m]
                     at = np.nonzero(m)[0][less]
                     d2[at], c[at] = d[less], cc[less]
@@ -212,16 +212,16 @@ def _moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def _inverse(cov: np.ndarray) -> np.ndarray:
-    """Inverse of the covariance with the floors: correlations are kept, deviations are at least FLOOR."""
+def _whitening(cov: np.ndarray) -> np.ndarray:
+    """Matrix that whitens deviations: they are divided by their standard deviation (at least FLOOR) and multiplied by
+    the root of the inverse correlation, which is shrunk by SHRINK towards none."""
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    corr = 0.8 * cov / np.outer(sd, sd) + 0.2 * np.eye(len(sd))
-    sd = np.maximum(sd, FLOOR)
-    return np.linalg.inv(corr * np.outer(sd, sd))
+    values, axes = np.linalg.eigh((1 - SHRINK) * cov / np.outer(sd, sd) + SHRINK * np.eye(len(sd)))
+    return np.diag(1 / np.maximum(sd, FLOOR)) @ (axes / np.sqrt(np.maximum(values, 1e-6))) @ axes.T
 
 
 def fit(stats: DataFrame, steps: int = 2) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per language (mean, inverse covariance) of prose, over all rows."""
+    """Per language (mean, whitening matrix) of prose, over all rows."""
     quart = stats.where("lang >= 0").groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATS)).collect()
     n = sum(r["n"] for r in quart)
     models, big = {}, [r for r in quart if r["n"] >= MIN_ROWS] or quart
@@ -233,14 +233,14 @@ def fit(stats: DataFrame, steps: int = 2) -> dict[int, tuple[np.ndarray, np.ndar
         w = np.array([r["n"] for r in use], float)
         q = np.average([[list(r[s]) for s in STATS] for r in use], axis=0, weights=w)
         sd = np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR)
-        models[k] = (q[:, 1], np.diag(1 / sd**2))
+        models[k] = (q[:, 1], np.diag(1 / sd))
     for _ in range(steps):
         near = stats.where("lang >= 0").mapInArrow(_scored(models), _SCHEMA).where(F.col("distance2") <= CUT)
         found = _moments(near)
         for k in range(len(LANGS)):
             use = found.get(k) if k in found and found[k][0] >= MIN_ROWS else found.get(-9)
             if use:
-                models[k] = (use[1], _inverse(use[2]))
+                models[k] = (use[1], _whitening(use[2] * RESCALE))
     return models
 
 
@@ -263,7 +263,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph's statistics, distance, the statistic that contributes most, verdict."""
+    """Every paragraph's language, statistics, distance, each statistic's contribution (c_...) and verdict."""
     o = outlierness(paragraphs(spark, sf_dir), "node_id", "text").dropDuplicates(["key"])
-    top = F.element_at(F.array(*[F.lit(s) for s in STATS]), F.array_position("contributions", F.array_max("contributions")).cast("int"))
-    return o.select(F.col("key").alias("node_id"), F.element_at(F.array(*[F.lit(c) for c in LANGS], F.lit(None).cast("string")), F.when(F.col("lang") >= 0, F.col("lang") + 1).otherwise(-1)).alias("lang"), *(F.round(s, 6).alias(s) for s in STATS), F.round("distance2", 4).alias("distance2"), top.alias("main_statistic"), "prose")
+    lang = F.element_at(F.array(*[F.lit(c) for c in LANGS], F.lit(None).cast("string")), F.when(F.col("lang") >= 0, F.col("lang") + 1).otherwise(-1))
+    parts = [F.round(F.col("contributions")[i], 4).alias(f"c_{s}") for i, s in enumerate(STATS)]
+    return o.select(F.col("key").alias("node_id"), lang.alias("lang"), *(F.round(s, 6).alias(s) for s in STATS), F.round("distance2", 4).alias("distance2"), *parts, "prose")

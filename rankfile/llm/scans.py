@@ -370,10 +370,10 @@ def _node_pass(lex, heads, models):
                 continue
             x, lang = prose.text_stats(texts)
             d2 = np.full(len(texts), np.inf)
-            for k, (mean, inv) in models.items():
+            for k, (mean, white) in models.items():
                 m = (lang == k) | (lang < 0)
                 if m.any():
-                    d2[m] = np.minimum(d2[m], prose._distance(x[m], mean, inv)[0])
+                    d2[m] = np.minimum(d2[m], prose._distance(x[m], mean, white)[0])
             rows = [(i, *repair_node(t, lx, hs)) for i, t, d in zip(ids, texts, d2) if d <= prose.CUT]
             yield pa.record_batch([pa.array(["node"] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["rec_kind", "rec_id", "text", "faults"])
 

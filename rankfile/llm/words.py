@@ -19,14 +19,36 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) in the text itself of the words of its lower case, which may be longer than the text."""
+    low = text.lower()
+    spans = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    at = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+    return [(int(at[a]), int(at[b - 1]) + 1) for a, b in spans]
+
+
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
 
 
+def by_code(name: str, f, kind=bool) -> np.ndarray:
+    """f of every code point; worked out once in a process for the planes in use, and the default elsewhere."""
+    if name not in _tables:
+        out = np.zeros(0x110000, kind) if kind is bool else np.arange(0x110000, dtype=kind)
+        for a, b in PLANES:
+            out[a:b] = np.fromiter((f(chr(i)) for i in range(a, b)), kind, b - a)
+        _tables[name] = out
+    return _tables[name]
+
+
+#: Code points that are letters, digits, spaces or marks at all; beyond them nothing is either.
+PLANES = ((0, 0x33480), (0xE0000, 0xE0200))
+
+
 def _alnum() -> np.ndarray:
-    if "alnum" not in _tables:
-        _tables["alnum"] = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
-    return _tables["alnum"]
+    return by_code("alnum", str.isalnum)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -55,6 +55,10 @@ def test_languages(spark):
     got = {r.key: (list(r.codes), r.label_code) for r in language.languages(df, "item_id", "lang", "text").collect()}
     assert got[500] == (["en"], "de") and got[501] == (["de"], None) and got[502][0] == ["de", "en"] and 503 not in got and 504 not in got
     assert all(got[i] == (["en"], "en") for i in range(40))
+    hints = spark.createDataFrame([(501, "DE", 0.9), (501, "en", 0.2), (502, "xx", 1.0), (500, None, 1.0), (500, "ger", None)], "key long, code string, score double")
+    again = {r.key: r for r in language.languages(df, "item_id", "lang", "text", hints).collect()}
+    assert again[501].hint == "de" and again[502].hint is None and again[500].hint is None and {k: list(r.codes) for k, r in again.items()} == {k: c for k, (c, _) in got.items()}
+    assert all(0 < r.confidence <= 1 for r in again.values())
     seg = language.segments(df, "item_id", "lang", "text").where("key = 502").orderBy("segment").collect()
     assert [s.code for s in seg] == ["en", "de", "en"] and all(0 < s.confidence <= 1 for s in seg)
 
@@ -67,6 +71,9 @@ def test_leaks(spark):
     found = leakage.leaks(d, "doc_id", "text", i, "item_id", "text")
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 7), (1, 8), (5, 7), (5, 8)}
     clean = {r.doc_id: (r.text, r.words_removed) for r in leakage.without_leaks(d, "doc_id", "text", found).collect()}
+    odd = "İİ İx " + item + " İ end"
+    turned = {r.doc_id: (r.text, r.words_removed) for r in leakage.without_leaks(d.limit(0).union(spark.createDataFrame([(8, odd, 7)], d.schema)), "doc_id", "text", leakage.leaks(spark.createDataFrame([(8, odd, 7)], d.schema), "doc_id", "text", i, "item_id", "text")).collect()}
+    assert turned == {8: ("İİ İx  İ end", 11)}
     assert clean[1] == ("start  end", 11) and clean[3] == (None, 0) and clean[2][1] == 0
     assert leakage.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
@@ -94,4 +101,7 @@ def test_mixture(spark):
     assert m.groupBy("key").count().where("count > 1").isEmpty() and m.where("copies > 3 or (source = 'a' and copies > 1) or copies < 0").isEmpty()
     s = {r.source: r.actual_share for r in mixing.shares(m, t).collect()}
     assert abs(s["a"] - 0.4 / 0.9) < 0.02 and abs(s["b"] - 0.5 / 0.9) < 0.02 and s["none"] == 0
+    left = mixing.marginals(m).collect()
+    assert {r.dimension for r in left} == {"lang", "topic"} and all(abs(r.residual - (r.actual_share - r.wanted_share)) < 1e-5 for r in left) and abs(sum(r.actual_share for r in left) - 2) < 1e-4
+    assert mixing.marginals(m.limit(0)).count() == 0
     assert mixing.shares(mixing.mixture(d.limit(0), t, "doc_id", "source", "lang", "text"), t).count() == 3
