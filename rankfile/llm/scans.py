@@ -3,21 +3,23 @@
 Three repairs, each of which names the records it applies to:
 
 * misread: words are grouped by a skeleton that makes confusable glyphs equal (e/c, o/0, l/1/i, s/5, rn/m, cl/d,
-  ...). In a group the frequent form stands for the others; a rare form is misread where the frequent one is at
-  least TIMES as frequent and, for short words, where a neighbour supports it (the two often stand together).
-  A digit inside a word, and a letter inside a move number, are misread without a frequent form, too.
-* furniture: page numbers by their form; running heads among the lines that close no sentence and hold no move, by
-  masking digits, squares and rare words and counting the masked lines, or because the line is too short to be a
-  wrapped one (the next word would have fitted).
+  ...). The frequent forms of a word's group may be what it was. One that a neighbour supports (the two often stand
+  together) goes before the others; it must be TIMES as frequent as the word, or twice that if no neighbour supports
+  it, and half in a span that its engine is not SURE of. Words under four letters need a neighbour's support, unless
+  they hold a digit. The number before a move is read alike, among the numbers of its skeleton.
+* furniture: page numbers by their form; running heads by masking digits, squares and rare words in the lines that
+  close no sentence and hold no move: a masked line that stands on HEADS pages or paragraphs of one document is a head,
+  wherever its place and form don't speak against it.
 * hyphen: a word split at a line's end. The halves are joined unless the word occurs with its own hyphen inside
   lines and the joined form doesn't.
 
 The repaired lines are reflowed into paragraphs; the lines of pages follow each other by SQL windows.
 
-Counts are taken over all paragraphs, comments and spans. Tables that are broadcast hold words and word pairs of a
-relative frequency of at least SHARE, so at most 1 / SHARE of either. Null and empty texts have no fault and
-repair to themselves. Repeated rows count once per key in the results. A word that fits two frequent forms equally
-takes the first in the alphabet.
+Counts are taken over all paragraphs, comments and spans. A form is frequent from LEAST occurrences on, at every size.
+Up to MAX_WORDS frequent words and MAX_PAIRS pairs are broadcast; beyond that every record gets the entries that its own
+words ask for, by joins, with the same result. Heads are joined to their records. Null and empty texts have no fault
+and repair to themselves. Repeated rows count once per key in the results. A word that fits two forms equally takes
+the first in the alphabet. A null confidence is sure.
 """
 
 from __future__ import annotations
@@ -26,20 +28,23 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import written
 from . import prose
-from .confusables import SUSPECT, consistent
+from .confusables import consistent
 from .words import _alnum, _powers, mixed
 
 LEAST = 20  # occurrences that make a form frequent
-SHARE = 1e-6  # or this share of all words, whichever is more
-TIMES = 20  # times as frequent as the form it replaces
-HEADS = 2  # occurrences in a document that make a masked line a running head
-MAX_HEADS = 1_000_000  # masked heads that are broadcast; rarer ones are told by their form and place
+TIMES = 20  # times as frequent as the word it replaces
+SURE = 0.8  # confidence from which a span is as good as a paragraph
+HEADS = 2  # pages or paragraphs of a document that make a masked line a running head
+MAX_WORDS = MAX_PAIRS = 1_000_000  # entries that are broadcast
+FLAGS = 1_000_000  # records with a head that are broadcast
 
 # Glyphs read for each other, as prototypes of single glyphs, and as pairs read for one.
 LATIN = str.maketrans("c@0f1l596h", "eaotiisgbb")
@@ -125,33 +130,32 @@ def _hash_one(w: str) -> np.ndarray:
 
 
 class Lexicon:
-    """Frequent words by skeleton, frequent pairs, words with an inner hyphen."""
+    """Frequent words by skeleton, frequent numbers, frequent pairs, words with an inner hyphen."""
 
-    def __init__(self, words: dict[str, int], pairs: set[int], floor: int):
+    def __init__(self, words: dict[str, int], pairs: set[int]):
         self.compounds = {w[1:] for w in words if w[0] == "-"}
         self.n = {w: k for w, k in words.items() if w[0] != "-" and "@" not in w and not any(c.isdigit() for c in w)}
-        self.pairs, self.floor = pairs, floor
-        self.best: dict[str, str] = {}
+        self.numbers = {single(w): w for w in words if w.isdigit() and len(w) <= 3}  # a skeleton has one number
+        self.pairs = pairs
+        self.forms: dict[str, list[tuple[int, str]]] = {}
         for w in sorted(self.n):
-            s = single(w)
-            if s not in self.best or self.n[w] > self.n[self.best[s]]:
-                self.best[s] = w
-        self.cache: dict[str, tuple | None] = {}
+            self.forms.setdefault(single(w), []).append((self.n[w], w))
+        self.cache: dict[str, list[tuple[int, str]]] = {}
         self.hashes: dict[str, np.uint64] = {}
 
-    def form(self, w: str) -> str | None:
-        """The frequent form that a word is a misreading of."""
+    def candidates(self, w: str) -> list[tuple[int, str]]:
+        """(count, form) of the frequent forms in a word's groups, but itself; most frequent first."""
         if w not in self.cache:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            own, found = self.n.get(w, 0), None
-            for s in variants(w):
-                d = self.best.get(s)
-                if d and d != w and self.n[d] >= TIMES * max(own, 1) and (found is None or self.n[d] > self.n[found]):
-                    found = d
-            self.cache[w] = found
+            found = {d: n for s in variants(w) for n, d in self.forms.get(s, ()) if d != w}
+            self.cache[w] = sorted(((n, d) for d, n in found.items()), key=lambda x: (-x[0], x[1]))
         return self.cache[w]
 
+    def form(self, w: str) -> str | None:
+        """The most frequent form that is TIMES as frequent as a word."""
+        return next((d for n, d in self.candidates(w)[:1] if n >= TIMES * max(self.n.get(w, 0), 1)), None)
+
     def _h(self, w: str) -> np.ndarray:
         if w not in self.hashes:
             if len(self.hashes) > 300_000:
@@ -162,53 +166,141 @@ class Lexicon:
     def together(self, a: str, b: str) -> bool:
         return bool(a and b) and int(_pair(self._h(a), self._h(b))[0]) in self.pairs
 
-    def read(self, w: str, left: str, right: str) -> str | None:
-        """What a word was, if it was misread; '' if that can't be told."""
+    def read(self, w: str, left: str, right: str, sure: bool = True) -> str | None:
+        """What a word was, if it was misread."""
         low = w.lower()
         if _MOVE.fullmatch(low):
             return None
-        mark = "@" in low or (any(c.isdigit() for c in low) and sum(c.isalpha() for c in low) >= 2)
-        form = self.form(low)
-        if form and (len(low) >= 4 or mark or self.together(left, form) or self.together(form, right)):
-            return form
-        return "" if mark and len(low) >= 3 and not low[0].isdigit() and not re.fullmatch(r"[a-zа-я]+\d+", low) else None
+        found = self.candidates(low)
+        if not found:
+            return None
+        need = (TIMES if sure else TIMES / 2) * max(self.n.get(low, 0), 1)
+        near = next((d for n, d in found if n >= need and (self.together(left, d) or self.together(d, right))), None)
+        if near:
+            return near
+        alone = len(low) >= 4 or "@" in low or any(c.isdigit() for c in low)
+        return found[0][1] if alone and found[0][0] >= 2 * need else None
 
 
-def lexicon(texts: DataFrame, text: str) -> Lexicon:
-    """The lexicon of all rows' texts."""
+def _frequent(texts: DataFrame, text: str) -> DataFrame:
+    """(word, pair, n) of the frequent words and pairs of all rows' texts; a word with its own hyphen needs three."""
     raw = texts.select(text).where(F.col(text).isNotNull() & (F.col(text) != ""))
-    counts = written(raw.mapInArrow(_counts, "word string, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")), "p2-counts")
-    total = counts.where("word is not null").agg(F.sum("n")).first()[0] or 0
-    floor = max(LEAST, int(total * SHARE))
-    words = {r[0]: r[1] for r in counts.where((F.col("n") >= floor) & F.col("word").isNotNull() & ~F.col("word").startswith("-")).select("word", "n").collect()}
-    words |= {r[0]: r[1] for r in counts.where((F.col("n") >= max(3, floor // LEAST * 3)) & F.col("word").startswith("-")).select("word", "n").collect()}
-    pairs = {int(np.array([r[0]], np.int64).view(np.uint64)[0]) for r in counts.where((F.col("n") >= floor) & F.col("word").isNull()).select("pair").collect()}
-    return Lexicon(words, pairs, floor)
+    counts = raw.mapInArrow(_counts, "word string, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    return written(counts.where((F.col("n") >= LEAST) | ((F.col("n") >= 3) & F.col("word").startswith("-"))), "p2-counts")
+
+
+def lexicon(counts: DataFrame) -> Lexicon | None:
+    """The lexicon as one object, None if it is over the bounds of a broadcast."""
+    words, pairs = counts.where("word is not null"), counts.where("word is null")
+    if words.count() > MAX_WORDS or pairs.count() > MAX_PAIRS:
+        return None
+    return Lexicon({r[0]: r[1] for r in words.select("word", "n").collect()}, {_unsigned(r[0]) for r in pairs.select("pair").collect()})
+
+
+def _unsigned(x: int) -> int:
+    return x & 0xFFFFFFFFFFFFFFFF
+
+
+def _asked(text: str) -> tuple[list[str], list[str]]:
+    """(words, skeletons) that the reading of a text may ask a lexicon for."""
+    text = plain_of(text)
+    words = {m.group().lower() for m in _TOKEN.finditer(text)}
+    for m in _SPLIT.finditer(text):
+        words |= {(m.group(1) + m.group(4)).lower(), f"-{m.group(1)}-{m.group(4)}".lower()}
+    words |= {w.replace("|", "1") for w in words}
+    return sorted(words), sorted({s for w in words if w[0] != "-" for s in variants(w)} | {_digits(m.group()) for m in _NUMBER.finditer(text)})
+
+
+def _ask_pass(batches):
+    for batch in batches:
+        keys, asked, kinds = [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for kind, names in enumerate(_asked(text or "")):
+                keys += [key] * len(names)
+                asked += names
+                kinds += [kind] * len(names)
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(asked, pa.string()), pa.array(kinds, pa.int32())], names=["lex_key", "name", "kind"])
+
+
+def _pair_pass(batches):
+    """(lex_key, pair) of the neighbours that a text's candidates would have."""
+    for batch in batches:
+        keys, pairs = [], []
+        for key, text, words, ns in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            lx = Lexicon(dict(zip(words, ns)), set())
+            ms = list(_TOKEN.finditer(plain_of(text)))
+            near = set()
+            for a, b in zip(ms, ms[1:]):
+                if a.end() + 1 == b.start():
+                    x, y = a.group().lower(), b.group().lower()
+                    near |= {int(_pair(lx._h(x), lx._h(d))[0]) for _, d in lx.candidates(y)} | {int(_pair(lx._h(d), lx._h(y))[0]) for _, d in lx.candidates(x)}
+            keys += [key] * len(near)
+            pairs += near
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.array(pairs, np.uint64).view(np.int64))], names=["lex_key", "pair"])
+
+
+@F.pandas_udf(StringType())
+def _skeleton(w: pd.Series) -> pd.Series:
+    return w.map(single)
+
+
+def _with_entries(df: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """df with the entries of the lexicon that its texts ask for: lex_words, lex_ns, lex_pairs."""
+    df = written(df.withColumn("lex_key", F.xxhash64(text)), "p2-rows")
+    texts = df.select("lex_key", F.col(text).alias("lex_text")).dropDuplicates(["lex_key"])
+    words = counts.where("word is not null").select("word", "n")
+    named = words.select(F.col("word").alias("name"), F.lit(0).alias("kind"), F.array(F.struct("word", "n")).alias("e"))
+    grouped = words.where("not startswith(word, '-')").groupBy(_skeleton("word").alias("name")).agg(F.collect_list(F.struct("word", "n")).alias("e"))  # words of one skeleton are few
+    asked = texts.mapInArrow(_ask_pass, "lex_key long, name string, kind int")
+    got = asked.join(named.unionByName(grouped.withColumn("kind", F.lit(1))), ["name", "kind"]).groupBy("lex_key").agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("e"))
+    got = written(got.select("lex_key", F.col("e.word").alias("lex_words"), F.col("e.n").alias("lex_ns")), "p2-asked")
+    pairs = texts.join(got, "lex_key").select("lex_key", "lex_text", "lex_words", "lex_ns").mapInArrow(_pair_pass, "lex_key long, pair long")
+    near = pairs.join(counts.where("word is null").select("pair"), "pair").groupBy("lex_key").agg(F.collect_set("pair").alias("lex_pairs"))
+    return df.join(got, "lex_key", "left").join(near, "lex_key", "left").drop("lex_key")
+
+
+def _lexicons(batch: pa.RecordBatch, lex):
+    """The lexicon of each row of a batch: the broadcast one, or its own entries."""
+    if lex is not None:
+        return [lex.value] * batch.num_rows
+    rows = zip(*(batch.column(c).to_pylist() for c in ("lex_words", "lex_ns", "lex_pairs")))
+    return [Lexicon(dict(zip(w or (), n or ())), {_unsigned(x) for x in p or ()}) for w, n, p in rows]
 
 
 def capital(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def misreadings(text: str, lex: Lexicon, skip: list[tuple[int, int]] = ()) -> list[tuple[int, int, str | None]]:
-    """(start, end, what it was or None) of the misread words and move numbers; spans in skip are left out."""
-    out: list[tuple[int, int, str | None]] = []
+def _digits(w: str) -> str:
+    return single(w.lower().rstrip(".").replace("|", "1"))
+
+
+def misreadings(text: str, lex: Lexicon, skip: list[tuple[int, int]] = (), sure: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, what it was) of the misread words and move numbers; spans in skip are left out."""
+    out: list[tuple[int, int, str]] = []
+    free = lambda at: not any(s <= at < e for s, e in skip)
     for m in _NUMBER.finditer(text):
-        if not any(s <= m.start() < e for s, e in skip):
-            out.append((m.start(), m.end(), m.group().translate(str.maketrans("lIO|", "1101"))))
+        number = lex.numbers.get(_digits(m.group()))
+        if number and free(m.start()):
+            out.append((m.start(), m.end(), number + "." * m.group().count(".")))
     taken = {s for s, *_ in out}
     ms = list(_TOKEN.finditer(text))
     for i, m in enumerate(ms):
-        if m.start() in taken or any(s <= m.start() < e for s, e in skip):
+        if m.start() in taken or not free(m.start()):
             continue
         left = ms[i - 1].group().lower() if i and ms[i - 1].end() + 1 == m.start() else ""
         right = ms[i + 1].group().lower() if i + 1 < len(ms) and m.end() + 1 == ms[i + 1].start() else ""
-        was = lex.read(m.group(), left, right)
+        was = lex.read(m.group(), left, right, sure)
         if was is not None:
-            out.append((m.start(), m.end(), capital(was, m.group()) if was else None))
+            out.append((m.start(), m.end(), capital(was, m.group())))
     return sorted(out)
 
 
+def plain_of(text: str) -> str:
+    """The consistent form, with a soft hyphen at a line's end kept as a mark of a split word."""
+    return consistent(text.replace("­\n", "¬\n")) if re.search(r"[^\x00-\x7f]", text) else text
+
+
 def split_words(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, joined word) of the words split at a line's end."""
     out = []
@@ -244,44 +336,68 @@ def is_page_number(line: str) -> bool:
 
 
 def furniture(lines: list[str], lex: Lexicon, heads: set[str]) -> list[bool]:
-    """Which lines of a text are running heads or page numbers."""
+    """Which lines of a text are running heads or page numbers. A head must be masked to one of `heads`; without a page
+    number or capitals it must leave room for the first word of the line after it."""
     out = [is_page_number(x) for x in lines]
     if len(lines) == 1:
         return [False]
     width = max((len(x.rstrip()) for x, f in zip(lines, out) if not f), default=0)
     for i, x in enumerate(lines):
-        if out[i] or not may_head(x):
+        if out[i] or not heads or not may_head(x) or masked(x, lex) not in heads:
             continue
         nxt = next((y for y, f in zip(lines[i + 1 :], out[i + 1 :]) if not f and y.strip()), None)
         fits = nxt is not None and len(x.strip()) + 1 + len(nxt.split()[0]) + 3 <= width
-        out[i] = (fits and (bool(_PAGED.search(x.strip())) or masked(x, lex) in heads or x.strip().isupper() or x.strip() == lines[0].strip())) or (bool(_PAGED.search(x.strip())) or x.strip().isupper()) and i < len(lines) - 1
+        out[i] = fits or i < len(lines) - 1 and (bool(_PAGED.search(x.strip())) or x.strip().isupper())
     return out
 
 
+def _edited(text: str, edits: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for s, e, w in sorted(edits):
+        out += [text[at:s], w]
+        at = e
+    return "".join([*out, text[at:]])
+
+
 def repair_node(text: str, lex: Lexicon, heads: set[str]) -> tuple[str, list[str]]:
     """(the text as continuous paragraphs, its faults)."""
-    plain = consistent(text) if re.search(r"[^\x00-\x7f]", text) else text
-    if "­" in text or "¬" in text:
-        plain = consistent(text.replace("­\n", "¬\n"))
-    lines = plain.split("\n")
+    lines = plain_of(text).split("\n")
     gone = furniture(lines, lex, heads)
     body = "\n".join(x for x, g in zip(lines, gone) if not g)
-    faults = ["furniture"] if any(gone) else []
     cuts = split_words(body, lex)
-    if cuts:
-        faults.append("hyphen")
-    skip = [(s, e) for s, e, _ in cuts]
-    wrong = misreadings(body, lex, skip)
+    wrong = misreadings(body, lex, [(s, e) for s, e, _ in cuts])
     joined = [(s, e, w, misreadings(w, lex)) for s, e, w in cuts]
-    if wrong or any(bad for *_, bad in joined):
+    faults = ["furniture"] * any(gone) + ["hyphen"] * bool(cuts) + ["misread"] * bool(wrong or any(bad for *_, bad in joined))
+    edits = wrong + [(s, e, _edited(w, bad)) for s, e, w, bad in joined]
+    return re.sub(r"[ \t]*\n[ \t]*", " ", _edited(body, edits)).strip(), faults
+
+
+def repair_span(r: dict, lex: Lexicon, heads: set[str]) -> tuple[str, list[str]]:
+    """(the text of a span, '' for furniture; its faults). r holds what page_lines gives."""
+    text, faults = r["text"], []
+    plain = consistent(text.rstrip().removesuffix("­")) + ("¬" if text.rstrip().endswith("­") else "")
+    at, top, bottom = (r[c] if r[c] is not None else -9 for c in ("line_no", "top", "bottom"))
+    own_line = r["back_line"] != r["line_no"] and r["next_line"] != r["line_no"]
+    if own_line and r["line_no"] is not None and (at <= top + 1 or at >= bottom - 1):
+        if is_page_number(plain) or at <= top + 1 and heads and may_head(plain) and masked(plain, lex) in heads:
+            return "", ["furniture"]
+    sure = r["confidence"] is None or r["confidence"] >= SURE
+    cut = _END.search(plain) if r["next_line"] != r["line_no"] else None
+    if cut:
+        after = consistent(r["next_text"]) if r["next_text"] else ""
+        second = None if not after or is_page_number(after) or may_head(after) else re.match(r"\s*([^\W\d_]+)", after)
+        half, rest = cut.group(1), second.group(1) if second else ""
+        low, whole = (half + rest).lower(), f"{half}-{rest}".lower()
+        own = cut.group(2) == "-" and (len(half) < 2 or second is not None and (not rest[0].islower() or whole in lex.compounds and low not in lex.n))
+        if not own:
+            faults.append("hyphen")
+            bad = misreadings(low, lex, sure=sure) if second else []
+            if any(s < len(half) and w[: len(half)].lower() != half.lower() for s, _, w in bad):
+                faults.append("misread")
+    wrong = misreadings(plain, lex, [(cut.start(), cut.end())] if cut else [], sure)
+    if wrong and "misread" not in faults:
         faults.append("misread")
-    edits = [(s, e, w) for s, e, w in wrong if w] + [(s, e, next((x[2] for x in bad if x[2] and (x[0], x[1]) == (0, len(w))), w)) for s, e, w, bad in joined]
-    out, at = [], 0
-    for s, e, w in sorted(edits):
-        out += [body[at:s], w]
-        at = e
-    flat = "".join([*out, body[at:]])
-    return re.sub(r"[ \t]*\n[ \t]*", " ", flat).strip(), faults
+    return _edited(plain, wrong), faults
 
 
 def _scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,73 +415,35 @@ def page_lines(spans: DataFrame) -> DataFrame:
     page = Window.partitionBy("doc_id", "page")
     order = page.orderBy("line_no", "span_no", "span_id")
     return d.select(
-        "span_id", "doc_id", "page", "line_no", "span_no", "text",
+        "span_id", "doc_id", "page", "line_no", "span_no", "text", "confidence",
         F.min("line_no").over(page).alias("top"), F.max("line_no").over(page).alias("bottom"),
-        F.max(F.length("text")).over(page).alias("width"),
         F.lead("text").over(order).alias("next_text"), F.lead("line_no").over(order).alias("next_line"),
         F.lag("line_no").over(order).alias("back_line"),
     )
 
 
-def _span_pass(lex, heads):
+_FIXED = "rec_kind string, rec_id long, text string, faults array<string>"
+
+
+def _fixed(kind: str, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([kind] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["rec_kind", "rec_id", "text", "faults"])
+
+
+def _span_pass(lex):
     def f(batches):
-        lx, hs = lex.value, heads.value
         for batch in batches:
-            r = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            ids, texts, faults, kinds = [], [], [], []
-            for k, sid in enumerate(r["span_id"]):
-                text, fault, gone = r["text"][k], [], False
-                if text:
-                    own_line = r["back_line"][k] != r["line_no"][k] and r["next_line"][k] != r["line_no"][k]
-                    plain = consistent(text.rstrip().removesuffix("­")) + ("¬" if text.rstrip().endswith("­") else "")
-                    at_line, top, bottom = (r[c][k] if r[c][k] is not None else -9 for c in ("line_no", "top", "bottom"))
-                    edge = r["line_no"][k] is not None and (at_line <= top + 1 or at_line >= bottom - 1)
-                    nxt = r["next_text"][k]
-                    if own_line and edge:
-                        head = at_line <= top + 1 and may_head(plain)
-                        fits = bool(nxt) and len(plain.strip()) + 4 + len((nxt.split() or [""])[0]) <= 0.7 * (r["width"][k] or 0) and nxt.lstrip()[:1].isupper()
-                        gone = is_page_number(plain) or head and (masked(plain, lx) in hs or bool(_PAGED.search(plain.strip())) or plain.strip().isupper() or fits)
-                    if gone:
-                        fault.append("furniture")
-                        plain = ""
-                    else:
-                        cut = _END.search(plain) if r["next_line"][k] != r["line_no"][k] else None
-                        skip = []
-                        if cut:
-                            skip = [(cut.start(), cut.end())]
-                            after = consistent(nxt) if nxt else ""
-                            second = None if not after or is_page_number(after) or may_head(after) else re.match(r"\s*([^\W\d_]+)", after)
-                            low = (cut.group(1) + (second.group(1) if second else "")).lower()
-                            whole = f"{cut.group(1)}-{second.group(1) if second else ''}".lower()
-                            own = cut.group(2) == "-" and (len(cut.group(1)) < 2 or second is not None and (not second.group(1)[0].islower() or whole in lx.compounds and low not in lx.n))
-                            if not own:
-                                fault.append("hyphen")
-                                bad = misreadings(low, lx) if second else []
-                                if any(s < len(cut.group(1)) for s, _, w in bad if w is None or (w and w[: len(cut.group(1))].lower() != cut.group(1).lower())):
-                                    fault.append("misread")
-                        wrong = misreadings(plain, lx, skip)
-                        if wrong and "misread" not in fault:
-                            fault.append("misread")
-                        out, at = [], 0
-                        for s, e, w in wrong:
-                            if w:
-                                out += [plain[at:s], w]
-                                at = e
-                        plain = "".join([*out, plain[at:]])
-                ids.append(sid)
-                texts.append(plain if text else text)
-                faults.append(fault)
-                kinds.append("span")
-            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(faults, pa.list_(pa.string()))], names=["rec_kind", "rec_id", "text", "faults"])
+            rows = []
+            for r, lx in zip(batch.to_pylist(), _lexicons(batch, lex)):
+                rows.append((r["span_id"], *(repair_span(r, lx, set(r["heads"] or ())) if r["text"] else (r["text"], []))))
+            yield _fixed("span", rows)
 
     return f
 
 
-def _node_pass(lex, heads, models):
+def _node_pass(lex, models):
     def f(batches):
-        lx, hs = lex.value, heads.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, heads = (batch.column(c).to_pylist() for c in ("node_id", "text", "heads"))
             if not texts:
                 continue
             x, lang = prose.text_stats(texts)
@@ -374,44 +452,60 @@ def _node_pass(lex, heads, models):
                 m = (lang == k) | (lang < 0)
                 if m.any():
                     d2[m] = np.minimum(d2[m], prose._distance(x[m], mean, white)[0])
-            rows = [(i, *repair_node(t, lx, hs)) for i, t, d in zip(ids, texts, d2) if d <= prose.CUT]
-            yield pa.record_batch([pa.array(["node"] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["rec_kind", "rec_id", "text", "faults"])
+            yield _fixed("node", [(i, *repair_node(t, lx, set(h or ()))) for i, t, h, d, lx in zip(ids, texts, heads, d2, _lexicons(batch, lex)) if d <= prose.CUT])
 
     return f
 
 
 def _head_pass(lex, node: bool):
+    """(doc_id, place, rec_id, mask) of the lines that may be heads."""
+
     def f(batches):
-        lx = lex.value
         for batch in batches:
-            d, k, m = [], [], []
-            for doc, key, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for line in {x for x in (t or "").split("\n") if may_head(x)} if node else ([t] if t and may_head(t) else []):
+            out: list[tuple] = []
+            for doc, place, rec, t, lx in zip(*(batch.column(i).to_pylist() for i in range(4)), _lexicons(batch, lex)):
+                for line in {x for x in plain_of(t).split("\n") if may_head(x)} if node else [x for x in [consistent(t)] if may_head(x)]:
                     mask = masked(line, lx)
                     if mask.count("*") < 2:
-                        d.append(doc)
-                        k.append(key)
-                        m.append(mask)
-            yield pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.string())], names=["doc_id", "key", "mask"])
+                        out.append((doc, place, rec, mask))
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "place", "rec_id", "mask"])
 
     return f
 
 
+def _with_heads(rows: DataFrame, key: str, flags: DataFrame) -> DataFrame:
+    """rows with their masked heads in `heads`; few flags are broadcast, so that no text is shuffled."""
+    mine = flags.groupBy(F.col("rec_id").alias(key)).agg(F.collect_set("mask").alias("heads"))  # the lines of one record
+    return rows.join(F.broadcast(mine) if flags.count() <= FLAGS else mine, key, "left")
+
+
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_kind, rec_id, text, faults) of the prose paragraphs and the spans of scanned documents."""
     scan = _scan_docs(spark, sf_dir)
-    lex = spark.sparkContext.broadcast(lexicon(_all_texts(spark, sf_dir), "text"))
-    spans = written(page_lines(spark.read.parquet(f"{sf_dir}/text_spans.parquet").join(scan, "doc_id", "left_semi")), "p2-lines")
+    counts = _frequent(_all_texts(spark, sf_dir), "text")
+    found = lexicon(counts)
+    lex = spark.sparkContext.broadcast(found) if found else None
+    at = spark.read.parquet(f"{sf_dir}/text_spans.parquet")
+    if "confidence" not in at.columns:
+        at = at.withColumn("confidence", F.lit(None).cast("double"))
+    spans = written(page_lines(at.join(scan, "doc_id", "left_semi")), "p2-lines")
     nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet").where("scope = 'all' and text is not null").join(scan, "doc_id", "left_semi").select("doc_id", "node_id", "text").where(F.col("text").rlike(r"\S"))
+    stats = written(prose.statistics(nodes, "node_id", "text"), "p2-stats")
+    if lex is None:
+        spans = written(_with_entries(spans.withColumn("lex_in", F.concat_ws("\n", "text", "next_text")), "lex_in", counts), "p2-lines")
+        nodes = written(_with_entries(nodes, "text", counts), "p2-nodes")
+    own = [] if lex else ["lex_words", "lex_ns", "lex_pairs"]
     # a head stands in several pages or paragraphs of one document
-    tops = spans.where("line_no <= top + 1").select("doc_id", F.xxhash64("doc_id", "page").alias("key"), "text").mapInArrow(_head_pass(lex, False), "doc_id long, key long, mask string")
-    lines = nodes.where(F.col("text").contains("\n")).select("doc_id", F.col("node_id").alias("key"), "text").mapInArrow(_head_pass(lex, True), "doc_id long, key long, mask string")
-    counted = tops.unionByName(lines).groupBy("mask", "doc_id").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= HEADS).groupBy("mask").agg(F.sum("n").alias("n"))
-    heads = spark.sparkContext.broadcast({r[0] for r in counted.orderBy(F.desc("n"), "mask").limit(MAX_HEADS).select("mask").collect()})
-    models = prose.fit(written(prose.statistics(nodes, "node_id", "text"), "p2-stats"))
-    out = spans.mapInArrow(_span_pass(lex, heads), "rec_kind string, rec_id long, text string, faults array<string>")
+    schema = "doc_id long, place long, rec_id long, mask string"
+    tops = spans.where("line_no <= top + 1 and text <> ''").select("doc_id", F.xxhash64("doc_id", "page").alias("place"), F.col("span_id").alias("rec_id"), "text", *own).mapInArrow(_head_pass(lex, False), schema)
+    lines = nodes.where(F.col("text").contains("\n")).select("doc_id", F.col("node_id").alias("place"), F.col("node_id").alias("rec_id"), "text", *own).mapInArrow(_head_pass(lex, True), schema)
+    may = written(tops.withColumn("kind", F.lit("span")).unionByName(lines.withColumn("kind", F.lit("node"))), "p2-heads")
+    heads = may.groupBy("mask", "doc_id").agg(F.countDistinct("kind", "place").alias("n")).where(F.col("n") >= HEADS).select("mask").distinct()
+    flags = written(may.join(heads, "mask").select("kind", "rec_id", "mask").distinct(), "p2-flags")
+    models = prose.fit(stats)
+    out = _with_heads(spans, "span_id", flags.where("kind = 'span'")).mapInArrow(_span_pass(lex), _FIXED)
     if models:
-        out = out.unionByName(nodes.select("node_id", "text").mapInArrow(_node_pass(lex, heads, models), "rec_kind string, rec_id long, text string, faults array<string>"))
+        out = out.unionByName(_with_heads(nodes, "node_id", flags.where("kind = 'node'")).mapInArrow(_node_pass(lex, models), _FIXED))
     return out
 
 
@@ -420,10 +514,46 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(spark, sf_dir).select("rec_kind", "rec_id", F.explode("faults").alias("fault")).distinct()
 
 
+def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every prose paragraph of a scanned document: node_id, text."""
+    return repaired(spark, sf_dir).where("rec_kind = 'node'").select(F.col("rec_id").alias("node_id"), "text").distinct()
+
+
+_ENDS = r"[.!?:…][\"'»”’)\]]*\s*$"
+_JOIN = r"(\p{L})(?:-|¬) +(?=\p{Ll})"
+
+
+def paragraphs(fixed: DataFrame, at: DataFrame) -> DataFrame:
+    """(doc_id, page, para, spans, text): the repaired spans of each page as paragraphs. fixed: span_id, text; at:
+    span_id, doc_id, page, line_no, span_no.
+
+    A line opens a paragraph if the one before it closes a sentence and is shorter than SHORT of the page's widest. A
+    page's first paragraph belongs to the last one of the page before it, if that closes no sentence; it is joined to it
+    unless it is its page's only one.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    order = page.orderBy("line_no", "span_no", "span_id")
+    d = fixed.where("text <> ''").join(at, "span_id")
+    back = F.lag("text").over(order)
+    d = d.withColumn("opens", (F.coalesce(back.rlike(_ENDS), F.lit(False)) & (F.length(back) < SHORT * F.max(F.length("text")).over(page)) & F.col("text").rlike(r"^\W*[\p{Lu}\d]")).cast("int"))
+    d = d.withColumn("para", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "span_no", "span_id", "text"))), lambda s: s["text"]), " ")
+    p = d.groupBy("doc_id", "page", "para").agg(F.count("*").alias("spans"), F.regexp_replace(joined, _JOIN, "$1").alias("text"))  # the lines of a page
+    p = written(p.withColumn("last", F.max("para").over(page)), "p2-paragraphs")
+    first = p.where("para = 0 and last > 0").select("doc_id", (F.col("page") - 1).alias("page"), F.col("spans").alias("more_spans"), F.col("text").alias("more"))
+    open_ = p.where("para = last").where(~F.col("text").rlike(_ENDS)).join(first, ["doc_id", "page"])
+    tails = open_.select("doc_id", "page", "para", "more_spans", "more")
+    moved = tails.select("doc_id", (F.col("page") + 1).alias("page"), F.lit(0).cast("long").alias("para"))
+    out = p.join(tails, ["doc_id", "page", "para"], "left").join(moved, ["doc_id", "page", "para"], "left_anti")
+    text = F.regexp_replace(F.concat_ws(" ", "text", "more"), _JOIN, "$1")
+    return out.select("doc_id", "page", "para", (F.col("spans") + F.coalesce("more_spans", F.lit(0))).alias("spans"), text.alias("text"))
+
+
+SHORT = 0.85
+
+
 def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repaired text of every scanned page, as one paragraph: doc_id, page, lines, text."""
-    fixed = repaired(spark, sf_dir).where("rec_kind = 'span' and text <> ''").select(F.col("rec_id").alias("span_id"), F.col("text").alias("fixed")).dropDuplicates(["span_id"])
+    """The paragraphs of every scanned page: doc_id, page, para, spans, text."""
+    fixed = repaired(spark, sf_dir).where("rec_kind = 'span'").select(F.col("rec_id").alias("span_id"), "text").dropDuplicates(["span_id"])
     at = spark.read.parquet(f"{sf_dir}/text_spans.parquet").select("span_id", "doc_id", "page", "line_no", "span_no").dropDuplicates(["span_id"])
-    page = fixed.join(at, "span_id").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "span_no", "span_id", "fixed"))).alias("x"))
-    text = F.regexp_replace(F.array_join(F.transform("x", lambda s: s["fixed"]), " "), r"(\p{L})(?:-|¬) +(?=\p{Ll})", "$1")
-    return page.select("doc_id", "page", F.size("x").alias("spans"), text.alias("text"))
+    return paragraphs(fixed, at)
