@@ -1,9 +1,11 @@
 """Variant spellings of names typed by people (problem 5).
 
-Distinct spellings are parsed into surname and given name, or into the name of a club; they are blocked by
-phonetic codes of their sorted tokens and by their letters with as many deleted as `alike` forgives, so that no pair
-that it accepts is left without a common key; compared with Jaro-Winkler plus a nickname table within the blocks, and
-the accepted pairs are clustered by connected components.
+Distinct spellings are parsed into surname and given name, or into the name of a club. Surnames and clubs are blocked
+by phonetic codes of their sorted tokens, and by their letters with as many deleted as `alike` forgives, so that no
+pair that it accepts is left without a common key. Within the blocks they are compared with Jaro-Winkler, where an edit
+distance checks what that accepts, and given names with Jaro-Winkler plus a nickname table; the accepted pairs are
+clustered by connected components. A block's pairs are bounded by length and distance inside the join, and spread over
+all cores before they are compared.
 
 A given name in full decides: two spellings that both have one are linked only if these agree (equal up to a typo,
 nickname, abbreviation). Spellings with an initial only, or without a given name, don't link persons to each
@@ -26,9 +28,9 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from ..operators.graph import components
 from ..session import written
 
-SURNAME = 0.90  # Jaro-Winkler from which surnames or club names are alike
+SURNAME = 0.89  # Jaro-Winkler from which surnames or club names are alike
 ONE_EDIT = 0.85  # the same for names one edit apart
-TWO_EDITS = 9  # letters from which two edits are forgiven
+TWO_EDITS = 8  # letters from which two edits are forgiven
 GIVEN = 0.92
 
 # Nicknames of given names, titles, words of club names.
@@ -151,15 +153,16 @@ def same_given(a: str, b: str) -> bool:
     return any(p.startswith(q) or q.startswith(p) for p in spell(x, a) for q in spell(y, b))
 
 
-# Classes of consonants; h and vowels are silent.
-_CLASS = {c: k for k, cs in {"1": "bfpvw", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in cs}
+# Classes of consonants, Latin, Cyrillic and Greek; h, vowels and signs are silent.
+_CLASS = {c: k for k, cs in {"1": "bfpvwбвпфβπφ", "2": "cgjkqsxzгжзксхцчшщγζκξσςχ", "3": "dtдтδτθ", "4": "lлλ", "5": "mnмнμν", "6": "rрρ"}.items() for c in cs}
+_SILENT = set("aeiouyhаеёиоуыэюяйьъαεηιουω")
 
 
 def phonetic(token: str) -> str:
-    """Classes of the consonants, equal neighbours once; h and vowels are silent."""
+    """Classes of the consonants, equal neighbours once; silent letters have none, letters of other scripts are their own."""
     out = ""
     for c in token:
-        k = _CLASS.get(c, "")
+        k = _CLASS.get(c) or ("" if c in _SILENT or not c.isalpha() else c)
         if k and (not out or out[-1] != k):
             out += k
     return out
@@ -171,12 +174,12 @@ def squeezed(surname: str) -> str:
 
 
 def codes(kind: str, surname: str) -> list[str]:
-    """Blocking keys: start, end, and both ends of the phonetic code of the sorted tokens; and the squeezed letters,
-    whole and with one deleted, from TWO_EDITS letters on with two. Texts n edits or swaps apart are equal after n
-    deletions in each, so all pairs that `alike` accepts share one of these."""
-    p = "".join(phonetic(t) for t in sorted(re.findall(r"[a-z]+", surname)))
+    """Blocking keys: the phonetic code of the sorted tokens, whole and with one class deleted; and the squeezed
+    letters, whole and with one deleted, from TWO_EDITS letters on with two. Texts n edits or swaps apart are equal
+    after n deletions in each, so all pairs that `alike` accepts share one of these."""
+    p = "".join(phonetic(t) for t in sorted(re.findall(r"[^\W\d_]+", surname)))
     k = kind[0]
-    ends = ([f"{k}={p}"] if p else []) if len(p) < 4 else [f"{k}<{p[:4]}", f"{k}>{p[-4:]}", f"{k}|{p[:2]}{p[-2:]}"]
+    ends = [f"{k}={w}" for w in ([p] if p else []) + [p[:i] + p[i + 1 :] for i in range(len(p)) if len(p) >= 4]]
     x = squeezed(surname)
     near = last = {x}
     for _ in range(0 if len(x) < 4 else 2 if len(x) >= TWO_EDITS else 1):
@@ -194,8 +197,11 @@ def alike(a: str, b: str) -> bool:
         return True
     if abs(len(x) - len(y)) > 2 or min(len(x), len(y)) < 4:
         return False
+    near = jaro_winkler(x, y)
+    if near < ONE_EDIT:
+        return False
     apart = edits(x, y)
-    return apart <= 1 and jaro_winkler(x, y) >= ONE_EDIT or apart == 2 and min(len(x), len(y)) >= TWO_EDITS and jaro_winkler(x, y) >= SURNAME
+    return apart <= 1 or apart == 2 and near >= SURNAME and min(len(x), len(y)) >= TWO_EDITS
 
 
 def edits(a: str, b: str) -> int:
@@ -211,7 +217,7 @@ def edits(a: str, b: str) -> int:
     return prev[-1]
 
 
-_PARSED = StructType([StructField("kind", StringType()), StructField("surname", StringType()), StructField("given", StringType()), StructField("full", BooleanType()), StructField("codes", ArrayType(StringType()))])
+_PARSED = StructType([StructField("kind", StringType()), StructField("surname", StringType()), StructField("given", StringType()), StructField("full", BooleanType())])
 
 
 @F.pandas_udf(_PARSED)
@@ -219,8 +225,13 @@ def _parse(names: pd.Series) -> pd.DataFrame:
     rows = []
     for n in names:
         p = parse(n)
-        rows.append((None, None, None, False, []) if p is None or not p[1] else (p[0], p[1], p[2], p[0] == "club" or formal(p[2])[1] == "full", codes(p[0], p[1])))
-    return pd.DataFrame(rows, columns=["kind", "surname", "given", "full", "codes"])
+        rows.append((None, None, None, False) if p is None or not p[1] else (p[0], p[1], p[2], p[0] == "club" or formal(p[2])[1] == "full"))
+    return pd.DataFrame(rows, columns=["kind", "surname", "given", "full"])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _codes(kind: pd.Series, surname: pd.Series) -> pd.Series:
+    return pd.Series([codes(k, s) for k, s in zip(kind, surname)], dtype=object)
 
 
 @F.pandas_udf(BooleanType())
@@ -235,10 +246,14 @@ def _same_given(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def name_clusters(names: DataFrame, name: str) -> DataFrame:
     """(name, entity): each spelling that is a name, and the smallest spelling of its person or club."""
-    parsed = names.select(F.col(name).alias("id")).where("id is not null").distinct().withColumn("p", _parse("id")).where("p.kind is not null").select("id", "p.*")
-    parsed = written(parsed, "p5-names")
-    keyed = parsed.select("kind", "surname", "codes").dropDuplicates(["kind", "surname"]).select("kind", "surname", F.explode("codes").alias("code"))
-    near = keyed.withColumnRenamed("surname", "surname_a").join(keyed.withColumnRenamed("surname", "surname_b"), ["kind", "code"]).where("surname_a < surname_b").select("kind", "surname_a", "surname_b").distinct().where(_alike("surname_a", "surname_b"))
+    wide = names.sparkSession.sparkContext.defaultParallelism
+    spellings = names.select(F.col(name).alias("id")).where("id is not null").distinct().repartition(wide)
+    parsed = written(spellings.withColumn("p", _parse("id")).where("p.kind is not null").select("id", "p.*"), "p5-names")
+    surnames = written(parsed.select("kind", "surname").distinct().repartition(wide).withColumn("code", F.explode(_codes("kind", "surname"))), "p5-codes")
+    a, b = (surnames.select("kind", "code", F.col("surname").alias(f"surname_{x}"), F.translate("surname", " '", "").alias(f"letters_{x}")) for x in "ab")
+    may = "surname_a < surname_b and abs(length(letters_a) - length(letters_b)) <= 2 and levenshtein(letters_a, letters_b, 4) >= 0"  # two swaps are four edits
+    pairs = written(a.join(b, ["kind", "code"]).where(may).select("kind", "surname_a", "surname_b").distinct(), "p5-pairs")
+    near = pairs.repartition(wide).where(_alike("surname_a", "surname_b"))
     equal = parsed.select("kind", F.col("surname").alias("surname_a"), F.col("surname").alias("surname_b")).distinct()
     near = written(near.unionByName(equal), "p5-surnames")
     a = parsed.select("kind", *(F.col(c).alias(f"{c}_a") for c in ("id", "surname", "given", "full")))
