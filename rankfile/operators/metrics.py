@@ -1,15 +1,9 @@
-"""Evaluation metrics that no single expression gives: sequences, greedy matching, resampling, isotonic fits.
-
-Each works on a group or a row inside Arrow functions. Empty inputs have the value its docstring names.
-"""
+"""Distances of sequences, which no single expression gives, inside Arrow functions. Empty inputs have the value the
+docstring names."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -62,70 +56,6 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x or ""), list(y or "")) for x, y in zip(a, b)], dtype="int32")
 
 
-def bootstrap_interval(values: list[float], samples: int = 1000, alpha: float = 0.05, seed: int = 7) -> tuple[float, float, float]:
-    """(mean, low, high) by a percentile bootstrap on a fixed 31-bit congruential generator; zeros when empty.
-
-    """
-    n = len(values)
-    if not n:
-        return 0.0, 0.0, 0.0
-    a, c, m = 1103515245, 12345, 1 << 31  # fixed values of the generator
-    state = seed
-    v = np.asarray(values, float)
-    block = np.empty(n, np.int64)
-    means = []
-    for _ in range(samples):
-        for i in range(n):
-            state = (a * state + c) % m
-            block[i] = state
-        means.append(math.fsum(v[block % n]) / n)
-    means.sort()
-    return float(v.mean()), means[max(0, math.floor(alpha / 2 * samples))], means[min(samples - 1, math.ceil((1 - alpha / 2) * samples) - 1)]
-
-
-def isotonic_knots(raw: np.ndarray, correct: np.ndarray, least: int = 40, knots: int = 12) -> list[tuple[float, float]] | None:
-    """Pooled steps (middle of the block, its rate), at most about `knots`; None under `least` samples."""
-    if len(raw) < least:
-        return None
-    order = np.argsort(raw, kind="stable")
-    blocks: list[list[float]] = []
-    for x, y in zip(raw[order].tolist(), correct[order].astype(float).tolist()):
-        blocks.append([y, 1.0, x, x])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
-            s, n, _, hi = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += n
-            blocks[-1][3] = hi
-    steps = [((lo + hi) / 2, s / n) for s, n, lo, hi in blocks]
-    if len(steps) <= knots:
-        return steps
-    mass = np.cumsum([b[1] for b in blocks])
-    picks = np.searchsorted(mass, np.arange(knots) * mass[-1] / (knots - 1) - 1e-9)
-    out = [steps[i] for i in dict.fromkeys(np.minimum(picks, len(steps) - 1).tolist())]
-    return out if out[-1] == steps[-1] else [*out, steps[-1]]
-
-
-def greedy_pairs(truth: list[tuple], found: list[tuple], least: float) -> int:
-    """Boxes (x, y, w, h) matched one to one, best overlap first."""
-    cand = []
-    for i, (x, y, w, h) in enumerate(truth):
-        for j, (p, q, r, s) in enumerate(found):
-            both = max(0.0, min(x + w, p + r) - max(x, p)) * max(0.0, min(y + h, q + s) - max(y, q))
-            union = w * h + r * s - both
-            if union > 0 and both / union >= least:
-                cand.append((-both / union, i, j))
-    a, b = set(), set()
-    for _, i, j in sorted(cand):
-        if i not in a and j not in b:
-            a.add(i)
-            b.add(j)
-    return len(a)
-
-
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/text_spans.parquet").dropDuplicates(["span_id"])
-
-
 def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/edit_journal.parquet").dropDuplicates(["edit_id"])
 
@@ -143,39 +73,4 @@ def lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("white", "black", common_subsequence("white", "black").alias("lcs"))
 
 
-def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Knots per engine. A group is pre-aggregated to its distinct confidences (four digits) before the fit."""
-
-    def fit(key: tuple, t: pa.Table) -> pa.Table:
-        d = t.to_pandas()
-        knots = isotonic_knots(np.repeat(d["c"].to_numpy(), d["n"]), np.concatenate([np.r_[np.ones(k), np.zeros(n - k)] for k, n in zip(d["k"], d["n"])]) if len(d) else np.empty(0)) or []
-        return pa.table({"engine": [key[0].as_py()] * len(knots), "x": pa.array([a for a, _ in knots], pa.float64()), "y": pa.array([b for _, b in knots], pa.float64())})
-
-    g = _spans(spark, sf_dir).where("confidence is not null").groupBy("engine", F.round("confidence", 4).alias("c")).agg(F.count("*").alias("n"), F.count_if(F.length("text") > 20).alias("k"))
-    return g.groupBy("engine").applyInArrow(fit, "engine string, x double, y double")
-
-
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean confidence of each document's pages, over the page means."""
-
-    def one(key: tuple, t: pa.Table) -> pa.Table:
-        m, lo, hi = bootstrap_interval(sorted(t.column("m").to_pylist()), samples=200)
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "mean": [m], "low": [lo], "high": [hi]})
-
-    pages = _spans(spark, sf_dir).where("confidence is not null").groupBy("doc_id", "page").agg(F.avg("confidence").alias("m"))
-    return pages.groupBy("doc_id").applyInArrow(one, "doc_id long, mean double, low double, high double")
-
-
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page: text boxes against the same boxes moved down by a third of their height."""
-
-    def one(key: tuple, t: pa.Table) -> pa.Table:
-        boxes = list(zip(*(t.column(c).to_pylist() for c in "xywh")))
-        moved = [(x, y + h / 3, w, h) for x, y, w, h in boxes]
-        k = greedy_pairs(boxes, moved, 0.5)
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "page": pa.array([key[1].as_py()], pa.int32()), "matched": pa.array([k], pa.int32()), "precision": [k / len(boxes)]})
-
-    return _spans(spark, sf_dir).groupBy("doc_id", "page").applyInArrow(one, "doc_id long, page int, matched int, precision double")
-
-
-QUERIES = {"o9_38_word_error_rate": wer, "o7_4_line_exact_accuracy": lines, "o7_3_lcs_length": lcs, "o4_24_fit_isotonic": isotonic, "o4_20_bootstrap_mean_ci": bootstrap, "o3_10_region_prf": regions}
+QUERIES = {"o9_38_word_error_rate": wer, "o7_4_line_exact_accuracy": lines, "o7_3_lcs_length": lcs}

@@ -1,117 +1,175 @@
-"""Corpus search: notation-aware tokens, postings, boolean full text with BM25, and one conjunctive query.
+"""Corpus search on the stored index: boolean full text with BM25, positions, moves, and one conjunctive query.
 
-Everything is a DataFrame plan: the tokenizer is an expression over arrays, the index a table of postings, and a
-query narrows it by semi-joins and filters that reach the scans.
+Every part of a query narrows a set of node ids that comes from the index (postings of its tokens, positions of its
+hash, moves); the sets are joined to the nodes by semi-joins beside the filters that reach the scan, and ids are
+made distinct last. Texts are read for the filters that need them and for the snippets of the page asked for.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import column
-from ..session import spread, written
+from .index import Index, opened
+from .positions import find_position, hash_number
+from .predicates import MaterialSignature, MoveQuery, PositionPattern, QueryError, compiled, move_glob
+from .tokens import _SAN, tokens
 
-_LETTER = "0-9A-Za-zÀ-ɏЀ-ӿ"
-_CORE = "RR(RR(c, '^[({<«\"‹]+', ''), '[)}>»\"›,;:]+$', '')"
-_SAN = "(?:O-O-O|O-O|[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=[KQRBN])?)"
-_WORD = "^[A-Za-zÀ-ɏЀ-ӿ]{4,}$"  # a plain word, that can be no move
-_NUMBERED = "case when RL(k, '^[0-9]+[.]+.+$') then EX(k, '^[0-9]+[.]+(.+)$', 1) else k end"
-_BODY = "case when RL(p.b, '^[0oO]-[0oO]-[0oO]$') then 'O-O-O' when RL(p.b, '^[0oO]-[0oO]$') then 'O-O' when RL(p.b, '^[KQRBN]?[a-h]?[1-8]?:[a-h][1-8]') then replace(p.b, ':', 'x') else p.b end"
-_TAIL = "substr(v.b, length(v.m) + 1)"
-_CODE = "replace(replace(replace(replace(replace(replace(v.m, 'K', 'k_'), 'Q', 'q_'), 'R', 'r_'), 'B', 'b_'), 'N', 'n_'), 'O', 'o_')"
-_MARKS = f"RR({_TAIL}, '[^-+#=._!?/]', '')"
-_IS_MOVE = f"v.m <> '' and not RL({_TAIL}, '[0-9A-Za-z]')"
-_CORES = "FILTER(MAP(SPLIT(translate({x}, '♔♕♖♗♘♚♛♜♝♞–—−', 'KQRBNKQRBN---'), '[ \n\t]+'), c, " + _CORE + "), k, k <> '' and not RL(k, '^[0-9]+[.]*$'))"
-#: tokens of a text {x}: moves in their case code (also with their number), results, marks, and words. Each chunk's
-#: core, body and move are bound once, by nested maps.
-_BOUND = f"MAP(MAP(MAP({_CORES}, k, PAIR(k, case when RL(k, '{_WORD}') then '' else {_NUMBERED} end)), p, PAIR(p.k, {_BODY})), q, TRIPLE(q.k, q.b, case when q.b = '' then '' else EX(q.b, '^({_SAN}[+#]?)', 1) end))"
-TOKENS = (
-    f"flatten(MAP({_BOUND}, v, case when v.b = '' then LIST(lower(v.k)) when RL(v.k, '^(1-0|0-1|1/2-1/2|[*])$') then LIST(v.k) when {_IS_MOVE} and RL(v.k, '^[0-9]+[.]') then LIST(EX(v.k, '^([0-9]+[.]+).+$', 1) || {_CODE}, {_CODE}) "
-    f"when {_IS_MOVE} and RL({_MARKS}, '[-!?+=/#]') then LIST({_CODE}, {_MARKS}) when {_IS_MOVE} then LIST({_CODE}) when not RL(v.k, '[{_LETTER}]') then NONE() else FILTER(SPLIT(lower(v.k), '[^{_LETTER}]+'), w, w <> '') end))"
-)
+FEW = 10_000  # hits whose ids are broadcast to read their texts
+K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values of the ranking function
 
 
-def tokens(text: str) -> Column:
-    """Tokens of a text column, in order; a numbered move also gives the bare one."""
-    return column(TOKENS, x=text)
+# --- boolean text: ("term", [forms]), ("phrase", [tokens]), ("prefix", token), ("and" | "or" | "not", left, right)
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(node_id, n, token, tf): how often each token stands in a node of n tokens."""
-    t = nodes.where("text is not null and text <> ''").select("node_id", tokens("text").alias("t")).dropDuplicates(["node_id"])
-    return t.select("node_id", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("node_id", "n", "token").agg(F.count("*").alias("tf"))
+def split_query(text: str) -> list[tuple[str, str]]:
+    """(kind, piece): phrases (an unclosed one ends with the text), brackets, the words AND, OR, NOT, and other words."""
+    out = []
+    for m in re.finditer(r'"([^"]*)"?(\*?)|([()])|([^\s()"]+)', text):
+        if m.group(1) is not None:
+            out.append(("prefix" if m.group(2) else "phrase", m.group(1)))
+        elif m.group(3):
+            out.append(("bracket", m.group(3)))
+        else:
+            w = m.group(4)
+            out.append(("operator", w) if w in ("AND", "OR", "NOT") else ("prefix", w[:-1]) if w.endswith("*") and len(w) > 1 else ("word", w))
+    return out
+
+
+def parse_boolean(text: str, raw: bool = False) -> tuple | None:
+    """A query as a tree: NOT binds before AND, AND before OR, neighbours are joined by AND. Brackets and prefixes count in
+    raw expressions only; elsewhere they are part of words. NOT needs something before it. None if it asks for nothing."""
+    pieces = split_query(text) if raw else [p for p in split_query(re.sub(r"[()]", " ", text))]
+    at = 0
+
+    def peek():
+        return pieces[at] if at < len(pieces) else ("end", "")
+
+    def take():
+        nonlocal at
+        at += 1
+        return pieces[at - 1]
+
+    def primary():
+        kind, x = take()
+        if kind == "bracket" and x == "(":
+            inner = either()
+            if take_if("bracket", ")") is None:
+                raise QueryError(f"bracket isn't closed in {text!r}")
+            return inner
+        if kind in ("operator", "bracket"):
+            raise QueryError(f"{x} needs something before it in {text!r}")
+        return (kind if raw or kind != "prefix" else "word", x)
+
+    def take_if(kind: str, x: str):
+        return take() if peek() == (kind, x) else None
+
+    def without():
+        left = primary()
+        while take_if("operator", "NOT"):
+            if peek()[0] == "end":
+                raise QueryError(f"NOT needs something after it in {text!r}")
+            left = ("not", left, primary())
+        return left
+
+    def both():
+        left = without()
+        while peek()[0] not in ("end",) and peek() not in (("operator", "OR"), ("bracket", ")")):
+            if take_if("operator", "AND") and peek()[0] == "end":
+                raise QueryError(f"AND needs something after it in {text!r}")
+            left = ("and", left, without())
+        return left
+
+    def either():
+        left = both()
+        while take_if("operator", "OR"):
+            left = ("or", left, both())
+        return left
+
+    if not pieces:
+        return None
+    tree = either()
+    if at < len(pieces):
+        raise QueryError(f"bracket isn't opened in {text!r}")
+    return tree
+
+
+def _leaves(tree: tuple | None) -> list[tuple]:
+    return [] if tree is None else [tree] if tree[0] in ("word", "phrase", "prefix") else [x for t in tree[1:] for x in _leaves(t)]
+
+
+def encoded(spark: SparkSession, tree: tuple | None) -> tuple | None:
+    """The tree with the pieces' tokens: terms with their forms (a bare move also with check and mate), phrases of
+    several tokens, prefixes. A piece without a token asks for nothing."""
+    pieces = sorted({x for _, x in _leaves(tree)})
+    if not pieces:
+        return tree
+    row = spark.sql("select " + ", ".join(f":p{i} as p{i}" for i in range(len(pieces))), {f"p{i}": p for i, p in enumerate(pieces)}).select(*[tokens(f"p{i}").alias(f"p{i}") for i in range(len(pieces))]).first()
+    toks = dict(zip(pieces, row))
+
+    def walk(t: tuple) -> tuple | None:
+        if t[0] in ("and", "or", "not"):
+            left, right = walk(t[1]), walk(t[2])
+            return left if right is None else right if left is None and t[0] != "not" else None if left is None else (t[0], left, right)
+        found = toks[t[1]]
+        if not found:
+            return None
+        if t[0] == "prefix" and len(found) == 1:
+            return ("prefix", found[0])
+        if len(found) == 1:
+            bare = t[0] == "word" and re.fullmatch(_SAN, t[1]) is not None
+            return ("term", [found[0], *(found[0] + c for c in "+#" if bare)])
+        return ("phrase", list(found))
+
+    return walk(tree) if tree else None
+
+
+def occurrences(index: Index, leaf: tuple) -> DataFrame:
+    """(node_id, n, tf): the nodes that hold a leaf, their length, how often they hold it."""
+    if leaf[0] == "prefix":
+        hit = index.table("postings").where(F.col("token").startswith(leaf[1]))
+    else:
+        hit = index.keyed("postings", "token", sorted(set(leaf[1])))
+    if leaf[0] == "phrase":
+        places = index.spark.createDataFrame(list(enumerate(leaf[1])), "i int, token string")
+        hit = hit.join(F.broadcast(places), "token").select("node_id", "n", (F.col("pos") - F.col("i")).alias("base"), "i").distinct()
+        hit = hit.groupBy("node_id", "n", "base").agg(F.count("*").alias("k")).where(F.col("k") == len(leaf[1]))
+    return hit.groupBy("node_id", "n").agg(F.count("*").alias("tf"))
 
 
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values of the ranking function
+def matching(index: Index, tree: tuple) -> DataFrame:
+    """(node_id) of the nodes that satisfy a tree."""
+    if tree[0] in ("term", "phrase", "prefix"):
+        return occurrences(index, tree).select("node_id").distinct()
+    left, right = matching(index, tree[1]), matching(index, tree[2])
+    if tree[0] == "or":
+        return left.unionByName(right).distinct()
+    return left.join(right, "node_id", "left_semi" if tree[0] == "and" else "left_anti")
 
 
-def _equals(word: str):
-    return lambda x: x == F.lit(word)
+def _positive(tree: tuple) -> list[tuple]:
+    if tree[0] == "not":
+        return _positive(tree[1])
+    return [x for t in tree[1:] for x in _positive(t)] if tree[0] in ("and", "or") else [tree]
 
 
-def bm25(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """(node_id, score) of the nodes that hold every term, by BM25 over all nodes.
+def bm25(index: Index, tree: tuple) -> DataFrame:
+    """(node_id, score) by BM25 over all nodes, summed over the forms of the tree's terms and its phrases."""
+    docs, length = index.texts()
+    leaves = [("term", [f]) for t in _positive(tree) if t[0] == "term" for f in t[1]] + [t for t in _positive(tree) if t[0] != "term"]
+    parts = [occurrences(index, leaf).withColumn("leaf", F.lit(i)) for i, leaf in enumerate(leaves)]
+    occ = reduce(DataFrame.unionByName, parts)
+    df = occ.groupBy("leaf").agg(F.count("*").alias("df"))  # a row a leaf
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(length)))
+    return occ.join(F.broadcast(df), "leaf").groupBy("node_id").agg(F.sum(score).alias("score"))
 
-    One pass tokenizes the texts and keeps only each node's length and counts of the terms; corpus statistics and
-    scores come from those few columns.
-    """
-    terms = sorted(set(terms))
-    t = spread(nodes.where("text is not null and text <> ''").select("node_id", "text")).select("node_id", tokens("text").alias("t"))
-    counts = [F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
-    base = written(t.select("node_id", F.size("t").alias("n"), *counts), "bm25").dropDuplicates(["node_id"])
-    stats = base.agg(F.count("*").alias("docs"), F.avg("n").alias("avglen"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    scored = base.where(" and ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # one row of statistics
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avglen")))
-    return scored.select("node_id", score.alias("score"))
-
-
-def parse_boolean(text: str) -> list:
-    """A query as nested lists: words and quoted phrases; AND binds tighter than OR, NOT is binary and binds first."""
-    items = [("phrase", m.group(1)) if m.group(1) is not None else ("word", m.group(2)) for m in re.finditer(r'"([^"]*)"?|(\S+)', text)]
-    out, group, negate = [], [], False
-    for kind, x in items:
-        if kind == "word" and x == "OR":
-            out.append(group)
-            group = []
-        elif kind == "word" and x == "AND":
-            continue
-        elif kind == "word" and x == "NOT":
-            if not group:
-                raise ValueError("NOT needs something before it")
-            negate = True
-        else:
-            group.append((kind, x, negate))
-            negate = False
-    return [*out, group]
-
-
-def matches(query: str, text: str = "text") -> Column:
-    """Whether a text's tokens satisfy a boolean query; phrases are adjacent tokens."""
-    toks = tokens(text)
-    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
-    alternatives = None
-    for group in parse_boolean(query):
-        cond = None
-        for _, x, negate in group:
-            code = re.sub(r"([KQRBNO])(?=[a-hx1-8-])", lambda m: m.group(1).lower() + "_", x) if re.fullmatch(_SAN + "[+#]?", x) else x.lower()
-            forms = [code, code + "+", code + "#"] if re.fullmatch(_SAN, x) else [code]
-            c = None
-            for f in forms:
-                one = joined.contains(f" {f} ")
-                c = one if c is None else c | one
-            c = ~c if negate else c
-            cond = c if cond is None else cond & c
-        if cond is not None:
-            alternatives = cond if alternatives is None else alternatives | cond
-    return alternatives if alternatives is not None else F.lit(True)
+
+# --- the conjunctive query
 
 
 @dataclass(frozen=True)
@@ -119,111 +177,122 @@ class Query:
     """One conjunctive query; every field is optional. Results come in document order unless by_score."""
 
     text: str | None = None
+    match: str | None = None
     regex: str | None = None
     scope: str | None = None
-    documents: tuple[str, ...] = ()
-    stratum: str | None = None
-    player: str | None = None
+    move: MoveQuery | str | None = None
+    position: str | None = None
+    position_pattern: PositionPattern | None = None
+    material: MaterialSignature | str | None = None
     eco: str | None = None
+    player: str | None = None
     year_min: int | None = None
     year_max: int | None = None
-    move: str | None = None
-    by_score: bool = False
+    annotation: str | None = None
+    documents: tuple[str, ...] = ()
+    stratum: str | None = None
+    include_collisions: bool = True
+    limit: int | None = 50
     offset: int = 0
-    limit: int | None = None
+    by_score: bool = False
+
+    def __post_init__(self) -> None:
+        if self.text is not None and self.match is not None:
+            raise QueryError("text and match exclude each other")
+        if self.limit is not None and self.limit < 1 or self.offset < 0:
+            raise QueryError("limit must be at least 1, offset at least 0")
+
+
+def text_tree(spark: SparkSession, q: Query) -> tuple | None:
+    """The encoded tree of the text or raw expression, and of the annotation beside it."""
+    source = q.text if q.text is not None else q.match
+    tree = encoded(spark, parse_boolean(source, raw=q.match is not None)) if source else None
+    if q.annotation:
+        mark = ("term", [q.annotation])
+        tree = mark if tree is None else ("and", tree, mark)
+    return tree
+
+
+def chunks(text: str) -> Column:
+    """The printed chunks of a text as bare moves: without number, marks and closing signs."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\d+\.+", ""), r"[!?.,;:)]+$", "")
+    return F.transform(F.split(text, r"\s+"), bare)
 
 
-def move_glob(spec: str) -> str:
-    """A move pattern with * and ? as an anchored regex, check marks optional; re: passes a regex through."""
-    if spec.startswith("re:"):
-        return f"^(?:{spec[3:]})$"
-    body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in spec)
-    return f"^{body}" + ("" if spec[-1:] in "+#" else "[+#]?") + "$"
+def _candidates(index: Index, q: Query, tree: tuple | None) -> list[DataFrame]:
+    """Sets of node ids that a hit must be in."""
+    out = [matching(index, tree)] if tree else []
+    if isinstance(q.move, MoveQuery):
+        out.append(index.table("moves").where(q.move.column()).select("node_id").distinct())
+    boards = [p for p in (q.position_pattern, MaterialSignature.parse(q.material) if isinstance(q.material, str) else q.material) if p is not None]
+    if boards:
+        fen = F.concat_ws(" ", "placement", F.when(F.col("white_to_move"), "w").otherwise("b"))
+        out.append(index.table("positions").withColumn("fen", fen).where(reduce(Column.__and__, (p.column("fen") for p in boards))).select("node_id").distinct())
+    return out
 
 
-def search(nodes: DataFrame, library: DataFrame, facets: DataFrame, q: Query) -> DataFrame:
-    """(node_id, doc_id, uri, page, ordinal, scope, white, black, eco, year, score, total) of the hits."""
-    n = nodes.dropDuplicates(["node_id"])
+def search(index: Index, q: Query) -> DataFrame:
+    """The hits: node_id, doc_id, uri, title, kind, scope, page, ordinal, white, black, eco, year, result, score,
+    position_exact, collisions, snippet; total counts all of them, truncated tells that the page does not end the list.
+
+    A predicate on facets drops nodes without facets; year_max leaves out the unknown year 0; % and _ in a player are
+    literal. A hit's score is its BM25 if words were asked for, else 1 or 0 by the exactness of its position.
+    """
+    spark = index.spark
+    tree = text_tree(spark, q)
+    n = index.table("nodes")
     if q.scope and q.scope != "all scopes":
         n = n.where(F.col("scope") == q.scope)
-    if q.text:
-        n = n.where(matches(q.text))
     if q.regex:
-        n = n.where(F.col("text").rlike(q.regex))
-    if q.move:
-        n = n.where(F.exists(F.split("text", r"\s+"), lambda c: F.regexp_replace(F.regexp_replace(c, r"^\d+\.+", ""), r"[!?.,;:)]+$", "").rlike(move_glob(q.move))))
-    d = library.select("doc_id", "uri", "stratum").distinct()
+        n = n.where(F.col("text").rlike(compiled(q.regex)))
+    if isinstance(q.move, str):
+        pattern = move_glob(q.move)
+        n = n.where(F.exists(chunks("text"), lambda c: c.rlike(pattern)))
+    d = index.table("library").select("doc_id", "uri", "title", "kind", "stratum").dropDuplicates(["doc_id"])
     if q.stratum is not None:
         d = d.where(F.col("stratum") == q.stratum)
     if q.documents:
         d = d.where(F.col("uri").isin(list(q.documents)))
-    f = facets.select("node_id", "white", "black", "eco", "year").dropDuplicates(["node_id"])
-    out = n.join(d, "doc_id").join(f, "node_id", "left")
+    f = index.table("facets").select("node_id", "white", "black", "eco", "year", "result")
     if q.player:
         like = "%" + re.sub(r"([%_\\])", r"\\\1", q.player) + "%"
-        out = out.where(F.col("white").ilike(like) | F.col("black").ilike(like))
+        f = f.where(F.col("white").ilike(like) | F.col("black").ilike(like))
     if q.eco:
-        out = out.where(F.col("eco").rlike(f"^(?:{q.eco})"))
+        f = f.where(F.col("eco").rlike(f"^(?:{compiled(q.eco)})"))
     if q.year_min is not None:
-        out = out.where(F.col("year") >= q.year_min)
+        f = f.where(F.col("year") >= q.year_min)
     if q.year_max is not None:
-        out = out.where((F.col("year") <= q.year_max) & (F.col("year") > 0))
-    if q.text and q.by_score:
-        terms = sorted({x.lower() for g in parse_boolean(q.text) for _, x, neg in g if not neg and " " not in x})
-        out = out.join(bm25(nodes, terms), "node_id", "left")
+        f = f.where((F.col("year") <= q.year_max) & (F.col("year") > 0))
+    faceted = any(x is not None for x in (q.player, q.eco, q.year_min, q.year_max))
+    hits = n.select("node_id", "doc_id", "scope", "page", "ordinal").distinct()
+    for ids in _candidates(index, q, tree):
+        hits = hits.join(ids, "node_id", "left_semi")
+    if q.position is not None:
+        found = find_position(index.keyed("positions", "zobrist", [hash_number(q.position)]), q.position, None, q.include_collisions)
+        hits = hits.join(found.groupBy("node_id").agg(F.max("exact").alias("position_exact"), F.array_sort(F.collect_set(F.when(~F.col("exact"), F.col("placement")))).alias("collisions")), "node_id")
     else:
-        out = out.withColumn("score", F.lit(None).cast("double"))
-    cols = ["node_id", "doc_id", "uri", "page", "ordinal", "scope", "white", "black", "eco", "year", "score"]
-    out = out.select(*cols).orderBy(*([F.desc_nulls_last("score")] if q.by_score else []), "doc_id", "ordinal", "node_id")
-    if q.offset:
-        out = out.offset(q.offset)
-    return out.limit(q.limit) if q.limit is not None else out
-
-
-def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nodes", "library", "facets"))
-
-
-def _ask(q: Query):
-    return lambda spark, sf_dir: search(*_tables(spark, sf_dir), q).select("node_id", "doc_id", "ordinal")
-
-
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bm25(_tables(spark, sf_dir)[0], ["queen", "initiative"])
-    return s.select("node_id", (F.floor(F.col("score") * 1e4 + 0.5) / 1e4).alias("score"))
-
-
-def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bm25(_tables(spark, sf_dir)[0], ["rook"])
-    return s.select("node_id", (F.floor(F.col("score") * 1e4 + 0.5) / 1e4).alias("score")).orderBy(F.desc("score"), "node_id").limit(100)
-
-
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _tables(spark, sf_dir)[0].where("scope in ('all', 'comments', 'mainline') and text <> ''").select("node_id", "text").distinct()
-    return n.select("node_id", F.array_join(tokens("text"), " ").alias("tokens"))
-
-
-_BASE = f"(select node_id, {TOKENS.replace('{x}', 'text')} as t from (select distinct node_id, text from @nodes where text is not null and text <> '') d)"
-
-
-def _bm25_sql(terms: list[str]) -> str:
-    inn = ", ".join(f"'{t}'" for t in terms)
-    return (
-        f"with base as {_BASE}, st as (select count(*) as docs, avg(len(t)) as avglen from base), tf as (select node_id, n, token, count(*) as tf from (select node_id, len(t) as n, unnest(t) as token from base) e where token in ({inn}) group by node_id, n, token), "
-        "df as (select token, count(*) as df from tf group by token) select node_id, floor(sum(greatest(1e-6, ln((docs - df + 5e-1) / (df + 5e-1))) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * n / avglen))) * 1e4 + 5e-1) / 1e4 as score "
-        f"from tf join df using (token) cross join st group by node_id having count(*) = {len(terms)}"
-    )
-
-
-_LIB = "select n.node_id, n.doc_id, n.ordinal from @N n join @D d on n.doc_id = d.doc_id left join @F f on n.node_id = f.node_id where "
-_JOINED = f"(' ' || array_to_string({TOKENS.replace('{x}', 'n.text')}, ' ') || ' ')"
-QUERIES = {
-    "o8_3_emit": (_tokens, f"select node_id, array_to_string({TOKENS.replace('{x}', 'text')}, ' ') as tokens from (select distinct node_id, text from @nodes where scope in ('all', 'comments', 'mainline') and text <> '') d"),
-    "o8_9_query_tokens": (lambda s, d: s.sql("select '12.Nxd5!? and the Queen' as text").select(F.array_join(tokens("text"), " ").alias("tokens")), "select '12.n_xd5 n_xd5 and the queen' as tokens"),
-    "o8_13_bm25": (_scores, _bm25_sql(["queen", "initiative"])),
-    "o6_1_fts_top_k": (_top, _bm25_sql(["rook"]) + " order by score desc, node_id limit 100"),
-    "o2_2_search": (_ask(Query(text='queen "dark squares"', scope="all", year_max=None)), _LIB + f"n.scope = 'all' and {_JOINED} like '% queen %' and {_JOINED} like '% dark squares %'"),
-    "o2_21_user_text": (_ask(Query(text="knight NOT queen OR Nxd5")), _LIB + f"(({_JOINED} like '% knight %' and not {_JOINED} like '% queen %') or {_JOINED} like '% n_xd5 %' or {_JOINED} like '% n_xd5+ %' or {_JOINED} like '% n_xd5# %')".replace("n_xd5", "n!_xd5").replace("+ %'", "+ %'").replace("like '% n!_xd5 %'", "like '% n!_xd5 %' escape '!'").replace("like '% n!_xd5+ %'", "like '% n!_xd5+ %' escape '!'").replace("like '% n!_xd5# %'", "like '% n!_xd5# %' escape '!'")),
-    "o2_1_query": (_ask(Query(player="mitri", eco="B", year_min=1900, year_max=1999)), _LIB + "(lower(f.white) like '%mitri%' or lower(f.black) like '%mitri%') and RL(f.eco, '^(?:B)') and f.year between 1900 and 1999"),
-    "o2_14_move_and_stratum": (_ask(Query(move="N*xd5", stratum="base")), _LIB + "d.stratum = 'base' and len(list_filter(SPLIT(n.text, '[ \n\t]+'), lambda c: RL(RR(RR(c, '^[0-9]+[.]+', ''), '[!?.,;:)]+$', ''), '^N.*xd5[+#]?$'))) > 0"),
-}
+        hits = hits.withColumn("position_exact", F.lit(None).cast("boolean")).withColumn("collisions", F.array().cast("array<string>"))
+    hits = hits.join(d, "doc_id").join(f.dropDuplicates(["node_id"]), "node_id", "inner" if faceted else "left")
+    if tree:
+        hits = hits.join(bm25(index, tree), "node_id", "left").fillna(0.0, ["score"])
+    else:
+        hits = hits.withColumn("score", F.when(F.col("position_exact"), 1.0).otherwise(0.0))
+    total = hits.agg(F.count("*").alias("total"))
+    order = [*([F.desc("score")] if q.by_score else []), "doc_id", "ordinal", "node_id"]
+    page = hits.orderBy(*order)
+    page = page.offset(q.offset) if q.offset else page
+    page = page.limit(q.limit) if q.limit is not None else page
+    out = page.crossJoin(F.broadcast(total))  # one row
+    beyond = F.lit(False) if q.limit is None else F.col("total") > q.offset + q.limit
+    return out.select("node_id", "doc_id", "uri", "title", "kind", "scope", "page", "ordinal", "white", "black", "eco", "year", "result", "score", "position_exact", "collisions", "total", beyond.alias("truncated")).orderBy(*order)
+
+
+def with_snippets(index: Index, hits: DataFrame, needle: str, width: int = 60) -> DataFrame:
+    """hits with first_at (0: not found) and snippet: the place of a word in the text, as written or in any case, and the
+    text around it with single spaces."""
+    few = hits.count() <= FEW
+    ids = hits.select("node_id").distinct()
+    t = index.table("nodes").select("node_id", "text").join(F.broadcast(ids) if few else ids, "node_id", "left_semi").dropDuplicates(["node_id"])
+    at = F.when(F.instr("text", needle) > 0, F.instr("text", needle)).otherwise(F.instr(F.lower("text"), needle.lower()))
+    s = F.regexp_replace(F.expr(f"substring(text, greatest(first_at - {width}, 1), {2 * width + len(needle)})"), r"\s+", " ")
+    return hits.join(t.withColumn("first_at", at).select("node_id", "first_at", s.alias("snippet")), "node_id", "left")

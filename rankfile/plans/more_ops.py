@@ -17,8 +17,7 @@ from ..functions.scalars import SAN, TEMPLATES
 from ..operators import movetext
 from ..operators.graph import components
 from ..operators.metrics import edit_distance, lcs_length
-from ..operators.positions import placement_hash
-from ..operators.search import _CORE, _SAN, parse_boolean
+from ..operators.tokens import _CORE, _SAN
 from ..session import shared_dir
 from ..sources.pgn import PgnSource
 from .registry import FENS, MOVES, TEXTS, TOKENS, WORDS, Registry, for_spark
@@ -29,12 +28,7 @@ S, P = R.shared, R.pair
 # scans and sinks
 S("o1_1_source", "select doc_id, uri, title, kind, size_bytes, content_key from @D d")
 S("o1_9_game_units", "select n.node_id, n.scope, f.white, f.black, f.eco, f.year, f.result from @N n join @F f on n.node_id = f.node_id where n.scope in ('headers', 'mainline', 'variations', 'comments')")
-P("o1_46_write_sidecar", "select to_json(named_struct('doc_id', doc_id, 'kind', kind)) as line from @D d where kind is not null", "select '{\"doc_id\":' || doc_id || ',\"kind\":\"' || kind || '\"}' as line from @D d where kind is not null")
-P("o1_52_dumps", "select to_json(named_struct('tag', scope, 'id', node_id)) as js from @N n", "select '{\"tag\":\"' || scope || '\",\"id\":' || node_id || '}' as js from @N n")
-P("o1_53_loads", "select v.tag as tag, v.id as id from (select from_json(to_json(named_struct('tag', scope, 'id', node_id)), 'tag string, id bigint') as v from @N n) t", "select scope as tag, node_id as id from @N n")
-P("o1_55_save_manifest", "select to_json(named_struct('item_id', item_id, 'suite', suite, 'lang', lang)) as line from @eval_items", "select '{\"item_id\":' || item_id || ',\"suite\":\"' || suite || '\",\"lang\":\"' || lang || '\"}' as line from @eval_items")
 S("o1_49_book_pgn", "select h.doc_id, h.node_id, h.text || chr(10) || chr(10) || m.text as pgn from @N h join @N m on h.doc_id = m.doc_id and m.ordinal = h.ordinal + 1 and m.scope = 'mainline' where h.scope = 'headers' and h.text like '[%'")
-S("o1_30_export", "select scope, count(*) as rows_out, LONG(sum(length(text))) as chars from @N n group by scope")
 
 
 def _pgn_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,19 +43,12 @@ R.plan("o1_13_pgn_source", _pgn_round_trip)
 R.plan("o1_42_game_from_pgn", lambda s, d: movetext.moves(s.read.parquet(f"{d}/nodes.parquet")).groupBy("node_id").agg(F.count("*").alias("moves")))
 
 # query pieces
-R.plan("o2_22_split_query", lambda s, d: s.createDataFrame([(i, k, x, n) for i, g in enumerate(parse_boolean('a "b c" NOT d OR e')) for k, x, n in g], "grp int, kind string, term string, negated boolean"), "select * from (values (0, 'word', 'a', false), (0, 'phrase', 'b c', false), (0, 'word', 'd', true), (1, 'word', 'e', false)) t(grp, kind, term, negated)")
-S("o2_40_expand_rank", f"select x, {bind(TEMPLATES['board64'], x='x')} as squares from (values ('8'), ('p1P5'), ('rnbqkbnr'), ('3k4')) t(x)")
-S("o2_41_material_signature", "select x, split_part(x, 'v', 1) as strong, split_part(x, 'v', 2) as weak, INT(length(x)) - 1 as pieces from (values ('KRPvKR'), ('KvK'), ('KBNvK')) t(x)")
 P("o2_49_document_regions", "select node_id, pos as i, part from (select node_id, posexplode(ALL(text, '[(][^()]*[)]')) as (pos, part) from @N n where scope = 'variations' and text <> '') t", "select node_id, unnest(range(len(l)))::int as i, unnest(l) as part from (select node_id, ALL(text, '[(][^()]*[)]') as l from @N n where scope = 'variations' and text <> '') t")
-S("o2_36_compile_pattern", "select x, RL('Nxd5+', '^N.*d5[+#]?$') as fits from (values ('N*d5')) t(x)")
-S("o2_23_fts_expression", "select node_id from @N n where (text like '%king%' or text like '%queen%') and text like '%!%'")
 
 # joins and alignment
 R.plan("o3_14_disjoint_set", lambda s, d: components(s.read.parquet(f"{d}/text_spans.parquet").select(F.col("span_id").alias("id")).distinct(), s.sql(for_spark("select a.span_id as a, b.span_id as b from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.line_no = a.line_no", d)).where("a < b")), "select span_id as id, min(span_id) over (partition by doc_id, page, line_no) as label from (select distinct span_id, doc_id, page, line_no from @text_spans) t")
 S("o3_16_review_match", "select a.span_id, max(b.span_id) as decided from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.review and a.span_id <> b.span_id and least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > 0 group by a.span_id")
 S("o3_20_facet_candidates", "select doc_id, kind || '|' || coalesce(stratum, '') as k1, kind as k2, '*' as k3 from @D d")
-S("o4_14_move_accuracy", "select round(case when sum(length(text_before)) = 0 then 1e0 else DBL(sum(case when text_before = text_after then length(text_before) else 0 end)) / DBL(sum(length(text_before))) end, 6) as accuracy from @J j")
-S("o4_25_calibration_apply", "select span_id, round(case when confidence <= 5e-1 then 2e-1 when confidence >= 9e-1 then 95e-2 else 2e-1 + (confidence - 5e-1) / 4e-1 * 75e-2 end, 6) as calibrated from @S s where confidence is not null")
 S("o7_1_candidate", "select node_id, 1 as score, (text like '%Nxd5%') as exact, false as collision from @N n where text like '%d5%'")
 S("o3_9_pair_words", "select a.span_id as s1, b.span_id as s2 from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.line_no = a.line_no + 1 and substr(a.text, 1, 3) = substr(b.text, 1, 3)")
 
@@ -125,12 +112,9 @@ def _levenshtein_words(s: SparkSession, d: str) -> DataFrame:
 
 
 R.plan("o9_36_levenshtein_words", _levenshtein_words, "select edit_id, LONG(levenshtein(a, b)) as d from (select edit_id, substr(RR(text_before, '[^ -~]', ''), 1, 80) as a, substr(RR(text_after, '[^ -~]', ''), 1, 80) as b from @J j) t")
-S("o9_39_measure_text", "select node_id, INT(length(text)) as chars, INT(length(RR(text, '[^ ]', ''))) as blanks, round(length(RR(text, '[^A-ZА-Я]', '')) / DBL(length(text)), 6) as upper_share from @N n where length(text) > 0 and scope = 'all'")
 S("o9_51_is_mangled_move", "select span_id, RL(text, '(^| )[0-9]+[.]+[^ ]*[@0l][^ ]*[a-h][1-8]') as mangled from @S s where text is not null")
 S("o9_52_is_unsupported_move", "select a.item_id, (a.lang = 'en' and RL(a.text, '[0-9][.]+[DTSAC][a-h]?x?[a-h][1-8]')) as unsupported from @A a where a.text is not null and a.lang is not null")
-S("o9_55_ngram_plausibility", "select node_id, round(least(1e0, greatest(0e0, (length(RR(text, '[^aeiou]', '')) / DBL(length(text)) - 1e-1) / 3e-1)), 6) as plausible from @N n where length(text) > 0 and scope = 'comments'")
 P("o9_61_book_lexicon", "select doc_id, count(distinct w) as words from (select doc_id, explode(regexp_extract_all(lower(text), '(?:\\\\p{L}\\\\p{M}*){6,}', 0)) as w from @N n where text <> '') t group by doc_id", "select doc_id, count(distinct w) as words from (select doc_id, lower(EX(text, '([A-Za-z]{6,})', 1)) as w from @N n where text <> '') t where w <> '' group by doc_id")
-S("o9_65_notation_convention", "select node_id, case when length(RR(text, '[^TSLD]', '')) > length(RR(text, '[^QRBN]', '')) then 'de' when length(RR(text, '[^QRBN]', '')) > 0 then 'en' end as convention from @N n where scope = 'comments' and text <> ''")
 P("o9_68_from_language", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[0]}) m) t", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[1]}) m) t")
 S("o9_81_inline_plain_text", "select node_id, trim(RR(text, '[ \n]+', ' ')) as plain from @N n where scope = 'captions' and text is not null")
 P("o9_86_square_names", "select array_join(slice(filter(array('e4', 'i9', 'a1', 'h8', ''), s -> RL(s, '^[a-h][1-8]$')), 1, 2), ' ') as kept", "select 'e4 a1' as kept")
@@ -138,7 +122,6 @@ R.plan("o9_83_json_object", lambda s, d: s.read.parquet(f"{d}/events.parquet").s
 P("o9_84_validate_schema", "select event_id, from_json(props, 'k bigint').k as k from @events", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from @events")
 
 # boards and repair
-R.plan("o10_2_hash_placement", lambda s, d: s.sql(for_spark(FENS[0], d)).select("x", placement_hash("split_part(x, ' ', 1)").alias("zobrist")))
 
 
 @F.pandas_udf(BooleanType())
@@ -202,12 +185,7 @@ S("o12_12_ink_coverage", "select doc_id, page, round(sum(w * h) / (DBL(max(x + w
 S("o12_18_analyze_document", "select doc_id, count(distinct page) as pages, count(*) as spans, round(min(x), 4) as left_edge, round(max(x + w), 4) as right_edge from @S s group by doc_id")
 S("o12_17_analyze_page", "select doc_id, page, count(distinct line_no) as lines, count(distinct font_size) as sizes, round(max(y + h) - min(y), 4) as height from @S s group by doc_id, page")
 S("o12_14_rows_of_tables", "select doc_id, page, line_no, count(*) as cells from @S s group by doc_id, page, line_no having count(*) > 1")
-S("o13_1_add", "select d.doc_id, case when d.state = 'complete' then 'skip' when d.byte_cursor > 0 then 'resume' else 'start' end as action from @D d")
-S("o13_10_index_all", "select doc_id, (sum(size_bytes) over (order by doc_id rows unbounded preceding) <= 100000000) as within_budget from @D d where size_bytes is not null")
-S("o13_12_enqueue", "select doc_id, uri from @D d where state = 'pending'")
-P("o15_8_migration_plan", "select explode(sequence(1, 3)) as step_from", "select unnest([1, 2, 3])::int as step_from")
 S("o15_19_hashed_ids", "select doc_id, SHA(uri) as id from @D d")
-S("o15_26_measure_all", "select f.format, d.kind, count(*) as n from @D d cross join (values ('html'), ('epub'), ('docx')) f(format) group by f.format, d.kind")
 S("o16_1_node_tags", "select distinct scope as tag from @nodes")
 S("o16_2_visit", "select scope as tag, count(*) as visited from @N n group by scope")
 S("o16_9_audit_log", "select edit_id, batch, applied_at from @J j where applied_at is not null")

@@ -92,8 +92,12 @@ COMMENTS = both("select distinct node_id, text as x from @nodes where scope = 'c
 CAPTIONS = both("select distinct node_id, text as x from @nodes where scope = 'captions' and text <> ''")
 LINES = both("select distinct span_id, text as x from @text_spans where text <> ''")
 LABELS = both("select distinct lang as x from @authored")
-FENS = _values(
-    "x",
-    "('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1')", "('8/8/8/4k3/8/3K4/4P3/8 b - - 3 60')", "('r1bqkbnr/pppp1ppp/2n5/4p3/2B1P3/5N2/PPPP1PPP/RNBQK2R b KQkq - 3 3')",
-    "('8/5k2/8/8/8/8/1RK5/8 w - - 0 1')", "('k7/8/1K6/8/8/8/8/7R w')", "('4k3/8/8/3pP3/8/8/8/4K3 w - d6 0 2')", "('8/8/8/8/8/8/8/8')", "('kb6/8/8/8/8/8/8/KB6 w - - 0 9')",
-)
+_SPECIAL = (
+    "('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1'), ('8/8/8/4k3/8/3K4/4P3/8 b - - 3 60'), ('r1bqkbnr/pppp1ppp/2n5/4p3/2B1P3/5N2/PPPP1PPP/RNBQK2R b KQkq - 3 3'), "
+    "('8/5k2/8/8/8/8/1RK5/8 w - - 0 1'), ('k7/8/1K6/8/8/8/8/7R w'), ('4k3/8/8/3pP3/8/8/8/4K3 w - d6 0 2'), ('8/8/8/8/8/8/8/8'), ('kb6/8/8/8/8/8/8/KB6 w - - 0 9')"
+)
+_RUNS = " || '/' || ".join(TEMPLATES["run_length"].replace("{x}", f"substr(b, {1 + 8 * k}, 8)") for k in range(8))
+#: Boards of every kind: the 64 hexadecimal digits of each caption's hash as its 64 squares, and a few positions of games.
+FENS = both(
+    f"select x from (select distinct {_RUNS} || case when h < '8' then ' w' else ' b' end || ' - - 0 1' as x from (select substr(SHA(text), 1, 1) as h, translate(SHA(text), '0123456789abcdef', 'PNBRQKpnbrqk....') as b from @nodes where scope = 'captions' and text <> '') t) u union select x from (values {_SPECIAL}) v(x)"
+)

@@ -27,21 +27,15 @@ S("o1_2_index_unit", "select n.node_id, n.doc_id, n.scope, n.page, n.ordinal, n.
 S("o1_3_facets", "select node_id, white, black, eco, year, result from @F f where white is not null and black is not null")
 P("o1_4_position_refs", f"select node_id, pos + 1 as ply, (pos % 2 = 0) as white_moved, san from (select node_id, posexplode(ALL(text, '{SAN}')) as (pos, san) from @N n where scope = 'mainline' and text <> '') t", f"select node_id, ply, (ply % 2 = 1) as white_moved, san from (select node_id, unnest(range(1, len(l) + 1))::int as ply, unnest(l) as san from (select node_id, ALL(text, '{SAN}') as l from @N n where scope = 'mainline' and text <> '') s) t")
 S("o1_5_content_key", "select doc_id, content_key, (split_part(content_key, ':', 1) = STR(size_bytes)) as size_agrees from @D d where content_key <> ''")
-S("o1_8_units_for_node", "select kind, scope, count(*) as n from @N n join @D d on n.doc_id = d.doc_id group by kind, scope")
 R.plan("o1_10_move_depth", _move_depth, "select node_id, pos, SIZE(ALL(substr(text, 1, pos + 1), '[(]')) - SIZE(ALL(substr(text, 1, pos + 1), '[)]')) as depth from (select node_id, text, unnest(range(0, length(text), 10))::int as pos from @N n where scope = 'variations' and text <> '') t")
 S("o1_14_pgn_unit", "select h.node_id, EX(h.text, '[[]White \"([^\"]*)\"', 1) as white, EX(h.text, '[[]Black \"([^\"]*)\"', 1) as black, EX(h.text, '[[]Result \"([^\"]*)\"', 1) as result, EX(h.text, '[[]ECO \"([^\"]*)\"', 1) as eco from @N h where h.scope = 'headers' and h.text like '[%'")
 S("o1_16_game_spans", "select doc_id, count(*) as games, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal from @N n where scope = 'headers' and text like '[%' group by doc_id")
-S("o1_19_read_meta", "select 'documents' as key, STR(count(*)) as value from @D d union all select 'nodes', STR(count(*)) from @N n")
-S("o1_20_write_meta", "select key, max(value) as value from (select 'schema' as key, '1' as value union all select 'schema', '2' union all select 'tokenizer', '1') t group by key")
-S("o1_21_database_bytes", "select LONG(sum(size_bytes)) as bytes, count(*) as documents from @D d")
 S("o1_24_content_hash", "select doc_id, SHA(text) as hash from (select distinct doc_id, text from @documents) t where text is not null")
 P("o1_25_sample_indices", "select doc_id, explode(transform(sequence(0, 3), i -> INT(floor(i * node_count / 4)))) as idx from @D d where node_count >= 4", "select doc_id, unnest([0, node_count // 4, 2 * node_count // 4, 3 * node_count // 4])::int as idx from @D d where node_count >= 4")
 P("o1_45_records", "select node_id, to_json(struct(node_id, scope)) as record from @N n where scope = 'captions'", "select node_id, '{\"node_id\":' || node_id || ',\"scope\":\"' || scope || '\"}' as record from @N n where scope = 'captions'")
 S("o1_48_verify_duplicates", "select node_id, count(*) as n from @nodes group by node_id having count(*) > 1")
-P("o1_47_read_sidecar", "select r.node_id, r.scope from (select from_json(to_json(struct(node_id, scope)), 'node_id bigint, scope string') as r from @N n where scope = 'captions') t", "select node_id, scope from @N n where scope = 'captions'")
 P("o1_50_structural_json", "select node_id, to_json(struct(white, black, year), map('ignoreNullFields', 'false')) as js from @F f", "select node_id, '{\"white\":\"' || white || '\",\"black\":\"' || black || '\",\"year\":' || year || '}' as js from @F f where white is not null and black is not null and year is not null and not RL(white || black, '[^A-Za-z ,.]')")
 P("o1_51_normalized_text", "select doc_id, concat_ws(' | ', transform(array_sort(collect_list(struct(ordinal, node_id, text))), x -> x.text)) as text from @N n where scope = 'captions' and text is not null group by doc_id", "select doc_id, string_agg(text, ' | ' order by ordinal, node_id, text) as text from @N n where scope = 'captions' and text is not null group by doc_id")
-S("o1_54_load_manifest", "select item_id, suite, lang from @eval_items where HEXINT(substr(SHA(STR(item_id)), 1, 4)) < 49152")
 
 # 2.2 filters
 S("o2_3_scope_filter", "select node_id from @N n where scope = 'captions'")
@@ -53,21 +47,14 @@ S("o2_8_player_like", "select node_id, white, black from @F f where lower(white)
 S("o2_9_year_min", "select node_id, year from @F f where year >= 1950")
 S("o2_10_year_max", "select node_id, year from @F f where year <= 1950 and year > 0")
 P("o2_11_filter_regex", "select node_id, regexp_instr(text, '[0-9]+[.]{3}[A-Z]') as first_at, SIZE(ALL(text, '[0-9]+[.]{3}[A-Z]')) as matches from @N n where RL(text, '[0-9]+[.]{3}[A-Z]')", "select node_id, instr(text, EX(text, '[0-9]+[.]{3}[A-Z]', 0))::int as first_at, SIZE(ALL(text, '[0-9]+[.]{3}[A-Z]')) as matches from @N n where RL(text, '[0-9]+[.]{3}[A-Z]')")
-P("o2_12_filter_move", "select node_id from @N n where exists(SPLIT(text, '[ \n]+'), c -> RL(RR(RR(c, '^[0-9]+[.]+', ''), '[!?.,;:]+$', ''), '^N.*xd5[+#]?$'))", "select node_id from @N n where len(list_filter(SPLIT(text, '[ \n]+'), lambda c: RL(RR(RR(c, '^[0-9]+[.]+', ''), '[!?.,;:]+$', ''), '^N.*xd5[+#]?$'))) > 0")
-P("o2_15_move_prefilter", "select node_id from @N n where exists(SPLIT(text, '[ \n]+'), c -> startswith(RR(c, '^[0-9]+[.]+', ''), 'Nx'))", "select node_id from @N n where len(list_filter(SPLIT(text, '[ \n]+'), lambda c: starts_with(RR(c, '^[0-9]+[.]+', ''), 'Nx'))) > 0")
 P("o2_16_first_move_match", "select node_id, min(pos) as chunk from (select node_id, posexplode(SPLIT(text, '[ \n]+')) as (pos, c) from @N n where text <> '') t where RL(RR(RR(c, '^[0-9]+[.]+', ''), '[!?.,;:]+$', ''), '^Q.*x') group by node_id", "select node_id, min(pos) as chunk from (select node_id, unnest(range(len(l)))::int as pos, unnest(l) as c from (select node_id, SPLIT(text, '[ \n]+') as l from @N n where text <> '') s) t where RL(RR(RR(c, '^[0-9]+[.]+', ''), '[!?.,;:]+$', ''), '^Q.*x') group by node_id")
 S("o2_19_text_of", "select node_id, case when text = '' then 'source' when text is null then 'none' else 'stored' end as place, INT(length(text)) as n from @N n")
-S("o2_20_as_hit", "select n.node_id, d.uri, n.page, n.scope, f.white, f.black from @N n join @D d on n.doc_id = d.doc_id left join @F f on n.node_id = f.node_id where n.text like '%initiative%'")
 P("o2_24_regex_search", "select node_id, pos as i, m from (select node_id, posexplode(ALL(text, '[a-h]x[a-h][1-8]')) as (pos, m) from @N n where scope <> 'headers') t", "select node_id, unnest(range(len(l)))::int as i, unnest(l) as m from (select node_id, ALL(text, '[a-h]x[a-h][1-8]') as l from @N n where scope <> 'headers') t")
 _MOVE_ROWS_S = f"select node_id, pos + 1 as ply, san from (select node_id, posexplode(ALL(text, '{SAN}')) as (pos, san) from @N n where scope = 'mainline' and text <> '') t"
 _MOVE_ROWS_D = f"select node_id, unnest(range(1, len(l) + 1))::int as ply, unnest(l) as san from (select node_id, ALL(text, '{SAN}') as l from @N n where scope = 'mainline' and text <> '') s"
 _WHERE = "where san like '%x%' and san like 'R%' and ply between 10 and 40 and ply % 2 = 1"
-P("o2_25_search_moves", f"select * from ({_MOVE_ROWS_S}) m {_WHERE}", f"select * from ({_MOVE_ROWS_D}) m {_WHERE}")
-P("o2_28_move_query", f"select node_id, ply, san from ({_MOVE_ROWS_S}) m where RL(san, '^Q') and san like '%+'", f"select node_id, ply, san from ({_MOVE_ROWS_D}) m where RL(san, '^Q') and san like '%+'")
-P("o2_35_compile_move_pattern", f"select node_id, ply, san from ({_MOVE_ROWS_S}) m where RL(san, '^N.*d5[+#]?$')", f"select node_id, ply, san from ({_MOVE_ROWS_D}) m where RL(san, '^N.*d5[+#]?$')")
 S("o2_27_matches_eco", "select f.doc_id, count(*) as n from @F f where RL(eco, '^C') group by f.doc_id")
 S("o2_38_eco_query", "select node_id, eco from @F f where RL(eco, '^(?:E6[0-9]|E[7-9].)$')")
-S("o2_37_annotation_query", "select node_id from @N n where RL(text, '[a-h][1-8][?][?]?( |,|$)') and scope in ('all', 'comments')")
 _ISLANDS = "select doc_id, s, e, sum(case when s <= back then 0 else 1 end) over (partition by doc_id order by s, e rows unbounded preceding) as island from (select doc_id, s, e, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as back from (select doc_id, byte_start as s, byte_start + byte_len as e from @N n where byte_start >= 0) a) b"
 S("o2_45_merge_spans", f"select doc_id, island, min(s) as s, max(e) as e from (select doc_id, s, e, LONG(island) as island from ({_ISLANDS}) c) d group by doc_id, island")
 S("o2_44_spans_for", f"select doc_id, count(distinct island) as spans, LONG(sum(e - s)) as bytes from ({_ISLANDS}) c group by doc_id")
@@ -78,7 +65,6 @@ S("o3_1_nodes_documents", "select n.node_id, d.uri, d.kind from @N n join @D d o
 S("o3_2_nodes_facets", "select n.node_id, n.scope, f.white, f.year from @N n left join @F f on n.node_id = f.node_id")
 S("o3_3_intersect_candidates", "select a.node_id, LONG(a.score + b.score) as score from (select node_id, 1 as score from @N n where text like '%king%') a join (select node_id, 2 as score from @N m where text like '%queen%') b on a.node_id = b.node_id")
 S("o3_4_candidate_restriction", "select node_id, scope from @N n where exists (select 1 from @F f where f.node_id = n.node_id and f.eco = 'B90')")
-S("o3_7_documents_containing", "select distinct n.doc_id from @N n where n.text like '%Nxd5%'")
 _GAPS = "select a.span_id as anchor, b.span_id as near_id, greatest(a.x - b.x - b.w, b.x - a.x - a.w, 0e0) as dx, greatest(a.y - b.y - b.h, b.y - a.y - a.h, 0e0) as dy, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ox, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as oy, a.w as aw, b.w as bw, a.h as ah, b.h as bh from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and a.x + a.y + a.w + a.h is not null and b.x + b.y + b.w + b.h is not null"
 P("o3_12_lines_near", f"select anchor, near_id, round(distance, 4) as distance from (select *, sqrt(dx * dx + dy * dy) as distance from ({_GAPS}) g) t where distance <= {RADIUS} and ((dy > 0 or dx = 0) and ox >= {SHARED} * least(aw, bw) and least(aw, bw) > 0 or dx > 0 and oy >= {SHARED} * least(ah, bh) and least(ah, bh) > 0)", "select a.span_id as anchor, b.span_id as near_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) as distance from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and abs(a.line_no - b.line_no) <= 1 and a.line_no = 1")
 S("o3_8_pair_lines", "select anchor, other from (select a.span_id as anchor, b.span_id as other, row_number() over (partition by a.span_id order by abs(a.y - b.y), b.span_id) as r from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.line_no = a.line_no + 1) t where r = 1")
@@ -89,30 +75,16 @@ S("o3_18_validate", "select 'dangling facet' as problem, f.node_id as id from @F
 S("o3_19_calibration_lookup", "select item_id, code, coalesce(case when code = 'en' then 1 end, case when code in ('de', 'fr') then 2 end, 3) as table_no from @L l where code is not null")
 
 # 2.4 aggregations
-S("o4_1_index_stats", "select (select count(*) from @D d) as documents, (select count(*) from @N n) as nodes, (select LONG(coalesce(sum(size_bytes), 0)) from @D e) as bytes")
-S("o4_2_index_ratio", "select round(case when sum(size_bytes) > 0 then DBL(sum(node_count)) / DBL(sum(size_bytes)) else 0e0 end, 9) as ratio from @D d")
 S("o4_4_next_node_id", "select coalesce(max(node_id), 0) + 1 as next_id from @nodes")
 S("o4_5_finish", "select d.doc_id, d.node_count as stored, count(n.node_id) as counted from @D d left join @N n on n.doc_id = d.doc_id group by d.doc_id, d.node_count")
 S("o4_6_batches", "select batch, min(applied_at) as applied_at, count(*) as edits from @J j where not undone group by batch")
 S("o14_5_batches", "select batch, min(applied_at) as applied_at, count(*) as edits from @J j where not undone group by batch")
 S("o4_7_plan_documents", "select batch, count(distinct doc_id) as documents from @J j group by batch")
 S("o4_8_plan_accepted", "select batch, LONG(sum(case when text_before <> text_after then 1 else 0 end)) as accepted from @J j group by batch")
-P("o4_9_position_count", f"select count(*) as n from ({_MOVE_ROWS_S}) m", f"select count(*) as n from ({_MOVE_ROWS_D}) m")
 _ROWS = "select s.span_id, d.stratum, d.kind, s.engine, s.confidence, (s.confidence > 85e-2) as ok, LONG(length(s.text)) as chars from @S s join @D d on s.doc_id = d.doc_id where s.confidence is not null and s.text is not null"
-S("o4_10_summarise_rows", f"select stratum, count(*) as n, LONG(sum(chars)) as chars, round(avg(confidence), 6) as mean_confidence, round(avg(case when ok then 1e0 else 0e0 end), 6) as ok_rate, min(confidence) as worst from ({_ROWS}) r group by stratum")
-S("o4_11_group_rows", f"select engine, count(*) as n from ({_ROWS}) r group by engine")
-S("o4_12_evaluate_gates", f"select a.stratum, a.m >= b.m - 2e-2 as passed from (select stratum, avg(confidence) as m from ({_ROWS}) r group by stratum) a join (select stratum, avg(confidence) as m from ({_ROWS}) r2 where engine <> '' group by stratum) b on a.stratum = b.stratum")
-P("o4_13_move_accounting", f"with a as (select edit_id, explode(ALL(text_before, '{SAN}')) as m from @J j), b as (select edit_id, explode(ALL(text_after, '{SAN}')) as m from @J j), ca as (select edit_id, m, count(*) as n from a group by edit_id, m), cb as (select edit_id, m, count(*) as n from b group by edit_id, m) select edit_id, LONG(sum(least(x, y))) as kept, LONG(sum(x - least(x, y))) as missing, LONG(sum(y - least(x, y))) as invented from (select coalesce(ca.edit_id, cb.edit_id) as edit_id, coalesce(ca.n, 0) as x, coalesce(cb.n, 0) as y from ca full join cb on ca.edit_id = cb.edit_id and ca.m = cb.m) t group by edit_id", f"with a as (select edit_id, unnest(ALL(text_before, '{SAN}')) as m from @J j), b as (select edit_id, unnest(ALL(text_after, '{SAN}')) as m from @J j), ca as (select edit_id, m, count(*) as n from a group by edit_id, m), cb as (select edit_id, m, count(*) as n from b group by edit_id, m) select edit_id, LONG(sum(least(x, y))) as kept, LONG(sum(x - least(x, y))) as missing, LONG(sum(y - least(x, y))) as invented from (select coalesce(ca.edit_id, cb.edit_id) as edit_id, coalesce(ca.n, 0) as x, coalesce(cb.n, 0) as y from ca full join cb on ca.edit_id = cb.edit_id and ca.m = cb.m) t group by edit_id")
-S("o4_15_reliability", f"select INT(least(floor(confidence * 10), 9)) as bin, count(*) as n, round(avg(confidence), 6) as conf, round(avg(case when ok then 1e0 else 0e0 end), 6) as acc from ({_ROWS}) r group by 1")
 _BINS = f"select INT(least(floor(confidence * 10), 9)) as bin, count(*) as n, avg(confidence) as conf, avg(case when ok then 1e0 else 0e0 end) as acc from ({_ROWS}) r group by 1"
-S("o4_16_expected_calibration_error", f"select round(sum(n * abs(conf - acc)) / sum(n), 6) as ece from ({_BINS}) b")
-S("o4_17_brier_score", f"select round(avg((confidence - (case when ok then 1e0 else 0e0 end)) * (confidence - (case when ok then 1e0 else 0e0 end))), 6) as brier from ({_ROWS}) r")
-S("o4_18_calibration_report", f"select stratum, round(avg(abs(confidence - (case when ok then 1e0 else 0e0 end))), 6) as gap, count(*) as n from ({_ROWS}) r group by stratum")
-S("o4_19_risk_coverage", f"select t.k, round(avg(case when confidence >= t.k / 10e0 then 1e0 else 0e0 end), 6) as coverage, round(coalesce(sum(case when confidence >= t.k / 10e0 and not ok then 1e0 else 0e0 end) / nullif(sum(case when confidence >= t.k / 10e0 then 1e0 else 0e0 end), 0), 0e0), 6) as risk from ({_ROWS}) r cross join (values (0),(2),(4),(6),(8),(9)) t(k) group by t.k")
-S("o4_41_risk_coverage", f"select t.k, LONG(sum(case when confidence >= t.k / 10e0 then 1 else 0 end)) as answered, LONG(sum(case when confidence >= t.k / 10e0 and ok then 1 else 0 end)) as exact from ({_ROWS}) r cross join (values (3),(5),(7)) t(k) group by t.k")
 S("o4_21_mean", "select coalesce(round(avg(score), 6), 0e0) as mean_score, count(score) as n from @L l")
 S("o4_22_assess_page", f"select doc_id, page, round(sum(confidence * length(text)) / sum(length(text)), 6) as weighted, max(case when confidence < 45e-2 then 2 when confidence < 8e-1 then 1 else 0 end) as severity from @S s where confidence is not null and length(text) > 0 group by doc_id, page")
-P("o4_23_document_baseline", "select doc_id, round(percentile(m, 8e-1), 6) as baseline from (select doc_id, page, avg(confidence) as m from @S s where confidence is not null group by doc_id, page) t group by doc_id having count(*) >= 3", "select doc_id, round(quantile_cont(m, 8e-1), 6) as baseline from (select doc_id, page, avg(confidence) as m from @S s where confidence is not null group by doc_id, page) t group by doc_id having count(*) >= 3")
 S("o4_27_label_summary", "select count(*) as n, LONG(sum(case when review then 1 else 0 end)) as to_review, LONG(sum(case when confidence is null then 1 else 0 end)) as unknown from @S s")
 S("o4_28_page_counts", "select doc_id, page, count(*) as spans, LONG(sum(case when review then 1 else 0 end)) as to_review from @S s group by doc_id, page")
 P("o4_29_measure_group", "select undone, LONG(sum(levenshtein(text_before, text_after))) as distance, LONG(sum(length(text_before))) as chars from @J j group by undone", "select undone, LONG(sum(levenshtein(a, b))) as distance, LONG(sum(length(a))) as chars from (select undone, substr(RR(text_before, '[^ -~]', ''), 1, 60) as a, substr(RR(text_after, '[^ -~]', ''), 1, 60) as b from @J j) t group by undone")
@@ -126,7 +98,6 @@ S("o4_36_by_property_distinct", "select 'font' as field, count(distinct span_id)
 S("o4_37_diff_fidelity", "select round(greatest(0e0, (count(*) - sum(case when text_before <> text_after then 1 else 0 end)) / DBL(count(*))), 6) as fidelity from @J j")
 S("o4_38_piece_counts", "select p.p as piece, count(*) as lines from @S s cross join (values ('♔'),('♕'),('♖'),('♗'),('♘')) p(p) where instr(s.text, p.p) > 0 group by p.p")
 P("o4_39_oversample", "select span_id, explode(sequence(1, case when text like '%♔%' then 3 else 1 end)) as copy from @S s where text like '%♔%' or text like '%♕%'", "select span_id, unnest(range(1, case when text like '%♔%' then 4 else 2 end))::int as copy from @S s where text like '%♔%' or text like '%♕%'")
-S("o4_40_auroc", f"select round((sum(case when ok then r else 0 end) - sum(case when ok then 1 else 0 end) * (sum(case when ok then 1 else 0 end) + 1) / 2e0) / (sum(case when ok then 1e0 else 0e0 end) * sum(case when ok then 0e0 else 1e0 end)), 6) as auc from (select ok, rank() over (order by chars) + (count(*) over (partition by chars) - 1) / 2e0 as r from ({_ROWS}) x) t")
 
 # 2.5 windows
 _MARGIN = "select distinct s.doc_id, s.page, lower(RR(trim(s.text), '[0-9]+', '#')) as fp from @S s join (select doc_id, page, min(line_no) as top, max(line_no) as bottom from @S t group by doc_id, page) e on s.doc_id = e.doc_id and s.page = e.page and (s.line_no = e.top or s.line_no = e.bottom) where s.text is not null"
@@ -145,23 +116,18 @@ S("o5_12_heading_levels", "select doc_id, font_size, LONG(dense_rank() over (par
 P("o5_13_weak_word_confidence", "select doc_id, page, element_at(sort_array(collect_list(confidence)), INT(floor(1e-1 * (count(confidence) - 1))) + 1) as weak from @S s where confidence is not null group by doc_id, page", "select doc_id, page, list_extract(list_sort(list(confidence)), INT(floor(1e-1 * (count(confidence) - 1))) + 1) as weak from @S s where confidence is not null group by doc_id, page")
 S("o5_14_mean_confidence", "select doc_id, page, round(sum(confidence * length(text)) / sum(length(text)), 6) as mean_confidence from @S s where confidence is not null and length(text) > 0 group by doc_id, page")
 S("o5_15_line_confidence", "select doc_id, page, line_no, round(sum(confidence * length(text)) / sum(length(text)), 6) as mean_confidence from @S s where confidence is not null and length(text) > 0 group by doc_id, page, line_no")
-S("o5_16_page_window", "select node_id, total, rn from (select node_id, count(*) over () as total, LONG(row_number() over (order by doc_id, ordinal, node_id)) as rn from @N n where scope = 'captions') t where rn between 11 and 20")
 S("o5_17_review_decided", "select node_id, edit_id, undone from (select node_id, edit_id, undone, row_number() over (partition by node_id order by edit_id desc) as r from @J j) t where r = 1")
 S("o5_18_move_order", "select node_id, LONG(row_number() over (partition by doc_id order by ordinal, node_id)) as rank from @N n where scope in ('mainline', 'variations')")
 
 # 2.6 sorts and top-k
 S("o6_2_final_order", "select node_id, doc_id, ordinal from @N n where text like '%Nxd5%' order by doc_id, ordinal, node_id limit 50")
-S("o6_3_result_page", "select node_id from @N n where scope = 'captions' order by doc_id, ordinal, node_id limit 10 offset 10")
-S("o6_4_exact_first", "select node_id, (text like '% Nxd5 %') as exact from @N n where text like '%Nxd5%' order by exact desc, doc_id, node_id limit 30")
 S("o6_5_sort_issues", "select span_id, confidence from @S s where confidence < 5e-1 order by confidence, span_id limit 40")
 S("o6_6_worst_regions", "select doc_id, page, round(avg(confidence), 6) as c from @S s where confidence is not null group by doc_id, page having avg(confidence) < 9e-1")
 S("o6_8_page_value", "select doc_id, page, round(sum(case when review then 1e0 else 0e0 end) + 5e-1 * sum(case when confidence < 8e-1 then 1e0 else 0e0 end), 4) as value from @S s group by doc_id, page")
 S("o6_9_rank_pages", "select doc_id, page, n from (select doc_id, page, count(*) as n from @S s where confidence < 8e-1 group by doc_id, page) t order by n desc, doc_id, page limit 10")
 S("o6_10_ranking_top", "select engine, span_id from (select engine, span_id, row_number() over (partition by engine order by confidence, span_id) as r from @S s where confidence is not null) t where r <= 3")
-S("o6_11_items_sorted", "select item_id, lang, LONG(row_number() over (order by item_id)) as rn from (select distinct item_id, lang from @eval_items) t")
 
 # 2.7 set operations
-S("o7_2_required_minus_present", "select t from (values ('nodes'),('facets'),('positions')) r(t) except select t from (values ('nodes'),('facets')) p(t)")
 S("o7_6_merge_layers", "select k, v from (select k, v, row_number() over (partition by k order by layer desc) as r from (select code as k, 1 as layer, STR(count(*)) as v from @L l where code is not null group by code union all select lang as k, 2 as layer, 'label' as v from @A a where lang is not null group by lang) u) t where r = 1")
 S("o7_8_merge_into_manifest", "select item_id, max(lang) as lang from (select item_id, lang from @eval_items union all select item_id, lang from @eval_items where item_id < 50) t group by item_id")
 S("o7_9_merge_profiles", "select k, max(v) as v from (select * from (values ('bold', 'yes'), ('color', 'no')) a(k, v) union all select * from (values ('color', 'yes')) b(k, v)) t group by k")
@@ -170,28 +136,15 @@ S("o7_9_merge_profiles", "select k, max(v) as v from (select * from (values ('bo
 _TOK_S = "select node_id, explode(SPLIT(lower(text), '[^a-z]+')) as t from @N n where scope in ('all', 'comments') and text <> ''"
 _TOK_D = "select node_id, unnest(SPLIT(lower(text), '[^a-z]+')) as t from @N n where scope in ('all', 'comments') and text <> ''"
 P("o8_6_emit_prose", f"select t, count(*) as n from ({_TOK_S}) x where t <> '' group by t", f"select t, count(*) as n from ({_TOK_D}) x where t <> '' group by t")
-P("o8_1_tokens", "select node_id, SIZE(SPLIT(trim(text), '[ \n\t]+')) as chunks from @N n where text <> ''", "select node_id, SIZE(SPLIT(trim(text), '[ \n\t]+')) as chunks from @N n where text <> ''")
-S("o8_2_encode", "select node_id, lower(RR(trim(text), '[ \n\t]+', ' ')) as tokens from @N n where scope = 'captions' and text <> ''")
-S("o8_7_match_phrase", "select node_id from @N n where instr(' ' || RR(lower(text), '[^a-z0-9]+', ' ') || ' ', ' the dark squares ') > 0")
 _WORDS = "('the','of','and','der','die','das','und','el','la','de','que','le','les','et','o','a','os','as','do','da')"
-P("o9_46_dictionary_hit_rate", f"select node_id, round(avg(case when t in {_WORDS} then 1e0 else 0e0 end), 6) as rate from ({_TOK_S}) x where length(t) >= 2 group by node_id", f"select node_id, round(avg(case when t in {_WORDS} then 1e0 else 0e0 end), 6) as rate from ({_TOK_D}) x where length(t) >= 2 group by node_id")
-P("o9_49_nonword_ratio", f"select node_id, round(avg(case when RL(t, '^[bcdfghjklmnpqrstvwxz]+$') then 1e0 else 0e0 end), 6) as ratio from ({_TOK_S}) x where length(t) >= 4 group by node_id", f"select node_id, round(avg(case when RL(t, '^[bcdfghjklmnpqrstvwxz]+$') then 1e0 else 0e0 end), 6) as ratio from ({_TOK_D}) x where length(t) >= 4 group by node_id")
-P("o9_54_ngram_log_probability", f"with b as (select node_id, explode(transform(sequence(1, length(t) - 1), i -> substr(t, i, 2))) as g from ({_TOK_S}) x where length(t) >= 2), c as (select g, count(*) as n from b group by g), z as (select sum(n) as total from c) select node_id, round(avg(ln((n + 1) / DBL(total + 676))), 5) as lp from b join c using (g) cross join z group by node_id", f"with b as (select node_id, substr(t, unnest(range(1, length(t))), 2) as g from ({_TOK_D}) x where length(t) >= 2), c as (select g, count(*) as n from b group by g), z as (select sum(n) as total from c) select node_id, round(avg(ln((n + 1) / DBL(total + 676))), 5) as lp from b join c using (g) cross join z group by node_id")
 P("o9_50_is_move_token", "select t, RL(t, '[a-h][1-8]') as names_square from (select distinct t from (select explode(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x) y where t <> ''", "select t, RL(t, '[a-h][1-8]') as names_square from (select distinct t from (select unnest(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x) y where t <> ''")
 P("o9_53_mangled_move_ratio", "select node_id, round(avg(case when RL(t, '^[0-9.]*[KQRBNDTSLCFA]?[a-h]?[1-8]?x?[a-h][1-8][+#!?.,;:)]*$') then 0e0 else 1e0 end), 6) as mangled from (select node_id, explode(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x where RL(t, '[a-h][1-8]') group by node_id", "select node_id, round(avg(case when RL(t, '^[0-9.]*[KQRBNDTSLCFA]?[a-h]?[1-8]?x?[a-h][1-8][+#!?.,;:)]*$') then 0e0 else 1e0 end), 6) as mangled from (select node_id, unnest(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x where RL(t, '[a-h][1-8]') group by node_id")
-S("o9_63_detect_prose_language", "select item_id, code from (select item_id, code, row_number() over (partition by item_id order by lexicon_hits desc, code) as r from @L l where code is not null and lexicon_hits is not null) t where r = 1")
-S("o9_64_document_language", "select doc_id, max(case when RL(text, '[Ѐ-ӿ]') then 'ru' else 'latin' end) as script from @N n where text <> '' group by doc_id")
-S("o9_66_detect_language", "select item_id, round(max(score) - min(score), 6) as margin, count(*) as candidates from @L l where score is not null group by item_id")
 P("o9_13_repeated_lines", "select doc_id, line, count(*) as n from (select doc_id, trim(l) as line from (select doc_id, explode(split(text, '\n')) as l from @N n where text <> '') e) t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3", "select doc_id, line, count(*) as n from (select doc_id, trim(unnest(string_split(text, '\n'))) as line from @N n where text <> '') t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3")
 P("o9_12_clean_pdf_text", "select node_id, RR(RR(RR(text, '(?U)(?<=\\\\w)[-‐‑]\\\\s*\n\\\\s*(?=\\\\p{Ll})', ''), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all'", "select node_id, RR(RR(RR(text, '([a-z])-\n([a-z])', '{glue}'), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all' and text like '%\n%' and not RL(text, '[a-z]-\n')".replace("'{glue}'", "''"))
 S("o9_20_split_games", "select doc_id, game, count(*) as units from (select doc_id, LONG(sum(case when scope = 'headers' then 1 else 0 end) over (partition by doc_id order by ordinal, node_id rows unbounded preceding)) as game from @N n) t group by doc_id, game")
 S("o9_21_segment_at", "select n.node_id, s.node_id as at_node from @N n join @N s on n.doc_id = s.doc_id and s.byte_start >= 0 and n.byte_start >= s.byte_start and n.byte_start < s.byte_start + s.byte_len and n.ordinal = s.ordinal where n.byte_start >= 0")
 S("o9_9_apply_page_scope", "select span_id, coalesce(font, max(font) over (partition by doc_id, page)) as font from @S s")
 S("o9_5_page_stipulation", "select doc_id, page, case when count(distinct engine) = 1 then min(engine) end as engine from @S s group by doc_id, page")
-S("o9_42_assess_result", "select span_id, case when confidence < 45e-2 then 'bad' when confidence < 8e-1 then 'attention' else 'ok' end as severity, (RL(text, '[A-Za-z][0-9][A-Za-z]')) as mixed from @S s where confidence is not null and text is not null")
-S("o9_40_estimate_cer", "select node_id, round(least(1e0, nonword / 55e-2), 6) as cer from (select node_id, length(RR(text, '[A-Za-zÀ-ÿЀ-ӿ0-9 .,;:!?()+=-]', '')) / DBL(length(text)) as nonword from @N n where length(text) > 0 and scope = 'all') t")
-S("o9_41_text_plausibility", "select node_id, round(1 - nonword, 6) as plausible from (select node_id, length(RR(text, '[A-Za-zÀ-ÿЀ-ӿ0-9 .,;:!?()+=-]', '')) / DBL(length(text)) as nonword from @N n where length(text) > 0 and scope = 'all') t")
-P("o9_60_lexicon_for", f"select code as lang, count(distinct w) as words from (select {bind(TEMPLATES['language_code'], x='lang')} as code, explode(regexp_extract_all(lower(text), '(?:\\\\p{{L}}\\\\p{{M}}*)+', 0)) as w from @A a) t where code is not null group by code", "select lang, count(*) as words from (select distinct lang, lower(EX(text, '^([A-Za-zÀ-ÿ]+)', 1)) as w from @A a where lang in ('en', 'de', 'es')) t where w <> '' group by lang")
 
 # 2.11 and 2.12
 S("o11_11_join_wrapped_lines", "select doc_id, page, para, count(*) as lines from (select doc_id, page, LONG(sum(case when RL(text, '^[A-Z]') and RL(back, '[.]$') then 1 else 0 end) over (partition by doc_id, page order by line_no, span_no, span_id rows unbounded preceding)) as para from (select doc_id, page, line_no, span_no, span_id, text, lag(text) over (partition by doc_id, page order by line_no, span_no, span_id) as back from @S s where text is not null) a) b group by doc_id, page, para")
@@ -210,17 +163,8 @@ S("o12_16_split_at_gutters", "select span_id, (x + w / 2 > 200) as right_side fr
 S("o12_30_facet_counts", "select lang, suite, count(*) as n from (select distinct item_id, lang, suite from @eval_items) t group by lang, suite")
 P("o12_31_manifest_hash", "select SHA(array_join(sort_array(collect_list(SHA(text))), '')) as hash from @eval_items", "select SHA(string_agg(SHA(text), '' order by SHA(text))) as hash from @eval_items")
 S("o12_32_manifest_validate", "select item_id, 'short' as problem from @eval_items where length(text) < 60 union all select item_id, 'no lang' from @eval_items where lang is null")
-S("o12_33_score_text", "select edit_id, (text_before = text_after) as exact, LONG(abs(length(text_before) - length(text_after))) as length_gap from @J j where text_before is not null and text_after is not null")
 
 # 2.13 maintenance and 2.14 updates
-S("o13_2_needs_reindex", "select d.doc_id from @D d where state <> 'complete' or content_key = '' or content_key is null")
-S("o13_3_remove", "select n.node_id from @N n where not exists (select 1 from @D d where d.doc_id = n.doc_id and d.kind = 'pgn')")
-S("o13_4_mark_failed", "select doc_id, case when node_count = 0 then 'failed' else state end as state from @D d")
-S("o13_5_documents", "select doc_id, uri, state, LONG(row_number() over (order by doc_id)) as rn from @D d")
-S("o13_6_document", "select doc_id, uri from @D d where uri like '%00000002.pdf'")
-S("o13_7_flush", "select doc_id, max(ordinal) as cursor_at, count(*) as nodes from @N n group by doc_id")
-S("o13_8_upsert_document", "select doc_id, uri, state from (select doc_id, uri, state, row_number() over (partition by uri order by v desc) as r from (select doc_id, uri, state, 1 as v from @D d union all select doc_id, uri, 'pending', 2 from @D e where kind = 'pdf') u) t where r = 1")
-S("o13_9_purge", "select f.node_id from @F f where not exists (select 1 from @D d where d.doc_id = f.doc_id and d.state = 'partial')")
 S("o14_2_plan", "select node_id, RR(text, 'initiative', 'lead') as after_text from @N n where text like '%initiative%'")
 S("o14_3_apply", "select node_id, case when text like '%initiative%' then RR(text, 'initiative', 'lead') else text end as text from @N n where scope = 'comments'")
 S("o14_4_undo", "select node_id, text_before from (select node_id, text_before, row_number() over (partition by node_id order by edit_id) as r from @J j where not undone) t where r = 1")
@@ -231,13 +175,7 @@ S("o14_11_substitution", "select edit_id, RR(text_before, '^1[.]', '1. ') as t f
 S("o14_12_rules_by_scope", "select scope, locale, count(*) as n from (values ('token','de'),('prefix','de'),('token','es'),('free','en')) r(scope, locale) group by scope, locale")
 
 # 2.15 trees: documents hold nodes in order, scopes are the tags
-S("o15_1_walk", "select node_id, LONG(row_number() over (partition by doc_id order by ordinal, node_id)) as rank, STR(doc_id) || '/' || STR(ordinal) as path from @N n")
-S("o15_2_find", "select node_id, doc_id from @N n where scope = 'mainline'")
-S("o15_3_transform", "select node_id, case when scope = 'comments' then 'all' else scope end as scope from @N n where scope <> 'captions'")
 P("o15_4_plain_text", "select doc_id, array_join(transform(array_sort(collect_list(struct(ordinal, node_id, text))), x -> x.text), ' ') as text from @N n where scope = 'captions' and text is not null group by doc_id", "select doc_id, string_agg(text, ' ' order by ordinal, node_id, text) as text from @N n where scope = 'captions' and text is not null group by doc_id")
-S("o15_5_block_children", "select d.doc_id, n.node_id from @D d join @N n on n.doc_id = d.doc_id where d.kind = 'ir'")
-S("o15_6_child_nodes", "select n_name as child, r_name as parent from @nation join @region on n_regionkey = r_regionkey")
-S("o15_7_migrate", "select doc_id, case when title is null then uri else title end as title, 2 as version from @D d")
 S("o15_9_style_chain", "with recursive chain(name, base, depth) as (select name, base, 0 from (values ('title','head'),('head','base'),('base','')) s(name, base) where name = 'title' union all select s.name, s.base, depth + 1 from chain join (values ('title','head'),('head','base'),('base','')) s(name, base) on chain.base = s.name where depth < 10) select name, base, depth from chain")
 S("o15_10_resolve_run_props", "select span_id, coalesce(font, case when bold_like then 'BodyB-Roman' else 'BodyA-Roman' end) as font from (select span_id, font, (font_size > 11) as bold_like from @S s) t")
 S("o15_11_resolve_paragraph_props", "select doc_id, page, coalesce(max(font), 'BodyA-Roman') as font, coalesce(max(font_size), 10e0) as font_size from @S s group by doc_id, page")
@@ -247,12 +185,9 @@ S("o15_24_degradation", "select distinct doc_id, font from @text_spans where fon
 S("o15_25_fidelity_measure", "select case when text_before = text_after then 'kept' when length(text_before) = length(text_after) then 'declared' else 'silent' end as loss, count(*) as n from @J j group by 1")
 S("o15_27_declared_fidelity", "select round(avg(case when text_before = text_after then 1e0 else 0e0 end), 6) as fidelity from @J j")
 S("o15_28_run_support", "select s.span_id, c.ok from @S s join (values ('BodyA-Roman', true), ('BodyB-Roman', false)) c(font, ok) on s.font = c.font")
-P("o15_30_parse_page_range", "select array_sort(array_distinct(flatten(transform(split('1-3,7,2', ','), p -> case when p like '%-%' then sequence(cast(split(p, '-')[0] as int) - 1, cast(split(p, '-')[1] as int) - 1) else array(cast(p as int) - 1) end)))) as pages", "select [0, 1, 2, 6]::int[] as pages")
-S("o15_31_describe_pages", "select doc_id, min(page) as first_page, max(page) as last_page from (select doc_id, page, page - row_number() over (partition by doc_id order by page) as g from (select distinct doc_id, page from @S s) p) t group by doc_id, g")
 S("o15_32_carry_over", "select a.edit_id, b.edit_id as kept from @J a join @J b on a.node_id = b.node_id and a.edit_id > b.edit_id and a.text_before = b.text_before")
 S("o15_33_corrections", "select edit_id from @J j where text_before <> text_after and not exists (select 1 from @N n where n.node_id = j.node_id and n.scope = 'headers')")
 S("o15_34_pending", "select n.node_id from @N n where not exists (select 1 from @J j where j.node_id = n.node_id and not j.undone)")
 S("o15_35_manifest_items", "select item_id, suite, lang, INT(length(text)) as chars from @eval_items where length(text) > 100")
 P("o15_36_calibration_pairs", "select engine, sort_array(collect_list(confidence)) as confidences from @S s where confidence is not null group by engine", "select engine, list_sort(list(confidence)) as confidences from @S s where confidence is not null group by engine")
 P("o15_37_partition_split", "select suite, sort_array(collect_set(item_id)) as ids from @eval_items group by suite", "select suite, list_sort(list(distinct item_id)) as ids from @eval_items group by suite")
-S("o15_38_book_profile", "select doc_id, uri from @D d where content_key = (select max(content_key) from @D e)")

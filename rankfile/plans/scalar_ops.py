@@ -66,9 +66,6 @@ R.shared("o10_7_position_problems", f"select fen, (length(b) <> 64) as bad_size,
 R.shared("o10_5_parse_fen", "select x as fen, " + ", ".join(f"{bind(TEMPLATES[n], x='x')} as {n}" for n in ("placement", "fen_side", "fen_castling", "fen_ep", "fen_half", "fen_full")) + f" from ({FENS[0]}) f")
 R.shared("o10_3_pack_placement", f"select fen, upper(translate(REV(b), '.PNBRQKpnbrqk', '0123456789ABC')) as packed from ({_B64}) t")
 R.shared("o10_4_unpack_placement", f"select fen, REV(translate(packed, '0123456789ABC', '.PNBRQKpnbrqk')) as board64 from (select fen, upper(translate(REV(b), '.PNBRQKpnbrqk', '0123456789ABC')) as packed from ({_B64}) t) u")
-R.shared("o2_42_material_matches", f"select fen, (length(RR(b, '[^A-Z]', '')) = 2 and length(RR(b, '[^a-z]', '')) = 1) as two_against_one, INT(length(RR(b, '[^P]', ''))) as pawns from ({_B64}) t")
-R.shared("o2_39_position_matches", f"select fen, (substr(b, 5, 1) = 'k') as king_on_e8, RL(b, '^.{{56}}[.R]') as a1_free_or_rook from ({_B64}) t")
-R.shared("o2_43_opposite_bishops", f"select fen, (length(b) - length(replace(b, 'B', '')) = 1 and length(b) - length(replace(b, 'b', '')) = 1 and (instr(b, 'B') + INT(floor((instr(b, 'B') - 1) / 8)) + instr(b, 'b') + INT(floor((instr(b, 'b') - 1) / 8))) % 2 = 1) as opposite from ({_B64}) t")
 R.shared("o10_16_plausibility", f"select fen, INT(length(RR(substr(b, 33, 32), '[^A-Z]', '')) + length(RR(substr(b, 1, 32), '[^a-z]', '')) - length(RR(substr(b, 1, 32), '[^A-Z]', '')) - length(RR(substr(b, 33, 32), '[^a-z]', ''))) as score from ({_B64}) t")
 R.shared("o6_12_rank_orientations", f"select fen, turn, LONG(row_number() over (partition by fen order by score desc, turn)) as rank from (select fen, 0 as turn, length(RR(substr(b, 33, 32), '[^A-Z]', '')) as score from ({_B64}) t union all select fen, 180 as turn, length(RR(substr(b, 1, 32), '[^A-Z]', '')) as score from ({_B64}) u) v")
 _SQ = "select x, f.f || r.r as s from (values (1)) one(x) cross join (values ('a'),('b'),('c'),('d'),('e'),('f'),('g'),('h')) f(f) cross join (values ('1'),('2'),('3'),('4'),('5'),('6'),('7'),('8')) r(r)"
@@ -78,7 +75,7 @@ _one("o10_14_is_square_name", _values("x", "('e4')", "('i9')", "('a1')", "('')",
 
 # headers, dates, results
 _one("o1_11_year", HEADERS, "node_id", "header_year", "year", x="EX(x, '[[]Date \"([^\"]*)\"', 1)")
-_one("o9_14_normalize_pgn_date", _values("x", "('1999')", "('1999-3')", "('1999-03-07')", "('7.3.1999')", "('')", "('1999.03.07')", "('soon')"), "x", "pgn_date", "pgn")
+_one("o9_14_normalize_pgn_date", both("select distinct EX(text, '[[]Date \"([^\"]*)\"', 1) as x from @nodes where scope = 'headers' and text like '[%' union select x from (values ('1999'), ('1999-3'), ('1999-03-07'), ('7.3.1999'), (''), ('soon')) v(x)"), "x", "pgn_date", "pgn")
 _one("o9_15_normalize_pgn_result", both("select distinct result as x from @facets"), "x", "pgn_result", "result")
 _one("o9_16_extract_headers", HEADERS, "node_id", "header", "white", tag="'White'")
 _one("o15_21_header_by_name", HEADERS, "node_id", "header", "event", tag="'Event'")
@@ -92,7 +89,7 @@ R.pair("o15_22_headers_as_tuples", "select node_id, pos as i, pair from (select
 # comments, captions, marks
 for key, name, out in (("o1_43_split_move_commands", "commands", "commands"), ("o9_24_strip_annotations", "without_commands", "prose"), ("o1_44_escape_pgn_comment", "escaped_comment", "safe"), ("o9_27_find_diagram_marks", "diagram_marks", "marks"), ("o9_30_map_book_symbols", "book_symbols", "mapped")):
     _one(key, COMMENTS, "node_id", name, out)
-_CMD = _values("x", "('[%clk 0:10:00] good [%cal Ge2e4,Rd7d5] plan')", "('plain')", "('[%csl Gd4]')", "('a {b} [#] c')", "('')")
+_CMD = both("select distinct text as x from @nodes where scope in ('comments', 'captions') and text <> '' union select x from (values ('[%clk 0:10:00] good [%cal Ge2e4,Rd7d5] plan'), ('plain'), ('[%csl Gd4]'), ('a {b} [#] c'), ('')) v(x)")
 _one("o9_23_parse_annotations", _CMD, "x", "commands", "commands")
 R.shared("o9_25_format_annotations", f"select x, JOIN(ALL(x, '[[]%(?:cal|csl) [^]]*[]]'), ' ') as canonical from ({_CMD[0]}) t")
 R.shared("o9_26_apply_annotations", f"select x, trim({bind(TEMPLATES['without_commands'], x='x')} || ' [%csl Ge4]') as annotated from ({_CMD[0]}) t")
@@ -106,7 +103,6 @@ for key, name, out in (("o9_10_fingerprint", "fingerprint", "print"), ("o9_11_is
     _one(key, LINES, "span_id", name, out)
 R.pair("o9_44_tokenize", "select node_id, SIZE(" + TEMPLATES["word_tokens"].replace("{x}", "x") + f") as n from ({TEXTS[0]}) t", "select node_id, SIZE(" + TEMPLATES["word_tokens"].replace("{x}", "x") + f") as n from ({TEXTS[1]}) t")
 _one("o9_59_normalise_lang", LABELS, "x", "language_code", "code")
-_one("o2_18_snippet", TEXTS, "node_id", "snippet", "snippet", s="instr(x, ' the ')", n="120")
 _one("o2_17_locate", TEXTS, "node_id", "locate", "at", t="'Initiative'")
 _one("o2_47_match_context", TEXTS, "node_id", "snippet", "context", s="greatest(instr(x, '.') + 20, 1)", n="80")
 _one("o12_29_partition_for", both("select distinct STR(item_id) as x from @eval_items"), "x", "partition", "part")

@@ -56,4 +56,4 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.col("window.start").alias("start_at"), "event_type", "n")
 
 
-QUERIES = {"o13_13_progress_windows": (event_windows, "select date_trunc('hour', ts) as start_at, event_type, count(*) as n from @events group by 1, 2")}
+QUERIES = {"s2_17_event_windows": (event_windows, "select date_trunc('hour', ts) as start_at, event_type, count(*) as n from @events group by 1, 2")}
