@@ -198,7 +198,7 @@ def described(pages: str) -> Column:
 
 def page_range(text: str, count: str) -> Column:
     """Ranges from 1 as a sorted array of indices from 0 within the count; pieces that are no range or lie beyond are left out."""
-    pieces = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p.rlike(r"^\d+(-\d+)?$"))
+    pieces = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(-\d+)?$"))
     ends = lambda p: (F.regexp_extract(p, r"^(\d+)", 1).cast("int"), F.regexp_extract(p, r"(\d+)$", 1).cast("int"))
     one = lambda p: F.sequence(F.least(*ends(p)) - 1, F.greatest(*ends(p)) - 1)
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(pieces, one)), lambda i: (i >= 0) & (i < F.col(count)))))
