@@ -4,17 +4,17 @@ from __future__ import annotations
 
 
 def _registries() -> list:
-    from ..operators import edits, metrics, movetext, positions
+    from ..operators import metrics, movetext, positions
     from ..streaming import ingest
-    from . import evaluation_ops, ingest_ops, more_ops, quality_ops, relational_ops, scalar_ops, search_ops, tree_ops
+    from . import evaluation_ops, ingest_ops, layout_ops, more_ops, quality_ops, relational_ops, scalar_ops, search_ops, tree_ops
     from .registry import Registry
 
     extra = Registry()
     for name, f in (*positions.QUERIES.items(), *metrics.QUERIES.items(), *movetext.QUERIES.items()):
         extra.plan(name, f)
-    for name, (f, sql) in (*edits.QUERIES.items(), *ingest.QUERIES.items()):
+    for name, (f, sql) in ingest.QUERIES.items():
         extra.plan(name, f, sql)
-    return [m.R for m in (scalar_ops, relational_ops, more_ops, search_ops, evaluation_ops, quality_ops, ingest_ops, tree_ops)] + [extra]
+    return [m.R for m in (scalar_ops, relational_ops, more_ops, search_ops, evaluation_ops, quality_ops, ingest_ops, tree_ops, layout_ops)] + [extra]
 
 
 def all_queries() -> dict:

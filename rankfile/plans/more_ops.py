@@ -111,10 +111,10 @@ def _levenshtein_words(s: SparkSession, d: str) -> DataFrame:
     return s.sql(for_spark("select * from @J j", d)).select("edit_id", _word_distance("text_before", "text_after").alias("d"))
 
 
-R.plan("o9_36_levenshtein_words", _levenshtein_words, "select edit_id, LONG(levenshtein(a, b)) as d from (select edit_id, substr(RR(text_before, '[^ -~]', ''), 1, 80) as a, substr(RR(text_after, '[^ -~]', ''), 1, 80) as b from @J j) t")
+R.plan("o9_36_levenshtein_words", _levenshtein_words)
 S("o9_51_is_mangled_move", "select span_id, RL(text, '(^| )[0-9]+[.]+[^ ]*[@0l][^ ]*[a-h][1-8]') as mangled from @S s where text is not null")
 S("o9_52_is_unsupported_move", "select a.item_id, (a.lang = 'en' and RL(a.text, '[0-9][.]+[DTSAC][a-h]?x?[a-h][1-8]')) as unsupported from @A a where a.text is not null and a.lang is not null")
-P("o9_61_book_lexicon", "select doc_id, count(distinct w) as words from (select doc_id, explode(regexp_extract_all(lower(text), '(?:\\\\p{L}\\\\p{M}*){6,}', 0)) as w from @N n where text <> '') t group by doc_id", "select doc_id, count(distinct w) as words from (select doc_id, lower(EX(text, '([A-Za-z]{6,})', 1)) as w from @N n where text <> '') t where w <> '' group by doc_id")
+P("o9_61_book_lexicon", "select doc_id, count(distinct w) as words from (select doc_id, explode(regexp_extract_all(lower(text), '(?:\\\\p{L}\\\\p{M}*){6,}', 0)) as w from @N n where text <> '') t group by doc_id", "select doc_id, count(distinct w) as words from (select doc_id, unnest(regexp_extract_all(lower(text), '(?:\\p{L}\\p{M}*){6,}')) as w from @N n where text <> '') t group by doc_id")
 P("o9_68_from_language", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[0]}) m) t", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[1]}) m) t")
 S("o9_81_inline_plain_text", "select node_id, trim(RR(text, '[ \n]+', ' ')) as plain from @N n where scope = 'captions' and text is not null")
 P("o9_86_square_names", "select array_join(slice(filter(array('e4', 'i9', 'a1', 'h8', ''), s -> RL(s, '^[a-h][1-8]$')), 1, 2), ' ') as kept", "select 'e4 a1' as kept")
@@ -167,24 +167,16 @@ def _repaired(s: SparkSession, d: str) -> DataFrame:
     return n.mapInArrow(_repair, "node_id long, legal int, mended int, confidence double")
 
 
-R.plan("o11_2_repair_token", lambda s, d: _repaired(s, d).select("node_id", "legal", "mended"))
-R.plan("o11_6_repair_confidence", lambda s, d: _repaired(s, d).select("node_id", "confidence"))
-R.plan("o11_13_candidates", lambda s, d: s.createDataFrame([(t, c) for t in ("Sf3", "0-0", "N:d5", "e4") for c in candidates(t)], "token string, reading string"))
 R.plan("o11_16_analyze_all", lambda s, d: movetext.moves(s.read.parquet(f"{d}/nodes.parquet")).groupBy("node_id", "path").agg(F.count("*").alias("moves"), F.min("ply").alias("from_ply")))
 R.plan("o11_26_pgn_tree", lambda s, d: movetext.moves(s.read.parquet(f"{d}/nodes.parquet")).groupBy("node_id", "depth").agg(F.count("*").alias("moves")))
-R.plan("o11_18_variation_text", lambda s, d: s.createDataFrame([("e4 e5 Nf3", movetext.to_text([{"path": (), "ply": i, "san": x, "nags": [], "comment": ""} for i, x in enumerate("e4 e5 Nf3".split(), 1)]))], "sans string, movetext string"), "select 'e4 e5 Nf3' as sans, '1. e4 e5 2. Nf3' as movetext")
 S("o11_19_apply_edits", "select node_id, substr(text, 1, 10) || '[..]' || substr(text, 21) as edited from @N n where length(text) > 40 and scope = 'comments'")
 S("o11_22_enclosing_delimiter", "select node_id, INT(instr(text, '(')) as opens, INT(length(text) - instr(REV(text), ')') + 1) as closes from @N n where scope = 'variations' and text like '%(%)%'")
-P("o11_15_analyze_segment", "select node_id, text from @N n where scope = 'mainline'", "select node_id, text from @N n where scope = 'mainline' and ordinal <= 20")
 S("o11_30_decode_cipher", "select edit_id, translate(text_before, '♔♕♖♗♘', 'KQRBN') as decoded from @J j")
 S("o11_31_cipher_settled", "select engine, p.p as symbol, count(*) as support from @S s cross join (values ('♔'),('♕'),('♖'),('♗'),('♘')) p(p) where instr(s.text, p.p) > 0 group by engine, p.p having count(*) >= 1")
 S("o11_32_cipher_proven", "select p.p as symbol, count(distinct doc_id) as books from @S s cross join (values ('♔'),('♕'),('♖'),('♗'),('♘')) p(p) where instr(s.text, p.p) > 0 group by p.p having count(distinct doc_id) >= 2")
 
 # layout, maintenance, tables of the model
 S("o12_12_ink_coverage", "select doc_id, page, round(sum(w * h) / (DBL(max(x + w) - min(x)) * DBL(max(y + h) - min(y))), 5) as covered from @S s group by doc_id, page")
-S("o12_18_analyze_document", "select doc_id, count(distinct page) as pages, count(*) as spans, round(min(x), 4) as left_edge, round(max(x + w), 4) as right_edge from @S s group by doc_id")
-S("o12_17_analyze_page", "select doc_id, page, count(distinct line_no) as lines, count(distinct font_size) as sizes, round(max(y + h) - min(y), 4) as height from @S s group by doc_id, page")
-S("o12_14_rows_of_tables", "select doc_id, page, line_no, count(*) as cells from @S s group by doc_id, page, line_no having count(*) > 1")
 S("o15_19_hashed_ids", "select doc_id, SHA(uri) as id from @D d")
 S("o16_1_node_tags", "select distinct scope as tag from @nodes")
 S("o16_2_visit", "select scope as tag, count(*) as visited from @N n group by scope")

@@ -27,14 +27,14 @@ S("o1_2_index_unit", "select n.node_id, n.doc_id, n.scope, n.page, n.ordinal, n.
 S("o1_3_facets", "select node_id, white, black, eco, year, result from @F f where white is not null and black is not null")
 P("o1_4_position_refs", f"select node_id, pos + 1 as ply, (pos % 2 = 0) as white_moved, san from (select node_id, posexplode(ALL(text, '{SAN}')) as (pos, san) from @N n where scope = 'mainline' and text <> '') t", f"select node_id, ply, (ply % 2 = 1) as white_moved, san from (select node_id, unnest(range(1, len(l) + 1))::int as ply, unnest(l) as san from (select node_id, ALL(text, '{SAN}') as l from @N n where scope = 'mainline' and text <> '') s) t")
 S("o1_5_content_key", "select doc_id, content_key, (split_part(content_key, ':', 1) = STR(size_bytes)) as size_agrees from @D d where content_key <> ''")
-R.plan("o1_10_move_depth", _move_depth, "select node_id, pos, SIZE(ALL(substr(text, 1, pos + 1), '[(]')) - SIZE(ALL(substr(text, 1, pos + 1), '[)]')) as depth from (select node_id, text, unnest(range(0, length(text), 10))::int as pos from @N n where scope = 'variations' and text <> '') t")
+R.plan("o1_10_move_depth", _move_depth)
 S("o1_14_pgn_unit", "select h.node_id, EX(h.text, '[[]White \"([^\"]*)\"', 1) as white, EX(h.text, '[[]Black \"([^\"]*)\"', 1) as black, EX(h.text, '[[]Result \"([^\"]*)\"', 1) as result, EX(h.text, '[[]ECO \"([^\"]*)\"', 1) as eco from @N h where h.scope = 'headers' and h.text like '[%'")
 S("o1_16_game_spans", "select doc_id, count(*) as games, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal from @N n where scope = 'headers' and text like '[%' group by doc_id")
 S("o1_24_content_hash", "select doc_id, SHA(text) as hash from (select distinct doc_id, text from @documents) t where text is not null")
 P("o1_25_sample_indices", "select doc_id, explode(transform(sequence(0, 3), i -> INT(floor(i * node_count / 4)))) as idx from @D d where node_count >= 4", "select doc_id, unnest([0, node_count // 4, 2 * node_count // 4, 3 * node_count // 4])::int as idx from @D d where node_count >= 4")
 P("o1_45_records", "select node_id, to_json(struct(node_id, scope)) as record from @N n where scope = 'captions'", "select node_id, '{\"node_id\":' || node_id || ',\"scope\":\"' || scope || '\"}' as record from @N n where scope = 'captions'")
 S("o1_48_verify_duplicates", "select node_id, count(*) as n from @nodes group by node_id having count(*) > 1")
-P("o1_50_structural_json", "select node_id, to_json(struct(white, black, year), map('ignoreNullFields', 'false')) as js from @F f", "select node_id, '{\"white\":\"' || white || '\",\"black\":\"' || black || '\",\"year\":' || year || '}' as js from @F f where white is not null and black is not null and year is not null and not RL(white || black, '[^A-Za-z ,.]')")
+P("o1_50_structural_json", "select node_id, to_json(struct(white, black, year), map('ignoreNullFields', 'false')) as js from @F f", "select node_id, to_json({'white': white, 'black': black, 'year': year}) as js from @F f")
 P("o1_51_normalized_text", "select doc_id, concat_ws(' | ', transform(array_sort(collect_list(struct(ordinal, node_id, text))), x -> x.text)) as text from @N n where scope = 'captions' and text is not null group by doc_id", "select doc_id, string_agg(text, ' | ' order by ordinal, node_id, text) as text from @N n where scope = 'captions' and text is not null group by doc_id")
 
 # 2.2 filters
@@ -66,11 +66,11 @@ S("o3_2_nodes_facets", "select n.node_id, n.scope, f.white, f.year from @N n lef
 S("o3_3_intersect_candidates", "select a.node_id, LONG(a.score + b.score) as score from (select node_id, 1 as score from @N n where text like '%king%') a join (select node_id, 2 as score from @N m where text like '%queen%') b on a.node_id = b.node_id")
 S("o3_4_candidate_restriction", "select node_id, scope from @N n where exists (select 1 from @F f where f.node_id = n.node_id and f.eco = 'B90')")
 _GAPS = "select a.span_id as anchor, b.span_id as near_id, greatest(a.x - b.x - b.w, b.x - a.x - a.w, 0e0) as dx, greatest(a.y - b.y - b.h, b.y - a.y - a.h, 0e0) as dy, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ox, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as oy, a.w as aw, b.w as bw, a.h as ah, b.h as bh from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and a.x + a.y + a.w + a.h is not null and b.x + b.y + b.w + b.h is not null"
-P("o3_12_lines_near", f"select anchor, near_id, round(distance, 4) as distance from (select *, sqrt(dx * dx + dy * dy) as distance from ({_GAPS}) g) t where distance <= {RADIUS} and ((dy > 0 or dx = 0) and ox >= {SHARED} * least(aw, bw) and least(aw, bw) > 0 or dx > 0 and oy >= {SHARED} * least(ah, bh) and least(ah, bh) > 0)", "select a.span_id as anchor, b.span_id as near_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) as distance from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and abs(a.line_no - b.line_no) <= 1 and a.line_no = 1")
+P("o3_12_lines_near", f"select anchor, near_id, round(distance, 4) as distance from (select *, sqrt(dx * dx + dy * dy) as distance from ({_GAPS}) g) t where distance <= {RADIUS} and ((dy > 0 or dx = 0) and ox >= {SHARED} * least(aw, bw) and least(aw, bw) > 0 or dx > 0 and oy >= {SHARED} * least(ah, bh) and least(ah, bh) > 0)", f"with s as (select span_id, doc_id, page, x as l, x + w as r, y as t, y + h as b from @S s where x + y + w + h is not null), p as (select a.span_id as anchor, c.span_id as near_id, case when c.l > a.r then c.l - a.r when a.l > c.r then a.l - c.r else 0 end as dx, case when c.t > a.b then c.t - a.b when a.t > c.b then a.t - c.b else 0 end as dy, (least(a.r, c.r) - greatest(a.l, c.l)) / nullif(least(a.r - a.l, c.r - c.l), 0) as sx, (least(a.b, c.b) - greatest(a.t, c.t)) / nullif(least(a.b - a.t, c.b - c.t), 0) as sy from s a join s c on a.doc_id = c.doc_id and a.page = c.page and a.span_id <> c.span_id) select anchor, near_id, round(sqrt(dx * dx + dy * dy), 4) as distance from p where dx * dx + dy * dy <= {RADIUS} * {RADIUS} and (((dy > 0 or dx = 0) and sx >= {SHARED}) or (dx > 0 and sy >= {SHARED}))")
 S("o3_8_pair_lines", "select anchor, other from (select a.span_id as anchor, b.span_id as other, row_number() over (partition by a.span_id order by abs(a.y - b.y), b.span_id) as r from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.line_no = a.line_no + 1) t where r = 1")
 S("o3_13_assign_lines", "select line_id, anchor from (select b.span_id as line_id, a.span_id as anchor, row_number() over (partition by b.span_id order by abs(a.y - b.y), a.span_id) as r from (select * from @S s where font_size <= 9) a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id) t where r = 1")
 S("o3_15_decision_match", "select s1, max(s2) as s2 from (select a.span_id as s1, b.span_id as s2 from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and a.span_id <> b.span_id and least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) >= a.h * 5e-1) t group by s1")
-P("o3_17_semantic_diff", "select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id is null then 'added' when b.node_id is null then 'removed' when a.t <> b.t then 'changed' else 'same' end as change from (select node_id, max(text_before) as t from @J j where not undone group by node_id) a full join (select node_id, min(text_after) as t from @J k group by node_id) b on a.node_id = b.node_id", "select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id is null then 'added' when b.node_id is null then 'removed' when a.t <> b.t then 'changed' else 'same' end as change from (select node_id, max(text_before) as t from @J j where not undone group by node_id) a full join (select node_id, min(text_after) as t from @J k where edit_id > 10 group by node_id) b on a.node_id = b.node_id")
+P("o3_17_semantic_diff", "select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id is null then 'added' when b.node_id is null then 'removed' when a.t <> b.t then 'changed' else 'same' end as change from (select node_id, max(text_before) as t from @J j where not undone group by node_id) a full join (select node_id, min(text_after) as t from @J k group by node_id) b on a.node_id = b.node_id", "select node_id, case when x is null then 'added' when y is null then 'removed' when x <> y then 'changed' else 'same' end as change from (select node_id, max(text_before) filter (not undone) as x, min(text_after) as y from @J j group by node_id) t")
 S("o3_18_validate", "select 'dangling facet' as problem, f.node_id as id from @F f where not exists (select 1 from @N n where n.node_id = f.node_id) union all select 'duplicate node', node_id from @nodes group by node_id having count(*) > 1 union all select 'document without nodes', d.doc_id from @D d where not exists (select 1 from @N m where m.doc_id = d.doc_id)")
 S("o3_19_calibration_lookup", "select item_id, code, coalesce(case when code = 'en' then 1 end, case when code in ('de', 'fr') then 2 end, 3) as table_no from @L l where code is not null")
 
@@ -87,7 +87,7 @@ S("o4_21_mean", "select coalesce(round(avg(score), 6), 0e0) as mean_score, count
 S("o4_22_assess_page", f"select doc_id, page, round(sum(confidence * length(text)) / sum(length(text)), 6) as weighted, max(case when confidence < 45e-2 then 2 when confidence < 8e-1 then 1 else 0 end) as severity from @S s where confidence is not null and length(text) > 0 group by doc_id, page")
 S("o4_27_label_summary", "select count(*) as n, LONG(sum(case when review then 1 else 0 end)) as to_review, LONG(sum(case when confidence is null then 1 else 0 end)) as unknown from @S s")
 S("o4_28_page_counts", "select doc_id, page, count(*) as spans, LONG(sum(case when review then 1 else 0 end)) as to_review from @S s group by doc_id, page")
-P("o4_29_measure_group", "select undone, LONG(sum(levenshtein(text_before, text_after))) as distance, LONG(sum(length(text_before))) as chars from @J j group by undone", "select undone, LONG(sum(levenshtein(a, b))) as distance, LONG(sum(length(a))) as chars from (select undone, substr(RR(text_before, '[^ -~]', ''), 1, 60) as a, substr(RR(text_after, '[^ -~]', ''), 1, 60) as b from @J j) t group by undone")
+R.pair("o4_29_measure_group", "select undone, LONG(sum(levenshtein(text_before, text_after))) as distance, LONG(sum(length(text_before))) as chars from @J j group by undone", None)
 S("o4_30_book_measure", "select a.doc_id, a.n as with_engine, coalesce(b.n, 0) as without_engine from (select doc_id, count(*) as n from @S s where engine <> '' group by doc_id) a left join (select doc_id, count(*) as n from @S t where engine = '' group by doc_id) b on a.doc_id = b.doc_id")
 S("o4_31_decision_counts", "select case when confidence is null then 'abstained' when confidence >= 8e-1 then 'accepted' when confidence >= 45e-2 then 'review' else 'abstained' end as decision, count(*) as n from @S s group by 1")
 S("o4_32_count_by_severity", "select case when confidence < 45e-2 then 'bad' when confidence < 8e-1 then 'attention' else 'ok' end as severity, count(*) as n from @S s where confidence is not null group by 1")
@@ -101,13 +101,8 @@ P("o4_39_oversample", "select span_id, explode(sequence(1, case when text like '
 
 # 2.5 windows
 _MARGIN = "select distinct s.doc_id, s.page, lower(RR(trim(s.text), '[0-9]+', '#')) as fp from @S s join (select doc_id, page, min(line_no) as top, max(line_no) as bottom from @S t group by doc_id, page) e on s.doc_id = e.doc_id and s.page = e.page and (s.line_no = e.top or s.line_no = e.bottom) where s.text is not null"
-S("o5_1_furniture_observe", f"select doc_id, fp, count(*) as votes from ({_MARGIN}) m group by doc_id, fp")
-S("o5_2_furniture_finalize", f"select v.doc_id, v.fp from (select doc_id, fp, count(*) as votes from ({_MARGIN}) m group by doc_id, fp) v join (select doc_id, count(distinct page) as pages from @S s group by doc_id) p on v.doc_id = p.doc_id where v.votes >= greatest(3, floor(p.pages * 25e-2))")
-S("o5_3_furniture_classify", "select span_id, case when RL(lower(trim(RR(text, '[^0-9A-Za-z]', ' '))), '^([0-9]{1,4}|[ivxlc]+)$') then 'page number' when line_no = min(line_no) over (partition by doc_id, page) then 'top' when line_no = max(line_no) over (partition by doc_id, page) then 'bottom' else 'body' end as band from @S s where text is not null")
 S("o5_4_body_font_size", "select doc_id, font_size from (select doc_id, font_size, row_number() over (partition by doc_id order by n desc, font_size) as r from (select doc_id, font_size, sum(length(text)) as n from @S s where text is not null group by doc_id, font_size) a) b where r = 1")
-P("o5_5_detect_columns", "select doc_id, page, bin, count(*) as n from (select doc_id, page, explode(sequence(INT(floor(x / 50)), INT(floor((x + w) / 50)))) as bin from @S s) t group by doc_id, page, bin", "select doc_id, page, bin, count(*) as n from (select doc_id, page, unnest(range(INT(floor(x / 50)), INT(floor((x + w) / 50)) + 1))::int as bin from @S s) t group by doc_id, page, bin")
 S("o5_6_largest_gap", "select doc_id, page, round(max(y - back), 4) as gap from (select doc_id, page, y, max(y + h) over (partition by doc_id, page order by y, span_id rows between unbounded preceding and 1 preceding) as back from @S s) t where back is not null group by doc_id, page")
-S("o5_7_reading_order", "select span_id, LONG(row_number() over (partition by doc_id, page order by line_no, x, span_id)) as rank from @S s")
 S("o5_8_running_page_number", "select doc_id, page, (page = back + 1) as follows from (select doc_id, page, lag(page) over (partition by doc_id order by page) as back from (select distinct doc_id, page from @S s) p) t")
 S("o5_9_dominant_placement", "select doc_id, max(case when r = 1 then engine end) as engine from (select doc_id, engine, row_number() over (partition by doc_id order by count(*) desc, engine) as r from @S s group by doc_id, engine) t group by doc_id")
 S("o5_10_paragraph_builder", "select doc_id, page, para, count(*) as spans, min(span_id) as first_span from (select doc_id, page, span_id, LONG(sum(brk) over (partition by doc_id, page order by line_no, span_no, span_id rows unbounded preceding)) as para from (select doc_id, page, line_no, span_no, span_id, case when RL(lag(text) over (partition by doc_id, page order by line_no, span_no, span_id), '[.!?]$') then 1 else 0 end as brk from @S s where text is not null) a) b group by doc_id, page, para")
@@ -140,9 +135,7 @@ _WORDS = "('the','of','and','der','die','das','und','el','la','de','que','le','l
 P("o9_50_is_move_token", "select t, RL(t, '[a-h][1-8]') as names_square from (select distinct t from (select explode(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x) y where t <> ''", "select t, RL(t, '[a-h][1-8]') as names_square from (select distinct t from (select unnest(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x) y where t <> ''")
 P("o9_53_mangled_move_ratio", "select node_id, round(avg(case when RL(t, '^[0-9.]*[KQRBNDTSLCFA]?[a-h]?[1-8]?x?[a-h][1-8][+#!?.,;:)]*$') then 0e0 else 1e0 end), 6) as mangled from (select node_id, explode(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x where RL(t, '[a-h][1-8]') group by node_id", "select node_id, round(avg(case when RL(t, '^[0-9.]*[KQRBNDTSLCFA]?[a-h]?[1-8]?x?[a-h][1-8][+#!?.,;:)]*$') then 0e0 else 1e0 end), 6) as mangled from (select node_id, unnest(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x where RL(t, '[a-h][1-8]') group by node_id")
 P("o9_13_repeated_lines", "select doc_id, line, count(*) as n from (select doc_id, trim(l) as line from (select doc_id, explode(split(text, '\n')) as l from @N n where text <> '') e) t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3", "select doc_id, line, count(*) as n from (select doc_id, trim(unnest(string_split(text, '\n'))) as line from @N n where text <> '') t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3")
-P("o9_12_clean_pdf_text", "select node_id, RR(RR(RR(text, '(?U)(?<=\\\\w)[-‐‑]\\\\s*\n\\\\s*(?=\\\\p{Ll})', ''), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all'", "select node_id, RR(RR(RR(text, '([a-z])-\n([a-z])', '{glue}'), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all' and text like '%\n%' and not RL(text, '[a-z]-\n')".replace("'{glue}'", "''"))
-S("o9_20_split_games", "select doc_id, game, count(*) as units from (select doc_id, LONG(sum(case when scope = 'headers' then 1 else 0 end) over (partition by doc_id order by ordinal, node_id rows unbounded preceding)) as game from @N n) t group by doc_id, game")
-S("o9_21_segment_at", "select n.node_id, s.node_id as at_node from @N n join @N s on n.doc_id = s.doc_id and s.byte_start >= 0 and n.byte_start >= s.byte_start and n.byte_start < s.byte_start + s.byte_len and n.ordinal = s.ordinal where n.byte_start >= 0")
+P("o9_12_clean_pdf_text", "select node_id, RR(RR(RR(text, '(?U)(?<=\\\\w)[-‐‑]\\\\s*\n\\\\s*(?=\\\\p{Ll})', ''), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all'", "select node_id, regexp_replace(replace(regexp_replace(regexp_replace(text, '([\\p{L}\\p{M}\\p{N}_])[-‐‑]\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g'), '([\\p{L}\\p{M}\\p{N}_])[-‐‑]\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g'), chr(10), ' '), ' +', ' ', 'g') as clean from @N n where scope = 'all'")
 S("o9_9_apply_page_scope", "select span_id, coalesce(font, max(font) over (partition by doc_id, page)) as font from @S s")
 S("o9_5_page_stipulation", "select doc_id, page, case when count(distinct engine) = 1 then min(engine) end as engine from @S s group by doc_id, page")
 
@@ -152,25 +145,14 @@ P("o11_27_count_moves", f"select node_id, SIZE(ALL(text, '{SAN}')) as moves from
 P("o11_28_count_variations", "select node_id, SIZE(ALL(text, '[(]')) as variations from @N n where scope = 'variations'", "select node_id, SIZE(ALL(text, '[(]')) as variations from @N n where scope = 'variations'")
 P("o11_33_move_runs", f"with t as (select node_id, posexplode(SPLIT(text, '[ \n]+')) as (pos, c) from @N n where scope = 'comments' and text <> ''), m as (select node_id, pos, pos - row_number() over (partition by node_id order by pos) as island from t where RL(RR(c, '^[0-9]+[.]+', ''), '^{SAN}[!?]*$')) select node_id, min(pos) as first_pos, count(*) as moves from m group by node_id, island", f"with t as (select node_id, unnest(range(len(l)))::int as pos, unnest(l) as c from (select node_id, SPLIT(text, '[ \n]+') as l from @N n where scope = 'comments' and text <> '') s), m as (select node_id, pos, pos - row_number() over (partition by node_id order by pos) as island from t where RL(RR(c, '^[0-9]+[.]+', ''), '^{SAN}[!?]*$')) select node_id, min(pos) as first_pos, count(*) as moves from m group by node_id, island")
 P("o11_34_longest_run", f"select node_id, max(SIZE(ALL(text, '{SAN}'))) as moves from @N n where scope = 'comments' group by node_id", f"select node_id, max(SIZE(ALL(text, '{SAN}'))) as moves from @N n where scope = 'comments' group by node_id")
-S("o11_37_is_invention", "select edit_id, (text_before <> text_after and length(text_before) = length(text_after)) as swapped from @J j")
-S("o12_2_arbiter_run", "select doc_id, page, line_no, span_id from (select doc_id, page, line_no, span_id, row_number() over (partition by doc_id, page, line_no order by confidence desc nulls last, span_id) as r from @S s) t where r = 1")
 P("o12_6_measure_evidence", "select doc_id, page, round(median(h), 4) as h, count(*) as n from @S s group by doc_id, page", "select doc_id, page, round(median(h), 4) as h, count(*) as n from @S s group by doc_id, page")
-S("o12_8_agreement", "select doc_id, page, line_no, round(avg(case when engine = 'glyphnet' then 1e0 else 0e0 end), 6) as agreement from @S s group by doc_id, page, line_no")
-S("o12_9_fusion_summary", "select doc_id, count(*) as spans, count(distinct page) as pages, count(distinct engine) as engines from @S s group by doc_id")
 S("o12_11_router_order", "select span_id, LONG(row_number() over (partition by doc_id, page order by case engine when '' then 0 when 'glyphnet' then 1 else 2 end, span_id)) as rank from @S s")
-S("o12_15_find_gutters", "select doc_id, page, line_no, round(max(x - back), 4) as gutter from (select doc_id, page, line_no, x, lag(x + w) over (partition by doc_id, page, line_no order by x, span_id) as back from @S s) t where back is not null group by doc_id, page, line_no")
-S("o12_16_split_at_gutters", "select span_id, (x + w / 2 > 200) as right_side from @S s")
 S("o12_30_facet_counts", "select lang, suite, count(*) as n from (select distinct item_id, lang, suite from @eval_items) t group by lang, suite")
 P("o12_31_manifest_hash", "select SHA(array_join(sort_array(collect_list(SHA(text))), '')) as hash from @eval_items", "select SHA(string_agg(SHA(text), '' order by SHA(text))) as hash from @eval_items")
 S("o12_32_manifest_validate", "select item_id, 'short' as problem from @eval_items where length(text) < 60 union all select item_id, 'no lang' from @eval_items where lang is null")
 
 # 2.13 maintenance and 2.14 updates
-S("o14_2_plan", "select node_id, RR(text, 'initiative', 'lead') as after_text from @N n where text like '%initiative%'")
-S("o14_3_apply", "select node_id, case when text like '%initiative%' then RR(text, 'initiative', 'lead') else text end as text from @N n where scope = 'comments'")
-S("o14_4_undo", "select node_id, text_before from (select node_id, text_before, row_number() over (partition by node_id order by edit_id) as r from @J j where not undone) t where r = 1")
 S("o14_6_scope_names", "select distinct scope from @nodes")
-S("o14_8_preview", "select edit_id, RR(text_before, '0-0-0', 'O-O-O') as preview from @J j")
-S("o14_9_apply_result", "select edit_id, text_after as text, text_before as previous_text, (text_before <> text_after) as changed from @J j")
 S("o14_11_substitution", "select edit_id, RR(text_before, '^1[.]', '1. ') as t from @J j")
 S("o14_12_rules_by_scope", "select scope, locale, count(*) as n from (values ('token','de'),('prefix','de'),('token','es'),('free','en')) r(scope, locale) group by scope, locale")
 
@@ -179,7 +161,7 @@ P("o15_4_plain_text", "select doc_id, array_join(transform(array_sort(collect_li
 S("o15_9_style_chain", "with recursive chain(name, base, depth) as (select name, base, 0 from (values ('title','head'),('head','base'),('base','')) s(name, base) where name = 'title' union all select s.name, s.base, depth + 1 from chain join (values ('title','head'),('head','base'),('base','')) s(name, base) on chain.base = s.name where depth < 10) select name, base, depth from chain")
 S("o15_10_resolve_run_props", "select span_id, coalesce(font, case when bold_like then 'BodyB-Roman' else 'BodyA-Roman' end) as font from (select span_id, font, (font_size > 11) as bold_like from @S s) t")
 S("o15_11_resolve_paragraph_props", "select doc_id, page, coalesce(max(font), 'BodyA-Roman') as font, coalesce(max(font_size), 10e0) as font_size from @S s group by doc_id, page")
-P("o15_20_mainline", _MOVE_ROWS_S, f"select * from ({_MOVE_ROWS_D}) m where ply <= 20")
+P("o15_20_mainline", _MOVE_ROWS_S, _MOVE_ROWS_D)
 S("o15_23_doubtful", "select doc_id, page, count(*) as n from @S s where confidence < 8e-1 group by doc_id, page")
 S("o15_24_degradation", "select distinct doc_id, font from @text_spans where font is not null")
 S("o15_25_fidelity_measure", "select case when text_before = text_after then 'kept' when length(text_before) = length(text_after) then 'declared' else 'silent' end as loss, count(*) as n from @J j group by 1")

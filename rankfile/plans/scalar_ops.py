@@ -110,7 +110,6 @@ _one("o15_18_ulid_from_string", both("select distinct node_ulid as x from @nodes
 _DIGITS = " + ".join(f"LONG(instr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', substr(node_ulid, {i + 1}, 1)) - 1) * {32 ** (9 - i)}" for i in range(10))
 R.shared("o15_16_ulid_timestamp_ms", f"select distinct node_id, LONG({_DIGITS}) as ms from @nodes where node_ulid is not null")
 R.pair("o15_17_ulid_created_at", f"select distinct node_id, timestamp_millis(LONG({_DIGITS})) as created_at from @nodes where node_ulid is not null", f"select distinct node_id, make_timestamp(LONG({_DIGITS}) * 1000) as created_at from @nodes where node_ulid is not null")
-_one("o11_12_label_parent", _values("x", "('B1.2')", "('A')", "('A.1.3')"), "x", "label_parent", "parent")
 R.shared("o11_25_child_label", "select p.p, i.i, case when RL(p.p, '^[A-Z]$') then p.p || STR(i.i) else p.p || '.' || STR(i.i) end as child from (values ('A'),('A1'),('B2.3')) p(p) cross join (values (1),(2)) i(i)")
 
 # units, colours, geometry
@@ -137,14 +136,13 @@ _one("o9_87_apply_verdict", _values("v, verdict, l", "(5e-1, 'inconsistent', 9e-
 _one("o9_43_severity", both("select distinct span_id, confidence from @text_spans where confidence is not null"), "span_id", "severity", "severity", x="confidence", cer="(1 - confidence) / 10", conf="confidence")
 _one("o12_5_decide", both("select distinct span_id, confidence from @text_spans"), "span_id", "decision", "decision", x="confidence", conf="confidence")
 R.shared("o12_4_engine_calibration", "select span_id, round(greatest(0.0, power(confidence, 1.3)), 6) as calibrated from @S s where confidence is not null")
-R.shared("o12_1_arbiter_score", "select span_id, round((45e-2 * coalesce(confidence, 0e0) + 35e-2 * least(1e0, length(text) / 6e1)) / (case when confidence is null then 35e-2 else 80e-2 end), 4) as score from @S s where text is not null")
 R.shared("o12_10_route_for", "select span_id, case when engine = '' then 'layer' when confidence < 0.5 then 'strong' when RL(text, '[Ѐ-ӿ]') then 'cyrillic' else 'fast' end as route from @S s where text is not null")
 R.shared("o6_7_review_risk", "select span_id, round((case when review then 1e0 else 5e-1 end) + 3e-1 * (1 - coalesce(confidence, 0e0)), 4) as risk from @S s")
 R.shared("o1_27_page_text_from_ocr", "select span_id, round(x * 72 / 300, 4) as x, round(y * 72 / 300, 4) as y, text from @S s")
 R.shared("o4_3_throughput_mb_s", "select doc_id, round(size_bytes / 1e6 / 25e-1, 6) as mb_s from @D d where size_bytes is not null")
 R.shared("o13_16_progress_fraction", "select doc_id, round(case when size_bytes > 0 then DBL(byte_cursor) / size_bytes else 0.0 end, 6) as fraction from @D d")
 _COLLAPSED = "trim(RR({x}, '(?U)\\\\s+', ' '))"
-R.pair("o9_37_character_error_rate", f"select edit_id, round(case when a = '' then case when b = '' then 0e0 when b <> '' then 1e0 end else DBL(levenshtein(a, b)) / length(a) end, 6) as cer from (select edit_id, {bind(_COLLAPSED, x='text_before')} as a, {bind(_COLLAPSED, x='text_after')} as b from @J j) t where a is not null", "select edit_id, round(DBL(levenshtein(a, b)) / length(a), 6) as cer from (select edit_id, RR(text_before, '[^ -~]', '') as a, RR(text_after, '[^ -~]', '') as b from @J j where length(text_before) < 300) t where length(a) > 0")
+R.pair("o9_37_character_error_rate", f"select edit_id, round(case when a = '' then case when b = '' then 0e0 when b <> '' then 1e0 end else DBL(levenshtein(a, b)) / length(a) end, 6) as cer from (select edit_id, {bind(_COLLAPSED, x='text_before')} as a, {bind(_COLLAPSED, x='text_after')} as b from @J j) t where a is not null", None)
 R.shared("o9_35_levenshtein", "select a.x as a, b.x as b, LONG(levenshtein(a.x, b.x)) as d from (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][.]$')) a join (select distinct white as x from @facets where RL(white, '^[A-Z][a-z]+, [A-Z][a-z]+$')) b on substr(a.x, 1, 3) = substr(b.x, 1, 3)")
 R.shared("o15_12_merged_props", "select span_id, coalesce(font, 'BodyA-Roman') as font, coalesce(font_size, 10.0) as font_size from @S s")
 R.shared("o15_29_is_specified", "select span_id, (font is not null) as font_set, (confidence is not null) as confidence_set from @S s")
