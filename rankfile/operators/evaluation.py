@@ -178,12 +178,13 @@ def isotonic(df: DataFrame, raw: str, correct: str, *by: str, least: int = LEAST
 
 def interpolated(df: DataFrame, raw: str, knots: DataFrame, *by: str) -> DataFrame:
     """df with `calibrated`: raw by the line between the knots around it, flat beyond the ends; raw itself without knots."""
-    k = knots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))  # a few knots a group
+    k = knots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_knots"))  # a few knots a group
     d = df.join(F.broadcast(k), list(by), "left") if by else df.crossJoin(F.broadcast(k))
-    low, high = F.filter("k", lambda p: p["x"] <= F.col(raw)), F.filter("k", lambda p: p["x"] > F.col(raw))
+    low, high = F.filter("_knots", lambda p: p["x"] <= F.col(raw)), F.filter("_knots", lambda p: p["x"] > F.col(raw))
     a, b = F.try_element_at(low, F.lit(-1)), F.try_element_at(high, F.lit(1))
     line = a["y"] + (F.col(raw) - a["x"]) / (b["x"] - a["x"]) * (b["y"] - a["y"])
-    return d.withColumn("calibrated", F.when(F.col("k").isNull() | (F.size("k") == 0), F.col(raw)).otherwise(F.coalesce(line, a["y"], b["y"]))).drop("k")
+    none = F.col("_knots").isNull() | (F.size("_knots") == 0)
+    return d.withColumn("calibrated", F.when(none, F.col(raw)).otherwise(F.coalesce(line, a["y"], b["y"]))).drop("_knots")
 
 
 def iou(a: str, b: str) -> Column:
@@ -199,7 +200,7 @@ def best_matches(pairs: DataFrame, left: str, right: str, score: str) -> DataFra
     free, taken = written(pairs.select(left, right, score), "match"), None
     while not free.isEmpty():
         at = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy(F.desc(score), left, right)).alias(o)
-        best = written(free.select("*", at(left, "a"), at(right, "b")).where("a = 1 and b = 1").select(left, right, score), "match")
+        best = written(free.select("*", at(left, "_l"), at(right, "_r")).where("_l = 1 and _r = 1").select(left, right, score), "match")
         taken = best if taken is None else taken.unionByName(best)
         free = written(free.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"), "match")
     return taken if taken is not None else free
