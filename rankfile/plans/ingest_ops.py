@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as c
-from ..operators.index import drop
 from ..operators.ordered import ranked
-from ..session import shared_dir, written
+from ..session import fresh, written
 from ..streaming.background import Background
 from .registry import Registry
 
@@ -71,9 +68,7 @@ R.plan("o13_13_progress", lambda s, d: c.progress(_round(s, d, BUDGET)[0], _docs
 
 def _background(s: SparkSession, d: str, what: str) -> DataFrame:
     """Documents put in a watched folder in two portions, drained after each."""
-    folder = f"{shared_dir(s)}/background-{what}-{s.sparkContext.applicationId}-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
-    drop(s, folder)
-    b = Background(s, folder)
+    b = Background(s, fresh(s, "background"))
     docs = _docs(s, d).withColumn("kind", F.lit("text")).withColumn("indexed_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     queued = b.enqueue(docs.where("lang is not null"))
     if what == "enqueue":

@@ -18,7 +18,7 @@ from ..operators import movetext
 from ..operators.graph import components
 from ..operators.metrics import edit_distance, lcs_length
 from ..operators.tokens import _CORE, _SAN
-from ..session import shared_dir
+from ..session import fresh
 from ..sources.pgn import PgnSource
 from .registry import FENS, MOVES, TEXTS, TOKENS, WORDS, Registry, for_spark
 
@@ -33,7 +33,7 @@ S("o1_49_book_pgn", "select h.doc_id, h.node_id, h.text || chr(10) || chr(10) ||
 
 def _pgn_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games written as a file in the shared folder and read back by the data source."""
-    path = f"{shared_dir(spark)}/games-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = fresh(spark, "games")
     spark.sql(for_spark("select h.text || chr(10) || chr(10) || m.text || chr(10) as value from @N h join @N m on h.doc_id = m.doc_id and m.ordinal = h.ordinal + 1 and m.scope = 'mainline' where h.scope = 'headers' and h.text like '[%' and m.text <> ''", sf_dir)).write.mode("overwrite").text(path)
     spark.dataSource.register(PgnSource)
     return spark.read.format("pgn").load(path.removeprefix("file://") + "/part-*").select("white", "black", "eco", "year", "result", F.length("movetext").alias("chars"))

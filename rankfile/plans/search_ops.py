@@ -12,7 +12,7 @@ from ..operators.positions import any_of, find_position, hash_number
 from ..operators.predicates import MaterialSignature, MoveQuery, PositionPattern, annotation, compiled, move_glob, rank_squares, squares
 from ..operators.search import Query, bm25, encoded, matching, parse_boolean, search, split_query, with_snippets
 from ..operators.tokens import TOKENS, tokens
-from ..session import shared_dir
+from ..session import fresh
 from .registry import Registry, for_spark
 
 R = Registry()
@@ -157,14 +157,11 @@ def _meta(s: SparkSession, d: str) -> DataFrame:
 
 def _upsert(s: SparkSession, d: str) -> DataFrame:
     """Keys set twice: the later value stands, other keys stay."""
-    folder = f"{shared_dir(s)}/meta-{s.sparkContext.applicationId}-{store.hashlib.sha256(d.encode()).hexdigest()[:12]}"
-    store.drop(s, folder)
+    folder = fresh(s, "meta")
     lib = s.read.parquet(f"{d}/library.parquet")
     store.write_meta(s, folder, {"rows": str(lib.count()), "kinds": str(lib.select("kind").distinct().count())})
     store.write_meta(s, folder, {"rows": str(lib.select("doc_id").distinct().count())})
-    got = s.createDataFrame(sorted(store.read_meta(s, folder).items()), "key string, value string")
-    store.drop(s, folder)
-    return got
+    return s.createDataFrame(sorted(store.read_meta(s, folder).items()), "key string, value string")
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:

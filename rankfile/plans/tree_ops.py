@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..extensions import ENGINES, EXPORTERS
 from ..operators import trees as t
-from ..operators.index import drop
-from ..session import shared_dir
+from ..session import fresh
 from .registry import Registry
 
 R = Registry()
@@ -25,12 +23,6 @@ def _tree(s: SparkSession, d: str) -> DataFrame:
     return t.tree(_nodes(s, d))
 
 
-def _folder(s: SparkSession, d: str, name: str) -> str:
-    path = f"{shared_dir(s)}/{name}-{s.sparkContext.applicationId}-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
-    drop(s, path)
-    return path
-
-
 def _path() -> Column:
     return F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
 
@@ -49,7 +41,7 @@ R.plan("o15_6_child_nodes", lambda s, d: t.children(_tree(s, d)).where(F.size("p
 # payloads
 def _loaded(s: SparkSession, d: str) -> DataFrame:
     """Nodes written as lines of JSON in the shared folder, and read again."""
-    path = _folder(s, d, "dump")
+    path = fresh(s, "dump")
     _tree(s, d).select(t.dumped(F.lit(None)).alias("value")).write.text(path)
     return t.loaded(s.read.text(path))
 
@@ -79,7 +71,7 @@ def _rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _again(s: SparkSession, d: str, form: str) -> DataFrame:
-    path = _folder(s, d, f"export-{form}")
+    path = fresh(s, f"export-{form}")
     t.export(_rows(s, d), path, form)
     return t.read_back(s, path, form)
 
@@ -98,7 +90,7 @@ R.plan("o15_26_measure_all", lambda s, d: reduce(DataFrame.unionByName, [t.losse
 
 # sidecars
 def _sidecar(s: SparkSession, d: str) -> str:
-    path = _folder(s, d, "sidecar")
+    path = fresh(s, "sidecar")
     head = s.createDataFrame([("head", "captions", None, None)], "kind string, form string, key long, text string")
     body = _nodes(s, d).where("scope = 'captions'").select(F.lit("record").alias("kind"), F.lit(None).cast("string").alias("form"), F.col("node_id").alias("key"), "text").distinct()
     head.unionByName(body).write.json(path)
@@ -116,7 +108,7 @@ R.plan("o1_55_save_manifest", lambda s, d: _manifest(s, d).groupBy("suite").agg(
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s, d, "manifest")
+    path = fresh(s, "manifest")
     s.read.parquet(f"{d}/eval_items.parquet").select("item_id", "suite", "lang").distinct().write.json(path)
     return s.read.schema("item_id long, suite string, lang string").json(path)
 

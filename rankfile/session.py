@@ -44,13 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; removed at exit where the folder is local."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, path)
+    return path
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage: write once to the shared folder, read back. Survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_drop, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _drop(path: str) -> None:
