@@ -6,7 +6,7 @@ from __future__ import annotations
 def _registries() -> list:
     from ..operators import metrics, movetext, positions
     from ..streaming import ingest
-    from . import evaluation_ops, ingest_ops, layout_ops, more_ops, quality_ops, relational_ops, scalar_ops, search_ops, tree_ops
+    from . import evaluation_ops, ingest_ops, layout_ops, more_ops, quality_ops, relational_ops, scalar_ops, search_ops, text_ops, tree_ops
     from .registry import Registry
 
     extra = Registry()
@@ -14,7 +14,7 @@ def _registries() -> list:
         extra.plan(name, f)
     for name, (f, sql) in ingest.QUERIES.items():
         extra.plan(name, f, sql)
-    return [m.R for m in (scalar_ops, relational_ops, more_ops, search_ops, evaluation_ops, quality_ops, ingest_ops, tree_ops, layout_ops)] + [extra]
+    return [m.R for m in (scalar_ops, relational_ops, more_ops, search_ops, evaluation_ops, quality_ops, ingest_ops, tree_ops, layout_ops, text_ops)] + [extra]
 
 
 def all_queries() -> dict:

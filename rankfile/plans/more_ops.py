@@ -50,7 +50,6 @@ R.plan("o3_14_disjoint_set", lambda s, d: components(s.read.parquet(f"{d}/text_s
 S("o3_16_review_match", "select a.span_id, max(b.span_id) as decided from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.review and a.span_id <> b.span_id and least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > 0 group by a.span_id")
 S("o3_20_facet_candidates", "select doc_id, kind || '|' || coalesce(stratum, '') as k1, kind as k2, '*' as k3 from @D d")
 S("o7_1_candidate", "select node_id, 1 as score, (text like '%Nxd5%') as exact, false as collision from @N n where text like '%d5%'")
-S("o3_9_pair_words", "select a.span_id as s1, b.span_id as s2 from @S a join @S b on a.doc_id = b.doc_id and a.page = b.page and b.line_no = a.line_no + 1 and substr(a.text, 1, 3) = substr(b.text, 1, 3)")
 
 
 @F.pandas_udf(DoubleType())
@@ -117,7 +116,6 @@ S("o9_52_is_unsupported_move", "select a.item_id, (a.lang = 'en' and RL(a.text,
 P("o9_61_book_lexicon", "select doc_id, count(distinct w) as words from (select doc_id, explode(regexp_extract_all(lower(text), '(?:\\\\p{L}\\\\p{M}*){6,}', 0)) as w from @N n where text <> '') t group by doc_id", "select doc_id, count(distinct w) as words from (select doc_id, unnest(regexp_extract_all(lower(text), '(?:\\p{L}\\p{M}*){6,}')) as w from @N n where text <> '') t group by doc_id")
 P("o9_68_from_language", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[0]}) m) t", f"select x, translate(g, 'KDTLS', 'KQRBN') as san from (select x, translate(x, 'QRBN', 'DTLS') as g from ({MOVES[1]}) m) t")
 S("o9_81_inline_plain_text", "select node_id, trim(RR(text, '[ \n]+', ' ')) as plain from @N n where scope = 'captions' and text is not null")
-P("o9_86_square_names", "select array_join(slice(filter(array('e4', 'i9', 'a1', 'h8', ''), s -> RL(s, '^[a-h][1-8]$')), 1, 2), ' ') as kept", "select 'e4 a1' as kept")
 R.plan("o9_83_json_object", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", movetext._make(movetext.first_json_object)(F.concat(F.lit("said: "), "props", F.lit(" and more"))).alias("object")), "select event_id, props as object from @events")
 P("o9_84_validate_schema", "select event_id, from_json(props, 'k bigint').k as k from @events", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from @events")
 

@@ -12,21 +12,27 @@ from ..functions.scalars import SAN, TEMPLATES
 
 TABLES = "library nodes facets text_spans authored language_scores edit_journal documents eval_items mix_targets region nation customer supplier part orders lineitem events embeddings".split()
 
-#: Relations whose rows are distinct; the tables hold exact duplicate rows.
+#: Relations of distinct rows, as the tables hold exact duplicate rows: table, key, columns.
 SHORT = {
-    "@N": "(select distinct node_id, doc_id, scope, page, ordinal, byte_start, byte_len, text from @nodes)",
-    "@D": "(select distinct doc_id, uri, title, kind, stratum, size_bytes, content_key, state, byte_cursor, node_count from @library)",
-    "@F": "(select distinct node_id, doc_id, white, black, eco, year, result from @facets)",
-    "@S": "(select distinct span_id, doc_id, page, line_no, span_no, text, x, y, w, h, font, font_size, confidence, engine, review from @text_spans)",
-    "@A": "(select distinct item_id, lang, text from @authored)",
-    "@L": "(select distinct item_id, code, score, piece_hits, piece_misses, lexicon_hits from @language_scores)",
-    "@J": "(select distinct edit_id, batch, doc_id, node_id, text_before, text_after, applied_at, undone from @edit_journal)",
+    "@N": ("nodes", "node_id", "doc_id scope page ordinal byte_start byte_len text"),
+    "@D": ("library", "doc_id", "uri title kind stratum size_bytes content_key state byte_cursor node_count"),
+    "@F": ("facets", "node_id", "doc_id white black eco year result"),
+    "@S": ("text_spans", "span_id", "doc_id page line_no span_no text x y w h font font_size confidence engine review"),
+    "@A": ("authored", "item_id", "lang text"),
+    "@L": ("language_scores", "item_id", "code score piece_hits piece_misses lexicon_hits"),
+    "@J": ("edit_journal", "edit_id", "batch doc_id node_id text_before text_after applied_at undone"),
 }
 
 
 def _short(text: str) -> str:
-    for k, v in SHORT.items():
-        text = re.sub(re.escape(k) + r"\b", v, text)
+    """Relations by their short names: the rows that differ in the key or in a column the text names, so that no text is
+    shuffled by a query that doesn't read it. A text that selects a star gets all columns."""
+    names = set(re.findall(r"\w+", text))
+    star = re.search(r"(?:select|,)\s+(?:\w+\.)?\*", text) is not None
+    for k, (table, key, columns) in SHORT.items():
+        # language_scores and edits of one key may differ in any column, so their rows are told apart by all of them
+        own = [c for c in columns.split() if star or c in names or k in ("@L", "@J")]
+        text = re.sub(re.escape(k) + r"\b", f"(select distinct {', '.join([key, *own])} from @{table})", text)
     return text
 
 

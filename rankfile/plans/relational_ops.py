@@ -27,7 +27,6 @@ S("o1_2_index_unit", "select n.node_id, n.doc_id, n.scope, n.page, n.ordinal, n.
 S("o1_3_facets", "select node_id, white, black, eco, year, result from @F f where white is not null and black is not null")
 P("o1_4_position_refs", f"select node_id, pos + 1 as ply, (pos % 2 = 0) as white_moved, san from (select node_id, posexplode(ALL(text, '{SAN}')) as (pos, san) from @N n where scope = 'mainline' and text <> '') t", f"select node_id, ply, (ply % 2 = 1) as white_moved, san from (select node_id, unnest(range(1, len(l) + 1))::int as ply, unnest(l) as san from (select node_id, ALL(text, '{SAN}') as l from @N n where scope = 'mainline' and text <> '') s) t")
 S("o1_5_content_key", "select doc_id, content_key, (split_part(content_key, ':', 1) = STR(size_bytes)) as size_agrees from @D d where content_key <> ''")
-R.plan("o1_10_move_depth", _move_depth)
 S("o1_14_pgn_unit", "select h.node_id, EX(h.text, '[[]White \"([^\"]*)\"', 1) as white, EX(h.text, '[[]Black \"([^\"]*)\"', 1) as black, EX(h.text, '[[]Result \"([^\"]*)\"', 1) as result, EX(h.text, '[[]ECO \"([^\"]*)\"', 1) as eco from @N h where h.scope = 'headers' and h.text like '[%'")
 S("o1_16_game_spans", "select doc_id, count(*) as games, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal from @N n where scope = 'headers' and text like '[%' group by doc_id")
 S("o1_24_content_hash", "select doc_id, SHA(text) as hash from (select distinct doc_id, text from @documents) t where text is not null")
@@ -112,7 +111,6 @@ P("o5_13_weak_word_confidence", "select doc_id, page, element_at(sort_array(coll
 S("o5_14_mean_confidence", "select doc_id, page, round(sum(confidence * length(text)) / sum(length(text)), 6) as mean_confidence from @S s where confidence is not null and length(text) > 0 group by doc_id, page")
 S("o5_15_line_confidence", "select doc_id, page, line_no, round(sum(confidence * length(text)) / sum(length(text)), 6) as mean_confidence from @S s where confidence is not null and length(text) > 0 group by doc_id, page, line_no")
 S("o5_17_review_decided", "select node_id, edit_id, undone from (select node_id, edit_id, undone, row_number() over (partition by node_id order by edit_id desc) as r from @J j) t where r = 1")
-S("o5_18_move_order", "select node_id, LONG(row_number() over (partition by doc_id order by ordinal, node_id)) as rank from @N n where scope in ('mainline', 'variations')")
 
 # 2.6 sorts and top-k
 S("o6_2_final_order", "select node_id, doc_id, ordinal from @N n where text like '%Nxd5%' order by doc_id, ordinal, node_id limit 50")
@@ -136,8 +134,6 @@ P("o9_50_is_move_token", "select t, RL(t, '[a-h][1-8]') as names_square from (se
 P("o9_53_mangled_move_ratio", "select node_id, round(avg(case when RL(t, '^[0-9.]*[KQRBNDTSLCFA]?[a-h]?[1-8]?x?[a-h][1-8][+#!?.,;:)]*$') then 0e0 else 1e0 end), 6) as mangled from (select node_id, explode(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x where RL(t, '[a-h][1-8]') group by node_id", "select node_id, round(avg(case when RL(t, '^[0-9.]*[KQRBNDTSLCFA]?[a-h]?[1-8]?x?[a-h][1-8][+#!?.,;:)]*$') then 0e0 else 1e0 end), 6) as mangled from (select node_id, unnest(SPLIT(text, '[ \n]+')) as t from @N n where scope in ('all', 'comments')) x where RL(t, '[a-h][1-8]') group by node_id")
 P("o9_13_repeated_lines", "select doc_id, line, count(*) as n from (select doc_id, trim(l) as line from (select doc_id, explode(split(text, '\n')) as l from @N n where text <> '') e) t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3", "select doc_id, line, count(*) as n from (select doc_id, trim(unnest(string_split(text, '\n'))) as line from @N n where text <> '') t where length(line) between 3 and 80 group by doc_id, line having count(*) >= 3")
 P("o9_12_clean_pdf_text", "select node_id, RR(RR(RR(text, '(?U)(?<=\\\\w)[-‐‑]\\\\s*\n\\\\s*(?=\\\\p{Ll})', ''), '\n', ' '), '[ ]+', ' ') as clean from @N n where scope = 'all'", "select node_id, regexp_replace(replace(regexp_replace(regexp_replace(text, '([\\p{L}\\p{M}\\p{N}_])[-‐‑]\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g'), '([\\p{L}\\p{M}\\p{N}_])[-‐‑]\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g'), chr(10), ' '), ' +', ' ', 'g') as clean from @N n where scope = 'all'")
-S("o9_9_apply_page_scope", "select span_id, coalesce(font, max(font) over (partition by doc_id, page)) as font from @S s")
-S("o9_5_page_stipulation", "select doc_id, page, case when count(distinct engine) = 1 then min(engine) end as engine from @S s group by doc_id, page")
 
 # 2.11 and 2.12
 S("o11_11_join_wrapped_lines", "select doc_id, page, para, count(*) as lines from (select doc_id, page, LONG(sum(case when RL(text, '^[A-Z]') and RL(back, '[.]$') then 1 else 0 end) over (partition by doc_id, page order by line_no, span_no, span_id rows unbounded preceding)) as para from (select doc_id, page, line_no, span_no, span_id, text, lag(text) over (partition by doc_id, page order by line_no, span_no, span_id) as back from @S s where text is not null) a) b group by doc_id, page, para")

@@ -94,7 +94,7 @@ _one("o9_23_parse_annotations", _CMD, "x", "commands", "commands")
 R.shared("o9_25_format_annotations", f"select x, JOIN(ALL(x, '[[]%(?:cal|csl) [^]]*[]]'), ' ') as canonical from ({_CMD[0]}) t")
 R.shared("o9_26_apply_annotations", f"select x, trim({bind(TEMPLATES['without_commands'], x='x')} || ' [%csl Ge4]') as annotated from ({_CMD[0]}) t")
 _one("o9_28_normalize_diagram_marks", _CMD, "x", "normal_diagram_marks", "marked", mark="{[#]}")
-for key, name, out in (("o9_4_parse_stipulation", "mate_in", "moves"), ("o9_6_parse_context", "caption_label", "label"), ("o9_8_after_move", "after_move", "number")):
+for key, name, out in (("o9_4_parse_stipulation", "mate_in", "moves"), ("o9_8_after_move", "after_move", "number")):
     _one(key, CAPTIONS if key != "o9_8_after_move" else TEXTS, "node_id", name, out)
 _one("o9_7_move_start", both("select distinct node_id, text as x from @nodes where scope in ('mainline', 'variations')"), "node_id", "starts_with_move", "number")
 
