@@ -31,8 +31,12 @@ def chunks(text: str) -> Column:
 
 def words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word): the words of two letters or more, in lower case, of the chunks that are no notation."""
-    prose = F.filter(chunks(text), lambda c: ~c.rlike(NOTATION))
-    return df.where(F.col(text) != "").select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(F.lower(F.array_join(prose, " ")), F.lit(WORDS), F.lit(0))).alias("word"))
+    return _words(df.where(F.col(text) != "").select(F.col(key).alias("key"), chunks(text).alias("chunk_list")))
+
+
+def _words(d: DataFrame) -> DataFrame:
+    prose = F.filter("chunk_list", lambda c: ~c.rlike(NOTATION))
+    return d.select("key", F.explode(F.regexp_extract_all(F.lower(F.array_join(prose, " ")), F.lit(WORDS), F.lit(0))).alias("word"))
 
 
 def lexicons(items: DataFrame, key: str, label: str, text: str) -> DataFrame:
@@ -75,15 +79,16 @@ def signals(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame
     """(key, chars, chunks, notation_ratio, implausible_ratio, odd_chunks, judged, hits_<lang>, odd_words, lp, clean_lp) of
     every text. clean_lp is the mean of lp over the lexicons' words."""
     lexicon = written(lexicon, "lexicons")
-    d = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
-    c = chunks("text")
+    d = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(text).alias("text")).distinct().withColumn("chunk_list", chunks("text"))
+    d = written(d, "chunks")  # taken apart once
+    c = F.col("chunk_list")
     own = d.select(
         "key", F.length(F.regexp_replace("text", r"(?U)\s", "")).alias("chars"), F.size(c).alias("chunks"),
         F.coalesce(F.try_divide(F.size(F.filter(c, lambda x: x.rlike(NOTATION))), F.size(c)), F.lit(0.0)).alias("notation_ratio"),
         F.size(F.filter(c, lambda x: ~x.rlike(NOTATION) & x.rlike(r"\p{L}\d+\p{L}|\p{L}\p{L}\d|\d\p{L}\p{L}"))).alias("odd_chunks"),
         (F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s.,;:!?()\[\]+=#/½♔-♟«»„“”‘’'\"–—…*-]", "")) / F.length("text")).alias("implausible_ratio"),
     )
-    w = words(d, "key", "text")
+    w = written(_words(d.select("key", "chunk_list")), "words")
     table = known_words(w, lexicon)
     per = w.join(table, "word").groupBy("key").agg(F.count("*").alias("judged"), F.count_if("odd").alias("odd_words"), F.avg("lp").alias("lp"), *(F.count_if(F.array_contains("codes", k)).alias(f"hits_{k}") for k in LANGS))
     clean = known_words(lexicon.select("word"), lexicon).agg(F.avg("lp").alias("clean_lp"))  # one row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,6 @@ from ..operators import quality as q
 from ..session import written
 from .registry import Registry, for_duck
 
-import pyarrow as pa
-
 R = Registry()
 
 
@@ -34,7 +33,7 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
     own = written(q.signals(_nodes(s, d), "node_id", "text", _lexicons(s, d)), "signals")
     own = own.join(_nodes(s, d).select(F.col("node_id").alias("key"), "doc_id").distinct(), "key")
     docs = q.document_languages(own, "doc_id").select("doc_id", F.col("code").alias("doc_code"))
-    return q.plausible(q.prose_language(own.join(docs, "doc_id", "left"), F.col("doc_code")))
+    return written(q.plausible(q.prose_language(own.join(docs, "doc_id", "left"), F.col("doc_code"))), "signals")
 
 
 # the same in SQL
@@ -66,7 +65,14 @@ R.plan("o9_64_document_language", lambda s, d: q.document_languages(q.signals(_n
 
 _ROUND = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 R.plan("o9_39_measure_text", lambda s, d: _signals(s, d).select(F.col("key").alias("node_id"), "chars", "chunks", "judged", *_ROUND("hit_rate", "nonword_ratio", "ngram_plausibility", "implausible_ratio", "notation_ratio")))
-R.plan("o9_40_estimate_cer", lambda s, d: q.estimated_error(_signals(s, d).join(q.book_baselines(_signals(s, d), "doc_id"), "doc_id", "left"), F.col("baseline")).select(F.col("key").alias("node_id"), *_ROUND("cer", "cer_confidence")))
+
+
+def _errors(s: SparkSession, d: str) -> DataFrame:
+    x = _signals(s, d)
+    return q.estimated_error(x.join(q.book_baselines(x, "doc_id"), "doc_id", "left"), F.col("baseline")).select(F.col("key").alias("node_id"), *_ROUND("cer", "cer_confidence"))
+
+
+R.plan("o9_40_estimate_cer", _errors)
 R.plan("o9_41_text_plausibility", lambda s, d: q.text_plausibility(_signals(s, d)).select(F.col("key").alias("node_id"), *_ROUND("plausibility")))
 R.plan("o9_49_nonword_ratio", lambda s, d: _signals(s, d).select(F.col("key").alias("node_id"), *_ROUND("nonword_ratio")))
 R.plan("o9_55_ngram_plausibility", lambda s, d: _signals(s, d).select(F.col("key").alias("node_id"), *_ROUND("ngram_plausibility")))

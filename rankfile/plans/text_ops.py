@@ -58,7 +58,7 @@ R.plan("o9_6_parse_context", lambda s, d: _context(s, d).join(_captions(s, d).se
 
 # moves of a text in the order of a walk: a move, then the variations that leave before it, then the next
 R.plan("o5_18_move_order", lambda s, d: opened(s, d).table("moves").select("node_id", F.col("i").alias("rank"), "san"), f"select node_id, unnest(range(len(l)))::int as rank, unnest(l) as san from (select node_id, regexp_extract_all(text, '{SAN}') as l from (select distinct node_id, text from @nodes where scope in ('mainline', 'variations') and text <> '') n) t")
-R.plan("o1_10_move_depth", lambda s, d: opened(s, d).table("moves").select("node_id", F.col("i").alias("pos"), "depth"))
+R.plan("o1_10_move_depth", lambda s, d: movetext.moves(s.read.parquet(f"{d}/nodes.parquet")).select("node_id", F.col("i").alias("pos"), "depth"))
 
 
 def _promoted(rows):

@@ -336,6 +336,19 @@ def test_dialects():
     assert spark_sql("RL({x}, '^[[]a')", x="t") == "regexp_like(t, '^\\\\[a')" and duck("EL(SPLIT({x}, ' '), 2)", x="t") == "list_extract(string_split_regex(t, ' '), 2)"
 
 
+def test_origins_and_pages(spark, tmp_path):
+    from rankfile.plans import all_queries
+    from rankfile.plans.text_ops import origins
+
+    text, at = origins(" ﬁn –  x\u00a0y ")
+    assert text == "fin - x y" and len(at) == len(text) and at[:3] == [1, 1, 2] and at == sorted(at) and origins("") == ("", [])
+    caps = [(1, 1, "captions", 7, "Position 3. White to play, mate in 2"), (2, 1, "captions", 7, "Diagram 4"), (3, 1, "captions", 8, "mate in 2"), (4, 1, "captions", 8, "mate in 3"), (5, 1, "captions", 9, None), (1, 1, "captions", 7, "Position 3. White to play, mate in 2")]
+    spark.createDataFrame([(*c, i) for i, c in enumerate(caps)], "node_id long, doc_id long, scope string, page int, text string, ordinal long").write.parquet(f"{tmp_path}/nodes.parquet")
+    q = all_queries()
+    assert {r.page: (r.page_mate, r.page_side) for r in q["o9_5_page_stipulation"](spark, str(tmp_path)).collect()} == {7: (2, "white"), 8: (None, None)}
+    assert {r.node_id: (r.mate, r.side) for r in q["o9_9_apply_page_scope"](spark, str(tmp_path)).collect()} == {1: (2, "white"), 2: (2, "white"), 3: (2, None), 4: (3, None)}
+
+
 def test_every_core_query_runs(spark):
     """All of them, on the smallest tables, several at a time."""
     from rankfile.plans import all_queries, all_sql
