@@ -89,11 +89,22 @@ _PLAIN |= {c: " " for c in range(0xA0, 0x3001) if unicodedata.category(chr(c)) =
 
 #: Java pattern: a text without such a character is its own consistent form.
 _RANGES = ((0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF01, 0xFFEE), (0x2102, 0x2115), (0x2117, 0x2149), (0x2460, 0x24FF), (0x1D400, 0x1D7FF))
-SUSPECT = "[\\p{M}\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}\\p{IsCherokee}\\p{IsCoptic}\\p{IsGeorgian}\\p{IsHebrew}\\p{IsTifinagh}\\p{IsCanadian_Aboriginal}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in (*_RANGES, *((ord(c), ord(c)) for c in INVISIBLE + HYPHENS))) + "]"
+_FAR = "".join(sorted(c for c in TO_LATIN if not "\u0370" <= c <= "\u052f"))  # the table's letters beyond Greek and Cyrillic
+_SCRIPTS = ((0x370, 0x58F), (0x5D0, 0x5EA), (0x10D0, 0x10FF), (0x13A0, 0x167F), (0x2374, 0x237A), (0x2C80, 0x2D7F))  # the other scripts of the table
+
+
+def _ranges(points: set[int]) -> str:
+    """Code points as a character class of as few ranges as there are."""
+    p = sorted(points)
+    starts = [x for k, x in enumerate(p) if not k or p[k - 1] != x - 1]
+    ends = [x for k, x in enumerate(p) if k + 1 == len(p) or p[k + 1] != x + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+SUSPECT = "[\\p{M}" + _ranges({c for a, b in (*_RANGES, *_SCRIPTS) for c in range(a, b + 1)} | {ord(c) for c in INVISIBLE + HYPHENS}) + "]"
 
 _WORD = re.compile(r"[^\W_]+")
 _GREEK, _CYR, _LAT = "\\u0370-\\u03ff", "\\u0400-\\u052f", "A-Za-z\\u00c0-\\u024f"
-_FAR = "".join(sorted(c for c in TO_LATIN if not "\u0370" <= c <= "\u052f"))
 _OTHER = re.compile(f"[{_GREEK}{_CYR}{_FAR}]")
 _LATIN = re.compile(f"[{_LAT}]")
 _PIECE = re.compile(r"(?:Кр|[КФЛС])(?=[a-h]?[1-8]?x?[a-h][1-8]$)")  # fixed values: piece letters of Russian notation
