@@ -122,7 +122,13 @@ R.shared("o3_11_iou", f"select s1, s2, round({_IX} * {_IY} / (aw * ah + bw * bh
 R.shared("o12_19_bbox_iou", f"select s1, s2, round({_IX} * {_IY} / (aw * ah + bw * bh - {_IX} * {_IY}), 6) as iou from ({_PAIRS}) p")
 R.shared("o12_20_bbox_union", f"select s1, s2, least(ax, bx) as x, least(ay, by_) as y, round(greatest(ax2, bx2) - least(ax, bx), 6) as w, round(greatest(ay2, by2) - least(ay, by_), 6) as h from ({_PAIRS}) p")
 R.shared("o12_21_coverage_by", f"select s1, s2, round({_IX} * {_IY} / (aw * ah), 6) as covered from ({_PAIRS}) p")
-R.shared("o12_22_horizontal_overlap", f"select s1, s2, round({_IX} / least(aw, bw), 6) as share from ({_PAIRS}) p")
+# a zero width divides as in DuckDB (0 / 0 is NaN); Spark's floor gives a long, so what no long holds isn't rounded by it
+_BY_NARROWER = f"coalesce(try_divide({_IX}, least(aw, bw)), {_IX} * power(least(aw, bw), -1))"
+R.pair(
+    "o12_22_horizontal_overlap",
+    f"select s1, s2, case when abs(v) < 1e12 then round(v, 6) else (v * 1e6 + 5e-1) / 1e6 end as share from (select s1, s2, {_BY_NARROWER} as v from ({_PAIRS}) p) q",
+    f"select s1, s2, round({_IX} / least(aw, bw), 6) as share from ({_PAIRS}) p",
+)
 R.shared("o12_23_vertical_overlap", f"select s1, s2, round({_IY} / least(ah, bh), 6) as share from ({_PAIRS}) p")
 R.shared("o12_28_page_to_pixels", "select span_id, round(x * 300 / 72, 4) as px, round(y * 300 / 72, 4) as py, round(w * 300 / 72, 4) as pw, round(h * 300 / 72, 4) as ph from @S s")
 R.shared("o12_24_affine_apply", "select span_id, round(2 * x + 0.5 * y + 10, 6) as x2, round(-0.5 * x + y - 3, 6) as y2 from @S s")

@@ -8,7 +8,7 @@ import re
 import pytest
 
 from rankfile.operators.metrics import edit_distance
-from rankfile.plans import all_queries
+from rankfile.plans import all_queries, all_sql
 
 
 def rows_of(spark, path, query, **tables):
@@ -129,3 +129,18 @@ def test_json_and_diff_of_every_row(spark, tmp_path):
     edits = [(1, "b", 1, 1, "a", "a", at, False), (2, "b", 1, 2, "a", "c", at, False), (11, "b", 1, 3, "a", "c", at, True)]
     got = {r.node_id: r.change for r in rows_of(spark, tmp_path, "o3_17_semantic_diff", edit_journal=(edits, JOURNAL))}
     assert got == {1: "same", 2: "changed", 3: "added"}
+
+
+def test_overlap_of_boxes_without_width(spark, tmp_path):
+    import duckdb
+
+    inf = float("inf")
+    boxes = [(54.0, 258.0), (315.0, 0.0), (60.0, 0.0), (60.0, 0.0), (60.0, -0.0), (50.0, -4.0), (None, 0.0), (None, 1e-12), (None, None), (54.0, None), (100.0, 33.3), (float("nan"), 7.0), (0.0, inf), (-inf, 9.0)]
+    rows = [(100 * line + i, 1, 1, line, x, 0.0, w, 12.0) for line, found in enumerate([boxes, boxes[::-1]]) for i, (x, w) in enumerate(found)]
+    spans = ([*rows, rows[0]], "span_id long, doc_id long, page int, line_no int, x double, y double, w double, h double")
+    got = {(r.s1, r.s2): r.share for r in rows_of(spark, tmp_path, "o12_22_horizontal_overlap", text_spans=spans)}
+    db = duckdb.connect()
+    db.sql(f"create view text_spans as select * from '{tmp_path}/text_spans.parquet/*.parquet'")
+    want = {(a, b): share for a, b, share in db.sql(all_sql()["o12_22_horizontal_overlap"]).fetchall()}
+    assert len(got) == 14 * 13 and {k: repr(x) for k, x in got.items()} == {k: repr(x) for k, x in want.items()}
+    assert repr(got[0, 1]) == "nan" and got[0, 10] == 1 and got[0, 6] == inf and got[0, 7] > 1e13 and got[8, 9] is None
